@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import boilerplate, distinctive, term_counts
+from paraloom.llm import boilerplate, distinctive, term_counts, text_quality, tokenize
 from paraloom.session import fresh_path, materialize
 from paraloom.sources.tables import table
 
@@ -15,6 +15,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 PARAGRAPHS = "processed_paragraphs_filtered"
 
 
+# Problem 2 ------------------------------------------------------------------
+
+def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality.text_statistics(table(spark, folder, PARAGRAPHS, "para_id", "text"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_statistics(spark, folder).where(F.col("kind").isin("list", "table", "junk")).select("para_id", "kind")
+
+
 # Problem 3 ------------------------------------------------------------------
 
 def _line_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -111,11 +121,31 @@ P7_FOUND = _TERMS + """, f AS (SELECT para_id, term, count(*) AS tf FROM t GROUP
 SELECT para_id, term FROM f JOIN c USING (term) WHERE tf >= 3 AND records <= 4"""
 
 
+# Problem 8 ------------------------------------------------------------------
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.encode_corpus(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens, and how many texts the decoded ids do not give back (none)."""
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    ids = materialize(tokenize.encode_corpus(documents), "ids")
+    back = tokenize.decode_corpus(ids).select("doc_id", F.xxhash64("text").alias("back"))
+    same = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("was")).join(back, "doc_id")
+    tokens = ids.select("doc_id", F.size("ids").alias("n"))
+    return same.join(tokens, "doc_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"),
+        F.sum((F.col("was") != F.col("back")).cast("bigint")).alias("broken"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": p2_found, "p2_statistics": p2_statistics,
         "p3_found": p3_found, "p3_lines": p3_lines, "p3_cleaned": p3_cleaned,
         "p6_found": p6_found, "p6_counts": p6_counts,
         "p7_found": p7_found, "p7_scores": p7_scores,
+        "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
     }
 
 
