@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import boilerplate, distinctive, term_counts, text_quality, tokenize
+from paraloom.llm import boilerplate, distinctive, language, term_counts, text_quality, tokenize
 from paraloom.session import fresh_path, materialize
 from paraloom.sources.tables import table
 
@@ -73,6 +73,22 @@ WHERE n_files >= 5 AND n_files >= n_all * 0.2 AND source <> ''
 """
 
 
+# Problem 4 ------------------------------------------------------------------
+
+def _language_model(spark: SparkSession, folder: str) -> language.LanguageModel:
+    rows = language.training_rows(table(spark, folder, PARAGRAPHS, "para_id", "text"), table(spark, folder, "paragraph_langs", "para_id", "lang_label"))
+    return language.fit(rows)
+
+
+def p4_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_stretches(table(spark, folder, PARAGRAPHS, "para_id", "text"), _language_model(spark, folder))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "paragraph_langs", "para_id", "lang_label")
+    return language.unnamed_languages(p4_stretches(spark, folder), labels)
+
+
 # Problem 6 ------------------------------------------------------------------
 
 def _term_store(spark: SparkSession, folder: str) -> term_counts.TermCountStore:
@@ -143,6 +159,7 @@ def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found, "p2_statistics": p2_statistics,
         "p3_found": p3_found, "p3_lines": p3_lines, "p3_cleaned": p3_cleaned,
+        "p4_found": p4_found, "p4_stretches": p4_stretches,
         "p6_found": p6_found, "p6_counts": p6_counts,
         "p7_found": p7_found, "p7_scores": p7_scores,
         "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,

@@ -136,6 +136,16 @@ def _kind(text, lines, tokens, words, lowered, stats, script, markers, labelled)
     return "prose"
 
 
+def kind_of(text: str | None) -> str:
+    """The kind alone; plain prose is told by its common words without reading its structure."""
+    if text is None or not text.strip():
+        return "none"
+    words = LETTERS.findall(text)
+    if sum(1 for w in words if len(w) > 1 and w.lower() in ALL_FUNCTION_WORDS) >= 0.3 * len(words) and words:
+        return "prose"
+    return statistics(text)[-1]
+
+
 def text_statistics(df: DataFrame, key: str = "para_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, *carry, statistics..., kind): one row for every row of ``df``, in one pass without a shuffle."""
 
