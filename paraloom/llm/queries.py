@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import boilerplate, distinctive, language, term_counts, text_quality, tokenize
+from paraloom.llm import boilerplate, distinctive, language, near_duplicates, term_counts, text_quality, tokenize
 from paraloom.session import fresh_path, materialize
 from paraloom.sources.tables import table
 
@@ -89,6 +89,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.unnamed_languages(p4_stretches(spark, folder), labels)
 
 
+# Problem 5 ------------------------------------------------------------------
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    paragraphs = table(spark, folder, PARAGRAPHS, "para_id", "text")
+    links, compared = near_duplicates.similar_classes(paragraphs, width=3, least=0.6, min_words=40)
+    return near_duplicates.expand_pairs(paragraphs, links, compared)
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The class, group and number of links of every paragraph, at the pipeline's five words and 0.8."""
+    paragraphs = table(spark, folder, PARAGRAPHS, "para_id", "text")
+    links, _ = near_duplicates.similar_classes(paragraphs)
+    return near_duplicates.groups(paragraphs, links)
+
+
 # Problem 6 ------------------------------------------------------------------
 
 def _term_store(spark: SparkSession, folder: str) -> term_counts.TermCountStore:
@@ -160,6 +175,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found, "p2_statistics": p2_statistics,
         "p3_found": p3_found, "p3_lines": p3_lines, "p3_cleaned": p3_cleaned,
         "p4_found": p4_found, "p4_stretches": p4_stretches,
+        "p5_found": p5_found, "p5_groups": p5_groups,
         "p6_found": p6_found, "p6_counts": p6_counts,
         "p7_found": p7_found, "p7_scores": p7_scores,
         "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
