@@ -8,8 +8,9 @@ pair by pair, and the partial counts are summed per pair.  Pairs that reach the
 number that similar texts must reach are then compared on all their n-grams.
 
 No pair is lost: the order only has to be the same everywhere.  It is taken
-from a hashed table of the word counts of the whole collection, whose size is
-fixed.  Equal texts are one class from the start, so a group of copies is
+from a hashed table of the n-gram counts of the whole collection, whose size is
+fixed.  A match counts for a pair only within the heads that these two sizes
+need, which is far less than the heads any partner could need.  Equal texts are one class from the start, so a group of copies is
 joined once however large it is; results give classes and members, and only
 ``expand_pairs`` writes out pairs of rows.
 
@@ -21,6 +22,7 @@ texts of any length are compared whole.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,14 @@ from pyspark.sql import functions as F
 from paraloom.llm.words import WORD
 from paraloom.session import materialize
 
-WORD_BUCKETS = 1 << 18
+COUNT_BITS = 22  # buckets of the n-gram counts: a fixed four megabytes of one-byte logarithms
+COUNT_PARTS = 64
 EXTRA = 4
-ENTRY = np.dtype([("gram", "<u4"), ("size", "<u2"), ("text", "<i8")])
+ENTRY = np.dtype([("gram", "<u4"), ("size", "<u2"), ("place", "<u2"), ("text", "<i8")])
+LONG = 65535  # sizes from here on are not told apart: such texts meet all partners
 ENTRIES_PER_FRAGMENT = 400_000
 FLUSH_ENTRIES = 1_500_000
+FLUSH_GRAMS = 6_000_000
 FLUSH_PAIRS = 3_000_000
 BLOCK = 2048
 BLOOM_WORDS = 1 << 16  # 64 bits each: a fixed half megabyte
@@ -47,10 +52,9 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 class _Words:
     """Word hashes of a task; the table is dropped when it has grown large."""
 
-    def __init__(self, counts: np.ndarray | None = None):
+    def __init__(self):
         self.ids: dict[str, int] = {}
         self.hashes: list[int] = []
-        self.rarity = None if counts is None else np.round(64 * np.log2(1.0 + counts)).astype(np.int64)
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word of every text, words of each text)."""
@@ -69,49 +73,71 @@ class _Words:
         return np.array(hashes, np.uint64)[np.array(flat, np.int64)] if flat else np.zeros(0, np.uint64), np.array(lengths, np.int64)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, total = _Words(), np.zeros(WORD_BUCKETS, np.int64)
-    for batch in batches:
-        hashes, _ = words.of(batch.column(0).to_pylist())
-        total += np.bincount((hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-
-def word_counts(df: DataFrame, text: str = "text") -> np.ndarray:
-    """Occurrences of words by hash bucket, over all rows; what reaches the driver has a fixed size."""
-    summed = df.select(text).mapInArrow(_count_words, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = summed.toArrow()
-    counts = np.zeros(WORD_BUCKETS, np.int64)
-    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return counts
-
-
-def ordered_grams(hashes: np.ndarray, lengths: np.ndarray, width: int, rarity: np.ndarray | None):
-    """(text index, n-gram in the global order) without repeats, sorted by both.
-
-    An n-gram is 64 bits: its rarity (the sum of its words' log counts, so that
-    the product of their frequencies orders it) above a hash of its words.
-    """
-    n = len(hashes)
-    if n < width:
+def _raw_grams(hashes: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, 64-bit n-gram) at every place where one begins."""
+    last = len(hashes) - width + 1
+    if last <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(lengths)), lengths)
-    last = n - width + 1
     inside = text[:last] == text[width - 1:]
     gram = np.zeros(last, np.uint64)
     for k in range(width):
         gram = (gram ^ (hashes[k:k + last] * _MIX[k % 5])) * _MIX[(k + 1) % 5]
         gram ^= gram >> np.uint64(29)
-    if rarity is None:
-        key = gram
-    else:
-        word_rarity = rarity[(hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)]
-        r = np.zeros(last, np.int64)
-        for k in range(width):
-            r += word_rarity[k:k + last]
-        key = (r.astype(np.uint64) << np.uint64(50)) | (gram >> np.uint64(14))
-    text, key = text[:last][inside], key[inside]
+    return text[:last][inside], gram[inside]
+
+
+def _count_grams(width: int):
+    """Counts of the task's n-grams by bucket, in compressed parts of the bucket range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, n, total = _Words(), [], 0, np.zeros(1 << COUNT_BITS, np.int64)
+
+        def add():
+            np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
+
+        for batch in batches:
+            _, gram = _raw_grams(*words.of(batch.column(0).to_pylist()), width)
+            held.append((gram >> np.uint64(64 - COUNT_BITS)).astype(np.int32))
+            n += len(gram)
+            if n > FLUSH_GRAMS:
+                add()
+                held, n = [], 0
+        if n:
+            add()
+        if total.any():
+            parts = [zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in np.split(total, COUNT_PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    return run
+
+
+def _sum_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, part = np.zeros((1 << COUNT_BITS) // COUNT_PARTS, np.int64), None
+    for batch in batches:
+        for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+            total += np.frombuffer(zlib.decompress(blob), np.uint32)
+    coarse = np.round(8 * np.log2(np.maximum(total, 1))).clip(0, 255).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([coarse.tobytes()], pa.binary()), pa.array([int(total.sum())])],
+                                     names=["part", "coarse", "n"])
+
+
+def gram_rarity(df: DataFrame, width: int, text: str = "text") -> tuple[np.ndarray, int]:
+    """(coarse logarithm of the count of every bucket, all n-grams); what reaches the driver has a fixed size."""
+    parts = df.select(text).mapInArrow(_count_grams(width), "part int, counts binary")
+    got = parts.groupBy("part").applyInArrow(_sum_part, "part int, coarse binary, n bigint").toArrow().to_pylist()
+    rarity = np.zeros((COUNT_PARTS, (1 << COUNT_BITS) // COUNT_PARTS), np.uint8)
+    for row in got:
+        rarity[row["part"]] = np.frombuffer(row["coarse"], np.uint8)
+    return rarity.ravel(), sum(row["n"] for row in got)
+
+
+def ordered_grams(hashes: np.ndarray, lengths: np.ndarray, width: int, rarity: np.ndarray | None):
+    """(text index, n-gram) without repeats, sorted by both; with ``rarity`` in the global order, rarest first."""
+    text, key = _raw_grams(hashes, lengths, width)
+    if rarity is not None:
+        common = rarity[(key >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+        key = (common.astype(np.uint64) << np.uint64(50)) | (key >> np.uint64(14))
     order = np.lexsort((key, text))
     text, key = text[order], key[order]
     fresh = np.ones(len(key), bool)
@@ -119,15 +145,11 @@ def ordered_grams(hashes: np.ndarray, lengths: np.ndarray, width: int, rarity: n
     return text[fresh], key[fresh]
 
 
-def _size_code(n: np.ndarray) -> np.ndarray:
-    return np.round(2048 * np.log2(np.maximum(n, 1))).clip(0, 65535).astype(np.uint16)
-
-
-def _heads(counts: np.ndarray, width: int, least: float, min_words: int, ranges: int):
+def _heads(rarity: np.ndarray, width: int, least: float, min_words: int, ranges: int):
     """Entries of the texts' heads, packed by fragment of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _Words(counts), set()
+        words, seen = _Words(), set()
         held, held_fragments, n_held = [], [], 0
 
         def pack():
@@ -151,19 +173,21 @@ def _heads(counts: np.ndarray, width: int, least: float, min_words: int, ranges:
             short = lengths < min_words
             if short.any():
                 hashes, lengths = hashes[np.repeat(~short, lengths)], np.where(short, 0, lengths)
-            text, key = ordered_grams(hashes, lengths, width, words.rarity)
+            text, key = ordered_grams(hashes, lengths, width, rarity)
             if not len(key):
                 continue
             size = np.bincount(text, minlength=len(classes))
             first = np.concatenate([[0], np.cumsum(size)[:-1]])
             head = size - np.ceil(least * size - 1e-9).astype(np.int64) + EXTRA
-            keep = np.arange(len(key)) - first[text] < head[text]
-            text, key = text[keep], key[keep]
+            place = np.arange(len(key)) - first[text]
+            keep = place < head[text]
+            text, key, place = text[keep], key[keep], place[keep]
             gram = key & np.uint64((1 << 50) - 1)
-            band = (key >> np.uint64(50)).astype(np.int64) // 512
+            band = (key >> np.uint64(50)).astype(np.int64) // 16
             entry = np.empty(len(key), ENTRY)
             entry["gram"] = ((gram * np.uint64(ranges)) & np.uint64((1 << 50) - 1)) >> np.uint64(18)
-            entry["size"] = _size_code(size)[text]
+            entry["size"] = np.minimum(size, LONG)[text]
+            entry["place"] = np.minimum(place, LONG)
             entry["text"] = np.array(classes, np.int64)[text]
             held.append(entry)
             held_fragments.append(band * ranges + ((gram * np.uint64(ranges)) >> np.uint64(50)).astype(np.int64))
@@ -189,51 +213,58 @@ def _pair_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
 
 
 def _fragment_pairs(least: float):
-    """Partial overlaps of one fragment: every pair of texts that share an n-gram of it and are near in size."""
-    slack = int(round(-2048 * math.log2(least))) + 2
+    """Partial overlaps of one fragment, pair by pair."""
+    share = least / (1 + least)
+
+    def near(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How often a match counts: 0 outside the heads these two texts need.
 
-    tiny = int(_size_code(np.array([EXTRA / least]))[0])
+        Two texts too short to share EXTRA n-grams count each shared one so often.
+        """
+        x, y = e["size"][i].astype(np.int64), e["size"][j].astype(np.int64)
+        need = np.ceil(share * (x + y) - 1e-9)
+        inside = (need <= np.minimum(x, y)) & (e["place"][i] < x - need + EXTRA) & (e["place"][j] < y - need + EXTRA)
+        return np.where(inside | (x == LONG) | (y == LONG), np.where(need < EXTRA, EXTRA, 1), 0)
 
     def run(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         e = np.concatenate([np.frombuffer(b, ENTRY) for b in blobs])
-        order = np.lexsort((e["text"], e["gram"]))
-        e = e[order]
+        e = e[np.lexsort((e["text"], e["gram"]))]
         fresh = np.ones(len(e), bool)  # copies read by several tasks
         fresh[1:] = (e["gram"][1:] != e["gram"][:-1]) | (e["text"][1:] != e["text"][:-1])
         e = e[fresh]
-        gram, size, text = e["gram"], e["size"].astype(np.int64), e["text"]
-        edge = np.flatnonzero(gram[1:] != gram[:-1]) + 1
-        start, end = np.concatenate([[0], edge]), np.append(edge, len(gram))
+        edge = np.flatnonzero(e["gram"][1:] != e["gram"][:-1]) + 1
+        start, end = np.concatenate([[0], edge]), np.append(edge, len(e))
         width = end - start
         left, right, n = [], [], 0
-        # short posting lists: all runs of the fragment at once, one distance at a time
+        # short posting lists: all of the fragment at once, one distance at a time
         run_end = np.repeat(end, width)
-        small = np.repeat(width, width) <= BLOCK
-        at = np.flatnonzero(small)
+        at = np.flatnonzero(np.repeat(width, width) <= BLOCK)
         for step in range(1, BLOCK):
             at = at[at + step < run_end[at]]
             if not len(at):
                 break
-            near = np.abs(size[at] - size[at + step]) <= slack
-            found = at[near]
-            # two texts too short to share EXTRA n-grams count each of them so often
-            found = np.repeat(found, np.where(np.maximum(size[found], size[found + step]) <= tiny, EXTRA, 1))
-            left.append(text[found])
-            right.append(text[found + step])
+            times = near(e, at, at + step)
+            found = np.repeat(at, times)
+            left.append(e["text"][found])
+            right.append(e["text"][found + step])
             n += len(found)
             if n > FLUSH_PAIRS:
                 yield _pair_batch(np.concatenate(left), np.concatenate(right))
                 left, right, n = [], [], 0
-        # long ones in blocks, sorted by size so that only neighbours in size meet
+        # long ones one text at a time, against the texts not much larger than it
         for s, t in zip(start[width > BLOCK], end[width > BLOCK]):
-            by_size = np.argsort(size[s:t], kind="stable")
-            sz, tx = size[s:t][by_size], text[s:t][by_size]
-            until = np.searchsorted(sz, sz + slack, "right")
-            for i in range(len(sz) - 1):
-                partners = np.repeat(tx[i + 1:until[i]], np.where(sz[i + 1:until[i]] <= tiny, EXTRA, 1))
-                left.append(np.full(len(partners), tx[i]))
-                right.append(partners)
-                n += len(partners)
+            part = e[s:t][np.argsort(e["size"][s:t], kind="stable")]
+            until = np.searchsorted(part["size"], part["size"] / least + 1, "right")
+            until = np.where(part["size"] / least + 1 >= LONG, len(part), until)
+            crowd = np.searchsorted(part["size"], LONG)
+            for i in range(len(part) - 1):
+                partners = np.arange(i + 1, until[i])
+                if until[i] < len(part) and crowd < len(part):
+                    partners = np.append(partners, np.arange(max(crowd, until[i]), len(part)))
+                found = np.repeat(partners, near(part, np.full(len(partners), i), partners))
+                left.append(np.full(len(found), part["text"][i]))
+                right.append(part["text"][found])
+                n += len(found)
                 if n > FLUSH_PAIRS:
                     yield _pair_batch(np.concatenate(left), np.concatenate(right))
                     left, right, n = [], [], 0
@@ -313,10 +344,10 @@ def similar_classes(df: DataFrame, text: str = "text", width: int = 5, least: fl
     were compared or copied and have the words for it.
     """
     source = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("class"), F.col(text).alias("text"))
-    counts = word_counts(source)
-    grams = int(counts.sum() * (1 - least)) + EXTRA
+    rarity, n_grams = gram_rarity(source, width)
+    grams = n_grams * (1 - least)
     ranges = 1 << min(14, max(3, math.ceil(math.log2(max(grams / ENTRIES_PER_FRAGMENT, 1)))))
-    heads = source.mapInArrow(_heads(counts, width, least, min_words, ranges), "fragment int, entries binary")
+    heads = source.mapInArrow(_heads(rarity, width, least, min_words, ranges), "fragment int, entries binary")
     partial = heads.groupBy("fragment").applyInArrow(_fragment_pairs(least), "a bigint, b bigint, overlap int")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     candidates = materialize(summed.where(F.col("overlap") >= EXTRA).select("a", "b"), "candidate-pairs")
