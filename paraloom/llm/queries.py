@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import boilerplate, distinctive, language, near_duplicates, term_counts, text_quality, tokenize
+from paraloom.llm import boilerplate, distinctive, language, near_duplicates, scan_noise, term_counts, text_quality, tokenize
 from paraloom.session import fresh_path, materialize
 from paraloom.sources.tables import table
 
@@ -15,6 +15,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 PARAGRAPHS = "processed_paragraphs_filtered"
 
 
+# Problem 1 ------------------------------------------------------------------
+
+def _scan_signs(spark: SparkSession, folder: str):
+    paragraphs = table(spark, folder, PARAGRAPHS, "para_id", "filename", "text")
+    model = scan_noise.fit(paragraphs)
+    found = materialize(scan_noise.signs(paragraphs, model), "scan-signs")
+    titles = scan_noise.headers(found, table(spark, folder, "source_files", "filename", "title"), paragraphs)
+    return paragraphs, model, found, titles
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, found, titles = _scan_signs(spark, folder)
+    plain = found.where("kind <> 'maybe_header'").select("para_id", "kind")
+    return plain.unionByName(titles.select("para_id", F.lit("header").alias("kind")).distinct())
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    paragraphs, model, _, titles = _scan_signs(spark, folder)
+    return scan_noise.repaired(paragraphs, model, titles)
+
+
 # Problem 2 ------------------------------------------------------------------
 
 def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,6 +193,7 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found, "p1_repaired": p1_repaired,
         "p2_found": p2_found, "p2_statistics": p2_statistics,
         "p3_found": p3_found, "p3_lines": p3_lines, "p3_cleaned": p3_cleaned,
         "p4_found": p4_found, "p4_stretches": p4_stretches,
