@@ -29,7 +29,7 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 FIGURE = re.compile(r"[-–—]|n/a|[(]?[-+$€£]?\d[\d.,:/]*\d*%?[)]?,?", re.I)
 MARKER = re.compile(r"\s*(?:([-–—•*▪◦·‣●o➢»>])|(\(?\d{1,3}[.)])|(\(?[A-Za-z][.)])|(\(?[ivxIVX]{1,5}[.)])|(\d{1,2}(?:\.\d{1,2})+\.?))\s+\S")
-INLINE = re.compile(r"(?:(?<=\s)|^)(?:[-–—•*▪◦·‣●o]|\(?\d{1,3}[.)]|\(?[a-z][.)]|\(?[ivx]{1,5}[.)])\s+(?=\S)")
+INLINE = re.compile(r"(?:(?<=\s)|^)(?:[-–—•*▪◦·‣●]|o(?=\s+[A-Z])|\(?\d{1,3}[.)]|\(?[a-z][.)]|\(?[ivx]{1,5}[.)])\s+(?=\S)")
 LEADER = re.compile(r"(?:\.\s?){4,}|…{2,}|_{4,}")
 ABBREVIATION = re.compile(r"(?:^|(?<=\n)|(?<=[;\n ]))[A-Z][A-Z0-9&/-]{1,7}(?:\t+| {2,}| ?[-–—:=] ?)[A-Z][\w-]+")
 LABELLED = re.compile(r"\s*[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*)?\s*[:=]\s+\S")
@@ -124,7 +124,7 @@ def _kind(text, lines, tokens, words, lowered, stats, script, markers, labelled)
     if common_share < 0.15 and (text.lstrip()[:30].upper().startswith("ACRONYMS") or len(ABBREVIATION.findall(text)) >= 3):
         return "list"
     ended = sum(1 for m in SENTENCE_END.finditer(text) if not text[m.start():m.end() - 1].isdigit())
-    if ended <= 1 or ended < 0.34 * n_lines:
+    if common_share < 0.26 and (ended <= 1 or ended < 0.34 * n_lines):
         if n_lines >= 3 and max(markers, labelled) >= 0.6 * n_lines or len(INLINE.findall(text)) >= 3:
             return "list"
         if alignment >= 0.8 and figure_share >= 0.2:
