@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import boilerplate, distinctive, language, near_duplicates, scan_noise, term_counts, text_quality, tokenize
+from paraloom.llm import boilerplate, distinctive, language, leaks, near_duplicates, scan_noise, term_counts, text_quality, tokenize
 from paraloom.session import fresh_path, materialize
 from paraloom.sources.tables import table
 
@@ -191,6 +191,23 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sum((F.col("was") != F.col("back")).cast("bigint")).alias("broken"))
 
 
+# Problem 9 ------------------------------------------------------------------
+
+def _leak_search(spark: SparkSession, folder: str, paraphrases: bool) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    index = leaks.fit(documents, table(spark, folder, "eval_items", "item_id", "text"))
+    return leaks.search(documents, index, paraphrases=paraphrases)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leak_search(spark, folder, False).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """All leaks with their longest run, common subsequence and answers told, paraphrases included."""
+    return _leak_search(spark, folder, True)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_repaired": p1_repaired,
@@ -200,6 +217,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found, "p5_groups": p5_groups,
         "p6_found": p6_found, "p6_counts": p6_counts,
         "p7_found": p7_found, "p7_scores": p7_scores,
+        "p9_found": p9_found, "p9_leaks": p9_leaks,
         "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
     }
 
