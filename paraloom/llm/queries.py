@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import boilerplate, distinctive, language, leaks, near_duplicates, scan_noise, term_counts, text_quality, tokenize
+from paraloom.llm import boilerplate, distinctive, language, leaks, near_duplicates, personal, scan_noise, term_counts, text_quality, tokenize
 from paraloom.session import fresh_path, materialize
 from paraloom.sources.tables import table
 
@@ -208,6 +208,23 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return _leak_search(spark, folder, True)
 
 
+# Problem 10 -----------------------------------------------------------------
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    return personal.found_values(documents, personal.fit(documents))
+
+
+def p10_placeholders(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    return personal.replaced(documents, personal.fit(documents))
+
+
+def p10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    return personal.replaced(documents, personal.fit(documents), secret="paraloom")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_repaired": p1_repaired,
@@ -217,6 +234,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found, "p5_groups": p5_groups,
         "p6_found": p6_found, "p6_counts": p6_counts,
         "p7_found": p7_found, "p7_scores": p7_scores,
+        "p10_found": p10_found, "p10_placeholders": p10_placeholders, "p10_surrogates": p10_surrogates,
         "p9_found": p9_found, "p9_leaks": p9_leaks,
         "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
     }
