@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import NGram, StopWordsRemover
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,11 +12,19 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.col("topic").isNotNull()).select("topic", F.explode("tokens").alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def n_grams(tokens: Column, n: int) -> Column:
-    """Runs of ``n`` tokens joined by blanks."""
-    last = F.size(tokens) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+def without_stopwords(df: DataFrame, stopwords: list[str], column: str = "tokens") -> DataFrame:
+    """Drops the stop words by a hash lookup in the JVM; a null array stays null."""
+    remover = StopWordsRemover(inputCol="_in", outputCol=column, stopWords=stopwords, caseSensitive=True)
+    return remover.transform(df.withColumnRenamed(column, "_in")).drop("_in")
+
+
+def n_grams(df: DataFrame, upto: int = 3, column: str = "tokens") -> DataFrame:
+    """The tokens and all their runs of up to ``upto``, joined by blanks."""
+    out, made = df, [F.col(column)]
+    for n in range(2, upto + 1):
+        out = NGram(n=n, inputCol=column, outputCol=f"_g{n}").transform(out)
+        made.append(F.col(f"_g{n}"))
+    return out.withColumn(column, F.concat(*made)).drop(*[f"_g{n}" for n in range(2, upto + 1)])
 
 
 def vocabulary_filter(counts: DataFrame, min_topics: int = 1, max_share: float = 1.0) -> DataFrame:

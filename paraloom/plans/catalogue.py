@@ -1,11 +1,402 @@
-"""The named queries over the test tables, each with SQL that must agree with it."""
+"""The named queries over the test tables, each with SQL that must agree with it.
+
+``docs`` is every paragraph with a usable year and its topic; the panel is
+lineitem by month and brand (83 months, so that a window of 60 has room); the
+vectors are the table ``embeddings``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paraloom.functions import periods, text
+from paraloom.functions.stopwords import enhanced_stopwords
+from paraloom.operators import charts, groups, quality, report, topics, trends, vectors
+from paraloom.sources import pages
+from paraloom.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+LEFT, RIGHT = "Trump", "Biden"
+PARAGRAPHS = "processed_paragraphs_filtered"
+
+
+# Bindings -------------------------------------------------------------------
+
+def docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """(doc_id, year, grp, topic, ...): paragraphs with a year; duplicate topic rows count once."""
+    p = table(spark, d, PARAGRAPHS, "para_id", "year", *more).withColumn("year", text.parse_year(F.col("year"))).where("year is not null")
+    t = table(spark, d, "paragraph_topics", "para_id", "topic").distinct()
+    return p.join(t, "para_id").select(F.col("para_id").alias("doc_id"), "year", periods.period_label(F.col("year")).alias("grp"), "topic", *more)
+
+
+def names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "topic_info", "topic", "name")
+
+
+def panel(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem", "l_partkey", "l_shipdate")
+    brands = table(spark, d, "part", "p_partkey", "p_brand")
+    return lines.join(brands, lines.l_partkey == brands.p_partkey).select(
+        F.expr("cast(regexp_extract(p_brand, '([0-9]+)', 1) as int)").alias("topic"), F.date_trunc("month", "l_shipdate").cast("date").alias("period"))
+
+
+def panel_counts(spark: SparkSession, d: str) -> DataFrame:
+    return trends.topic_period_counts(panel(spark, d))
+
+
+def gappy_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Months in which a brand sold under a limit are gaps."""
+    return panel_counts(spark, d).where("frequency % 3 <> 0")
+
+
+def year_counts(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+
+
+def grouped_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").withColumn("grp", F.when(F.col("label") < 5, LEFT).otherwise(RIGHT))
+
+
+def topic_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d, "text").where(F.col("text").isNotNull()).select("doc_id", "topic", "year", text.letter_tokens(F.col("text")).alias("tokens"))
+    return topics.without_stopwords(rows, enhanced_stopwords())
+
+
+def dated(df: DataFrame) -> DataFrame:
+    """Dates as text, which every engine shows alike."""
+    return df.withColumn("period", F.col("period").cast("string"))
+
+
+# Queries --------------------------------------------------------------------
+
+def _paragraph_rules(spark: SparkSession, d: str) -> DataFrame:
+    source = table(spark, d, "documents", "doc_id", "text", "lang")
+    return quality.with_reason(quality.paragraphs(source), "lang")
+
+
+def _null_model(pvalue: str) -> Query:
+    return lambda s, d: groups.permutation_test(docs(s, d), LEFT, RIGHT, 50, pvalue).select(
+        "topic", *[F.round(c, 9).alias(c.lower()) for c in (LEFT, RIGHT, "abs_difference", "p_value")], "significant")
+
+
+def _over_time(bins) -> Query:
+    return lambda s, d: trends.topics_over_time(docs(s, d), "year", bins).select("topic", F.round("timestamp", 6).alias("timestamp"), "frequency")
+
+
+def _normalized(mode: str) -> Query:
+    def query(s, d):
+        over = trends.topics_over_time(docs(s, d), "year", 20)
+        return trends.normalized_trend(over, year_counts(s, d), mode).select(
+            "topic", F.round("timestamp", 6).alias("timestamp"), "frequency", F.round("share", 9).alias("share"))
+    return query
+
+
+def _difference(s, d):
+    labelled = groups.labels(groups.topic_difference(docs(s, d), LEFT, RIGHT), names(s, d))
+    return labelled.select("topic", F.round(LEFT, 9).alias("trump"), F.round(RIGHT, 9).alias("biden"), "label", F.round("difference", 9).alias("difference"))
+
+
+def _shift(s, d):
+    labelled = groups.labels(groups.attention_shift(docs(s, d), LEFT, RIGHT), names(s, d))
+    return labelled.select("topic", F.round(LEFT, 9).alias("trump"), F.round(RIGHT, 9).alias("biden"), F.round("attention_shift", 9).alias("attention_shift"), "label")
+
+
+def _keywords(s, d, n=10):
+    return topics.top_terms(topics.class_tf_idf(topics.term_counts(topic_tokens(s, d))), n)
+
+
+def _umass(s, d):
+    words = _keywords(s, d)
+    return topics.umass_pairs(topic_tokens(s, d), words, "doc_id")
+
+
+def _seed_affinity(s, d):
+    v = table(s, d, "embeddings")
+    seeds = vectors.centroids(v, "label").withColumnRenamed("label", "seed_id")
+    return vectors.seed_affinity(v, seeds, "vec_id").select("vec_id", "seed", F.round("cosine", 6).alias("cosine"))
+
+
+def _page_table(s, d):
+    """Files of the paragraph table stood up as page texts, read back by the page reader."""
+    p = table(s, d, PARAGRAPHS, "filename", "page_num", "text").where("text is not null")
+    per_page = p.groupBy("filename", "page_num").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text"))
+    return pages.page_paragraphs(per_page)
+
+
+def _corpus_stats(s, d):
+    return docs(s, d).agg(F.count(F.lit(1)).alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+                          F.count_if(F.col("grp") == LEFT).alias("trump"), F.count_if(F.col("grp") == RIGHT).alias("biden"))
+
+
+def _words_over_time(s, d):
+    return topics.topic_words_over_time(topic_tokens(s, d).withColumnRenamed("year", "period"))
+
+
+def _merged(s, d):
+    weights = topics.class_tf_idf(topics.term_counts(topic_tokens(s, d)))
+    return topics.merged_topics(topics.topic_similarity(weights), weights.select("topic"), 0.9)
+
+
+def _hierarchy(s, d):
+    weights = topics.class_tf_idf(topics.term_counts(topic_tokens(s, d)))
+    return topics.topic_hierarchy(topics.topic_similarity(weights), weights.select("topic"))
+
+
+def _ngram_vocabulary(s, d):
+    grams = topics.n_grams(topic_tokens(s, d))
+    return topics.vocabulary_filter(topics.term_counts(grams), 5, 0.95)
+
+
+def _guided(s, d):
+    v = table(s, d, "embeddings")
+    seeds = vectors.centroids(v, "label").withColumnRenamed("label", "seed_id")
+    pulled = vectors.guided(v, vectors.seed_affinity(v, seeds, "vec_id"), seeds, "vec_id", floor=0.2)
+    return pulled.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+def _similarity_round(df):
+    return df.select(*[F.round(c, 9).alias(c.lower()) if kind == "double" else F.col(c).alias(c.lower()) for c, kind in df.dtypes])
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "para_valid": lambda s, d: _paragraph_rules(s, d).where("skip_reason is null").select("doc_id", F.col("para_idx").cast("bigint").alias("para_idx"), "paragraph"),
+        "para_skip_counts": lambda s, d: quality.skip_counts(_paragraph_rules(s, d)),
+        "corpus_clean": lambda s, d: table(s, d, PARAGRAPHS, "para_id", "text").select("para_id", text.corpus_clean(F.col("text"), unicode=False).alias("cleaned")),
+        "ocr_clean": lambda s, d: table(s, d, "documents", "doc_id", "text").select("doc_id", text.ocr_clean(F.col("text"), unicode=False).alias("cleaned")),
+        "year_from_filename": lambda s, d: table(s, d, "source_files", "filename").distinct().select("filename", text.year_from_filename(F.col("filename")).alias("year")),
+        "period_label": lambda s, d: groups.value_counts(docs(s, d), "grp"),
+        "period_share": lambda s, d: groups.value_counts(docs(s, d), "grp", normalize=True).select("grp", F.round("share", 9).alias("share")),
+        "yearly_counts": lambda s, d: year_counts(s, d).select("year", F.col("n").alias("num_paragraphs")).orderBy("year"),
+        "corpus_stats": _corpus_stats,
+        "group_topic_diff": _difference,
+        "group_topic_diff_top": lambda s, d: _difference(s, d).orderBy(F.desc("difference"), "topic").limit(15),
+        "attention_shift": _shift,
+        "attention_extremes": lambda s, d: groups.extremes(_shift(s, d), "attention_shift", 5),
+        "null_model_empirical": _null_model("empirical"),
+        "null_model_add_one": _null_model("add_one"),
+        "null_model_by_counts": lambda s, d: groups.permutation_test_by_counts(docs(s, d), LEFT, RIGHT, 200, "add_one"),
+        "topics_over_time_20": _over_time(20),
+        "topics_over_time_yearly": _over_time("yearly"),
+        "topics_over_time_quarterly": _over_time("quarterly"),
+        "topic_words_over_time": _words_over_time,
+        "trend_normalized_calendar": _normalized("calendar"),
+        "trend_normalized_bin_left": _normalized("bin_left"),
+        "heatmap_top15": lambda s, d: trends.heatmap(trends.topic_period_counts(docs(s, d), period="year"), names(s, d), 15, "period"),
+        "evolution_up": lambda s, d: trends.growing(trends.evolution(gappy_counts(s, d))),
+        "evolution_down": lambda s, d: trends.shrinking(trends.evolution(gappy_counts(s, d))),
+        "evolution_all": lambda s, d: trends.evolution(panel_counts(s, d)),
+        "volatility": lambda s, d: dated(trends.volatility(panel_counts(s, d))),
+        "volatility_gappy": lambda s, d: dated(trends.volatility(gappy_counts(s, d))),
+        "volatility_events": lambda s, d: dated(trends.volatility(trends.topic_period_counts(
+            table(s, d, "events", "event_type", "ts").select(F.col("event_type").alias("topic"), F.to_date("ts").alias("period"))))),
+        "focusing_events": lambda s, d: dated(trends.focusing_events(panel_counts(s, d))).withColumn("z", F.round("z", 6)),
+        "focusing_events_months": lambda s, d: dated(trends.focusing_events(trends.topic_period_counts(
+            docs(s, d, "ingested_at").withColumn("period", periods.month_end(F.col("ingested_at")))))).withColumn("z", F.round("z", 6)),
+        "similarity_summary": lambda s, d: _similarity_round(vectors.similarity_summary(grouped_vectors(s, d), LEFT, RIGHT)),
+        "similarity_pairs": lambda s, d: _similarity_round(vectors.similarity_summary(grouped_vectors(s, d), LEFT, RIGHT, diagonal="pairs")),
+        "balanced_sample": lambda s, d: vectors.balanced_sample(grouped_vectors(s, d), "vec_id", (LEFT, RIGHT), 200).select("vec_id", "grp"),
+        "seed_affinity": _seed_affinity,
+        "seed_terms": lambda s, d: table(s, d, "seed_topics").select("seed_id", F.explode("terms").alias("term")),
+        "guided_vectors": _guided,
+        "ctfidf_terms": lambda s, d: _keywords(s, d, 4).select("topic", "rank", "term", F.round("weight", 9).alias("weight")),
+        "topic_labels": lambda s, d: topics.default_labels(_keywords(s, d, 4)),
+        "ngram_vocabulary": _ngram_vocabulary,
+        "coherence_umass": lambda s, d: topics.coherence_umass(_umass(s, d), _keywords(s, d)).select("topic", "measure", F.round("score", 6).alias("score")),
+        "coherence_pairs": lambda s, d: _umass(s, d).select("topic", "term_i", "term_j", F.round("score", 6).alias("score")),
+        "coherence_cv": lambda s, d: topics.coherence_cv(topic_tokens(s, d), _keywords(s, d), "doc_id"),
+        "coherence_stats": lambda s, d: topics.coherence_statistics(topics.coherence_umass(_umass(s, d), _keywords(s, d), 0.01)).select(
+            "measure", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")]),
+        "topic_merge": _merged,
+        "topic_hierarchy": _hierarchy,
+        "kmeans_topics": lambda s, d: vectors.cluster(table(s, d, "embeddings"), "vec_id", 10),
+        "pca_projection": lambda s, d: vectors.project(grouped_vectors(s, d), "vec_id", 2),
+        "page_paragraphs": _page_table,
+        "chart_topic_shift": lambda s, d: charts.grouped_bars(_difference(s, d), "label", ("trump", "biden"), "difference", 15),
+        "chart_similarity": lambda s, d: charts.unpivoted(_similarity_round(vectors.similarity_summary(grouped_vectors(s, d), LEFT, RIGHT)), ("within_trump", "within_biden", "between")),
+        "chart_volatility": lambda s, d: dated(charts.with_markers(trends.volatility(panel_counts(s, d)), "period", ("1997-01-20", "2001-01-20"))),
+        "summary_report": lambda s, d: s.createDataFrame(
+            [(i, x) for i, x in enumerate(report.summary(
+                shift=_difference(s, d), similarity=_similarity_round(vectors.similarity_summary(grouped_vectors(s, d), LEFT, RIGHT)),
+                spikes=trends.focusing_events(panel_counts(s, d)), volatility=trends.volatility(panel_counts(s, d))).split("\n"))], "line_no int, line string"),
+    }
+
+
+# SQL ------------------------------------------------------------------------
+
+_YEAR = """y AS (SELECT para_id, text, ingested_at, TRY_CAST(trim(year) AS DOUBLE) AS yd FROM processed_paragraphs_filtered),
+docs AS (SELECT para_id AS doc_id, CAST(yd AS INT) AS year, topic, text, ingested_at,
+  CASE WHEN yd >= 2021 THEN 'Biden' WHEN yd >= 2017 THEN 'Trump' ELSE 'Other' END AS grp
+  FROM y JOIN (SELECT DISTINCT para_id, topic FROM paragraph_topics) USING (para_id) WHERE yd IS NOT NULL AND yd = floor(yd))"""
+_SHARES = _YEAR + """,
+g AS (SELECT topic, count(*) FILTER (grp = 'Trump') AS n_l, count(*) FILTER (grp = 'Biden') AS n_r, count(*) AS n FROM docs WHERE topic IS NOT NULL GROUP BY topic),
+s AS (SELECT topic, n_l, n_r, n_l / (SELECT sum(n_l) FROM g)::DOUBLE AS trump, n_r / (SELECT sum(n_r) FROM g)::DOUBLE AS biden FROM g)"""
+_LABEL = "coalesce(name, 'Topic ' || s.topic) AS label"
+_DIFF = "WITH " + _SHARES + f""",
+diff AS (SELECT s.topic, round(trump, 9) AS trump, round(biden, 9) AS biden, {_LABEL}, round(abs(trump - biden), 9) AS difference
+  FROM s LEFT JOIN topic_info USING (topic) WHERE n_l + n_r > 0)"""
+_SHIFT = "WITH " + _SHARES + f""",
+shift AS (SELECT s.topic, round(trump, 9) AS trump, round(biden, 9) AS biden, round(biden - trump, 9) AS attention_shift, {_LABEL}
+  FROM s LEFT JOIN topic_info USING (topic))"""
+_PANEL = """panel AS (SELECT CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS topic, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, count(*) AS frequency
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+gappy AS (SELECT * FROM panel WHERE frequency % 3 <> 0)"""
+
+
+def _null_sql(p: str) -> str:
+    return "WITH " + _SHARES + f""",
+n AS (SELECT CAST(sum(n_l) AS BIGINT) AS nl, CAST(sum(n_r) AS BIGINT) AS nr FROM g),
+r AS (SELECT p, topic, row_number() OVER (PARTITION BY p ORDER BY md5(p || '|' || doc_id), doc_id) AS rn FROM docs, range(50) t(p) WHERE topic IS NOT NULL),
+c AS (SELECT p, topic, count(*) FILTER (rn <= nl) AS cl, count(*) FILTER (rn > nl AND rn <= nl + nr) AS cr FROM r, n GROUP BY p, topic),
+d AS (SELECT p, topic, abs(cl / nl::DOUBLE - cr / nr::DOUBLE) AS nd FROM c, n),
+o AS (SELECT topic, trump, biden, abs(trump - biden) AS ad FROM s WHERE n_l + n_r > 0),
+h AS (SELECT o.topic, trump, biden, ad, count(*) FILTER (coalesce(nd, 0) >= ad) AS hits FROM o CROSS JOIN range(50) t(p) LEFT JOIN d ON d.topic = o.topic AND d.p = t.p GROUP BY ALL)
+SELECT topic, round(trump, 9) AS trump, round(biden, 9) AS biden, round(ad, 9) AS abs_difference, round({p}, 9) AS p_value, {p} < 0.05 AS significant FROM h"""
+
+
+def _bins_sql(bins: str, rest: str = "") -> str:
+    return "WITH " + _YEAR + f""",
+span AS (SELECT min(year)::DOUBLE AS lo, max(year)::DOUBLE AS hi FROM docs WHERE topic IS NOT NULL),
+size AS (SELECT lo, hi, CAST({bins} AS INT) AS n FROM span),
+edges AS (SELECT lo - (hi - lo) * 0.001::DOUBLE AS e FROM size UNION ALL SELECT lo + (hi - lo) * i / n FROM size, range(1, 1000) t(i) WHERE i <= n),
+over_time AS (SELECT topic, (SELECT max(e) FROM edges WHERE e < year) AS ts, count(*) AS frequency FROM docs WHERE topic IS NOT NULL GROUP BY 1, 2)
+""" + (rest or "SELECT topic, round(ts, 6) AS timestamp, frequency FROM over_time")
+
+
+def _trend_sql(year: str) -> str:
+    return _bins_sql("20", f""", years AS (SELECT year, count(*) AS n FROM docs GROUP BY year)
+SELECT topic, round(ts, 6) AS timestamp, frequency, round(frequency / coalesce(n, 1)::DOUBLE, 9) AS share
+FROM over_time LEFT JOIN years ON years.year = CAST({year} AS INT)""")
+
+
+def _full(counts: str, fill: str) -> str:
+    return f"""f AS (SELECT t.topic, p.period, {fill} AS frequency FROM (SELECT DISTINCT topic FROM {counts}) t CROSS JOIN (SELECT DISTINCT period FROM {counts}) p
+  LEFT JOIN {counts} c ON c.topic = t.topic AND c.period = p.period),
+l AS (SELECT *, frequency - lag(frequency) OVER (PARTITION BY topic ORDER BY period) AS change FROM f)"""
+
+
+_EVOLUTION = "SELECT topic, coalesce(sum(change), 0)::DOUBLE AS change FROM l GROUP BY topic"
+_VOLATILITY = "SELECT CAST(period AS VARCHAR) AS period, coalesce(sum(abs(change)), 0)::DOUBLE AS volatility FROM l GROUP BY period"
+_Z = """, z AS (SELECT topic, period, frequency, avg(frequency) OVER w AS m, stddev_samp(frequency) OVER w AS sd FROM f
+  WINDOW w AS (PARTITION BY topic ORDER BY period ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+zz AS (SELECT topic, period, frequency, (frequency - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS z FROM z)
+SELECT topic, CAST(period AS VARCHAR) AS period, frequency, round(z, 6) AS z FROM zz WHERE z > 2"""
+_MONTHS = "WITH " + _YEAR + """, m AS (SELECT topic, last_day(CAST(ingested_at AS DATE)) AS period, count(*) AS frequency FROM docs
+  WHERE topic IS NOT NULL AND ingested_at IS NOT NULL GROUP BY 1, 2), """
+
+
+def _similarity_sql(within: str) -> str:
+    pairs = {"n2": "n * n", "pairs": "n * (n - 1)"}[within]
+    return f"""WITH v AS (SELECT vec_id, CASE WHEN label < 5 THEN 'a' ELSE 'b' END AS g, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT g, unnest(e) AS x, generate_subscripts(e, 1) AS i, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS nn FROM v),
+s AS (SELECT g, i, sum(CASE WHEN nn > 0 THEN x / nn ELSE 0 END) AS t FROM u GROUP BY g, i),
+n AS (SELECT g, count(*) AS n, count(*) FILTER (list_sum(list_transform(e, lambda y: y * y)) > 0) AS filled FROM v GROUP BY g),
+w AS (SELECT s.g, (sum(t * t) - any_value(filled)) / any_value({pairs}) AS within, any_value(n) AS n FROM s JOIN n USING (g) GROUP BY s.g),
+b AS (SELECT sum(x.t * y.t) AS ab FROM s x JOIN s y ON x.i = y.i AND x.g = 'a' AND y.g = 'b')
+SELECT round(wa.within, 9) AS within_trump, round(wb.within, 9) AS within_biden, round(ab / (wa.n * wb.n), 9) AS between,
+  wa.n AS trump_documents, wb.n AS biden_documents FROM w wa, w wb, b WHERE wa.g = 'a' AND wb.g = 'b'"""
+
+
+def _tokens_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in enhanced_stopwords())
+    return "WITH " + _YEAR + f""",
+tok AS (SELECT doc_id, topic, list_filter(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}'), lambda w: NOT list_contains([{stop}], w)) AS tokens FROM docs WHERE text IS NOT NULL),
+tc AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic, unnest(tokens) AS term FROM tok WHERE topic IS NOT NULL) GROUP BY 1, 2),
+tw AS (SELECT topic, sum(tf) AS words FROM tc GROUP BY topic),
+tt AS (SELECT term, sum(tf) AS total FROM tc GROUP BY term),
+wt AS (SELECT topic, term, tf / words::DOUBLE * ln(1 + (SELECT avg(words) FROM tw) / total::DOUBLE) AS weight FROM tc JOIN tw USING (topic) JOIN tt USING (term)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM wt)"""
+
+
+_PAIRS = """,
+kw AS (SELECT topic, term, rank FROM rk WHERE rank <= 10),
+dt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) WHERE term IN (SELECT term FROM kw)),
+dc AS (SELECT term, count(*) AS d FROM dt GROUP BY term),
+bc AS (SELECT x.term AS a, y.term AS b, count(*) AS d FROM dt x JOIN dt y USING (doc_id) GROUP BY 1, 2),
+up AS (SELECT i.topic, i.term AS term_i, j.term AS term_j, ln((coalesce(bc.d, 0) / (SELECT count(*) FROM tok)::DOUBLE + 1e-12) / (dc.d / (SELECT count(*) FROM tok)::DOUBLE)) AS score
+  FROM kw i JOIN kw j ON i.topic = j.topic AND i.rank > j.rank JOIN dc ON dc.term = j.term LEFT JOIN bc ON bc.a = i.term AND bc.b = j.term),
+um AS (SELECT topic, 'u_mass' AS measure, avg(score) AS score FROM kw LEFT JOIN up USING (topic) GROUP BY topic)
+"""
+_S = r"[ \t\r\n]"
+
+
+def _replaced(column: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, by in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return f"trim(regexp_replace({column}, '{_S}+', ' ', 'g'))"
+
+
+def _classes(pattern: str) -> str:
+    return pattern.replace("{S}", _S).replace("{W}", "A-Za-z0-9_").replace("'", "''")
+
 
-def queries() -> dict:
-    return {}
+_RULES = r"""WITH p AS (SELECT doc_id, lang, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS para_idx,
+  regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '^[ \t\r\n\x0b\x0c]+|[ \t\r\n\x0b\x0c]+$', '', 'g') AS paragraph FROM documents WHERE text IS NOT NULL),
+r AS (SELECT *, CASE WHEN contains(paragraph, repeat('.', 147)) THEN 'table_of_contents' WHEN contains(paragraph, 'ACRONYMS AND ABBREVIATIONS') THEN 'acronyms'
+  WHEN regexp_matches(paragraph, '[\x{0E00}-\x{0E7F}\x{0600}-\x{06FF}]') THEN 'non_latin'
+  WHEN len(regexp_split_to_array(regexp_replace(paragraph, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '[ \t\r\n]+')) < 10 THEN 'short_paragraph'
+  WHEN length(regexp_replace(paragraph, '[^0-9]', '', 'g')) / length(paragraph)::DOUBLE > 0.2::DOUBLE THEN 'too_many_numbers'
+  WHEN upper(paragraph) = paragraph AND lower(paragraph) <> paragraph THEN 'all_caps'
+  WHEN regexp_matches(paragraph, '^([0-9]+\.|[A-Z][a-z]+[ \t\r\n]*,|et al\.)') THEN 'references'
+  WHEN lang IN ('id', 'fr', 'es', 'ar', 'th') THEN 'unwanted_language' END AS skip_reason FROM p WHERE paragraph <> '')
+"""
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    reasons = ", ".join(f"('{r}')" for r in quality.REASONS)
+    seeds = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT label AS seed, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT vec_id, seed, list_cosine_similarity(e, c) AS cosine FROM v CROSS JOIN c)
+SELECT vec_id, seed, round(cosine, 6) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, seed) = 1"""
+    return {
+        "para_valid": _RULES + "SELECT doc_id, CAST(para_idx AS BIGINT) AS para_idx, paragraph FROM r WHERE skip_reason IS NULL",
+        "para_skip_counts": _RULES + f"SELECT d.skip_reason, count(r.doc_id) AS n FROM (VALUES {reasons}) d(skip_reason) LEFT JOIN r USING (skip_reason) GROUP BY 1",
+        "corpus_clean": "SELECT para_id, " + _replaced("text", [(_classes(p), " ") for p in text.CORPUS_REMOVALS]) + " AS cleaned FROM processed_paragraphs_filtered",
+        "year_from_filename": "SELECT DISTINCT filename, regexp_extract(filename, 'document_([0-9]{4})-', 1) AS year FROM source_files",
+        "period_label": "WITH " + _YEAR + " SELECT grp, count(*) AS n FROM docs GROUP BY grp",
+        "period_share": "WITH " + _YEAR + " SELECT grp, round(count(*) / (SELECT count(*) FROM docs)::DOUBLE, 9) AS share FROM docs GROUP BY grp",
+        "yearly_counts": "WITH " + _YEAR + " SELECT year, count(*) AS num_paragraphs FROM docs GROUP BY year",
+        "corpus_stats": "WITH " + _YEAR + " SELECT count(*) AS n, min(year) AS first_year, max(year) AS last_year, count(*) FILTER (grp = 'Trump') AS trump, count(*) FILTER (grp = 'Biden') AS biden FROM docs",
+        "group_topic_diff": _DIFF + " SELECT * FROM diff",
+        "group_topic_diff_top": _DIFF + " SELECT * FROM diff ORDER BY difference DESC, topic LIMIT 15",
+        "attention_shift": _SHIFT + " SELECT * FROM shift",
+        "attention_extremes": _SHIFT + " (SELECT * FROM shift ORDER BY attention_shift DESC, topic LIMIT 5) UNION ALL (SELECT * FROM shift ORDER BY attention_shift, topic LIMIT 5)",
+        "null_model_empirical": _null_sql("(hits / 50::DOUBLE)"),
+        "null_model_add_one": _null_sql("((hits + 1) / 51::DOUBLE)"),
+        "topics_over_time_20": _bins_sql("20"),
+        "topics_over_time_yearly": _bins_sql("hi - lo + 1"),
+        "topics_over_time_quarterly": _bins_sql("(hi - lo + 1) * 4"),
+        "trend_normalized_calendar": _trend_sql("ceil(ts)"),
+        "trend_normalized_bin_left": _trend_sql("floor(ts)"),
+        "heatmap_top15": "WITH " + _YEAR + """, c AS (SELECT topic, year AS period, count(*) AS frequency FROM docs WHERE topic IS NOT NULL GROUP BY 1, 2),
+top AS (SELECT topic FROM c GROUP BY topic ORDER BY sum(frequency) DESC, topic LIMIT 15),
+m AS (SELECT coalesce(name, 'Topic ' || c.topic) AS label, period, avg(frequency) AS frequency FROM c JOIN top USING (topic) LEFT JOIN topic_info USING (topic) GROUP BY 1, 2)
+SELECT label, period, coalesce(frequency, 0)::DOUBLE AS frequency FROM (SELECT DISTINCT label FROM m) CROSS JOIN (SELECT DISTINCT period FROM m) LEFT JOIN m USING (label, period)""",
+        "evolution_up": "WITH " + _PANEL + ", " + _full("gappy", "c.frequency") + f" SELECT * FROM ({_EVOLUTION}) ORDER BY change DESC, topic LIMIT 10",
+        "evolution_down": "WITH " + _PANEL + ", " + _full("gappy", "c.frequency") + f" SELECT * FROM ({_EVOLUTION}) ORDER BY change, topic LIMIT 10",
+        "evolution_all": "WITH " + _PANEL + ", " + _full("panel", "c.frequency") + " " + _EVOLUTION,
+        "volatility": "WITH " + _PANEL + ", " + _full("panel", "coalesce(c.frequency, 0)") + " " + _VOLATILITY,
+        "volatility_gappy": "WITH " + _PANEL + ", " + _full("gappy", "coalesce(c.frequency, 0)") + " " + _VOLATILITY,
+        "volatility_events": "WITH e AS (SELECT event_type AS topic, CAST(ts AS DATE) AS period, count(*) AS frequency FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2), "
+        + _full("e", "coalesce(c.frequency, 0)") + " " + _VOLATILITY,
+        "focusing_events": "WITH " + _PANEL + ", " + _full("panel", "coalesce(c.frequency, 0)") + _Z,
+        "focusing_events_months": _MONTHS + _full("m", "coalesce(c.frequency, 0)") + _Z,
+        "similarity_summary": _similarity_sql("n2"),
+        "similarity_pairs": _similarity_sql("pairs"),
+        "balanced_sample": """SELECT vec_id, grp FROM (SELECT vec_id, CASE WHEN label < 5 THEN 'Trump' ELSE 'Biden' END AS grp FROM embeddings)
+QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5('42|' || vec_id), vec_id) <= 100""",
+        "seed_affinity": seeds,
+        "seed_terms": "SELECT seed_id, unnest(terms) AS term FROM seed_topics",
+        "ctfidf_terms": _tokens_sql() + " SELECT topic, CAST(rank AS INT) AS rank, term, round(weight, 9) AS weight FROM rk WHERE rank <= 4",
+        "topic_labels": _tokens_sql() + " SELECT topic, topic || '_' || string_agg(term, '_' ORDER BY rank) AS name FROM rk WHERE rank <= 4 GROUP BY topic",
+        "coherence_pairs": _tokens_sql() + _PAIRS + "SELECT topic, term_i, term_j, round(score, 6) AS score FROM up",
+        "coherence_umass": _tokens_sql() + _PAIRS + "SELECT topic, measure, round(score, 6) AS score FROM um",
+        "coherence_stats": _tokens_sql() + _PAIRS + """SELECT measure, round(avg(coalesce(score, 0.01)), 6) AS mean, round(median(coalesce(score, 0.01)), 6) AS median,
+round(stddev_samp(coalesce(score, 0.01)), 6) AS std FROM um GROUP BY measure""",
+        "chart_volatility": "WITH " + _PANEL + ", " + _full("panel", "coalesce(c.frequency, 0)") + f""", v AS ({_VOLATILITY})
+SELECT period, volatility, CAST((SELECT count(*) FROM (VALUES ('1997-01-20'), ('2001-01-20')) m(x) WHERE x <= period) AS INT) AS era FROM v""",
+    }
