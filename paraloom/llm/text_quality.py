@@ -29,6 +29,7 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 FIGURE = re.compile(r"[-–—]|n/a|[(]?[-+$€£]?\d[\d.,:/]*\d*%?[)]?,?", re.I)
 MARKER = re.compile(r"\s*(?:([-–—•*▪◦·‣●o➢»>])|(\(?\d{1,3}[.)])|(\(?[A-Za-z][.)])|(\(?[ivxIVX]{1,5}[.)])|(\d{1,2}(?:\.\d{1,2})+\.?))\s+\S")
+BULLET_DASH = re.compile(r"\s*[-–—]\s+[^\W\d_]")
 INLINE = re.compile(r"(?:(?<=\s)|^)(?:[-–—•*▪◦·‣●]|o(?=\s+[A-Z])|\(?\d{1,3}[.)]|\(?[a-z][.)]|\(?[ivx]{1,5}[.)])\s+(?=\S)")
 LEADER = re.compile(r"(?:\.\s?){4,}|…{2,}|_{4,}")
 ABBREVIATION = re.compile(r"(?:^|(?<=\n)|(?<=[;\n ]))[A-Z][A-Z0-9&/-]{1,7}(?:\t+| {2,}| ?[-–—:=] ?)[A-Z][\w-]+")
@@ -81,6 +82,7 @@ def statistics(text: str | None) -> tuple:
     common = sum(1 for w in lowered if len(w) > 1 and w in ALL_FUNCTION_WORDS)
     common_share = common / n_words if n_words else 0.0
     figures = sum(1 for t in tokens if FIGURE.fullmatch(t) or t == "|" or t == ";")
+    figures -= sum(1 for x in lines if BULLET_DASH.match(x))  # a dash before a word is no empty cell
     if figures < 0.3 * len(tokens) and common_share < 0.15 and "," in text:
         cells = re.split(r",|\n|\s\s+", text)
         cell_figures = sum(1 for c in cells if FIGURE.fullmatch(c.strip()) or not c.strip())
