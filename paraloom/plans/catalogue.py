@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paraloom.functions import periods, text
 from paraloom.functions.stopwords import enhanced_stopwords
-from paraloom.operators import charts, groups, quality, report, topics, trends, vectors
+from paraloom.operators import charts, groups, model, quality, report, topics, trends, vectors
 from paraloom.sources import pages
 from paraloom.sources.tables import table
 
@@ -151,6 +151,12 @@ def _ngram_vocabulary(s, d):
     return topics.vocabulary_filter(topics.term_counts(grams), 5, 0.95)
 
 
+def _topic_model(s, d):
+    """The whole model over all documents: hashed embedding, seeds, projection, clusters, terms and names."""
+    fitted = model.fit(table(s, d, "documents", "doc_id", "text"), "doc_id", k=20, seeds=table(s, d, "seed_topics"))
+    return fitted.topic_info
+
+
 def _guided(s, d):
     v = table(s, d, "embeddings")
     seeds = vectors.centroids(v, "label").withColumnRenamed("label", "seed_id")
@@ -213,6 +219,7 @@ def queries() -> dict[str, Query]:
             "measure", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")]),
         "topic_merge": _merged,
         "topic_hierarchy": _hierarchy,
+        "topic_model": _topic_model,
         "kmeans_topics": lambda s, d: vectors.cluster(table(s, d, "embeddings"), "vec_id", 10),
         "pca_projection": lambda s, d: vectors.project(grouped_vectors(s, d), "vec_id", 2),
         "page_paragraphs": _page_table,
