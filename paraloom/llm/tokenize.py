@@ -26,6 +26,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paraloom.session import materialize
+
 VOCABULARIES = "/opt/tokenizers"
 # fixed value: the published pre-tokeniser pattern of this vocabulary
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -132,13 +134,14 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", name:
     key_type = source.schema["key"].dataType.simpleString()
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
     short = source.where(~long).mapInArrow(_encode(name, folder), f"key {key_type}, {ids}")
-    huge = _encode_long(source.where(long), key_type, name, folder, chunk)
+    # the few long ones are set down with a row number first: it must be the same wherever it is read again
+    rows = materialize(source.where(long).withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    huge = _encode_long(rows, key_type, name, folder, chunk)
     return short.unionByName(huge).select(F.col("key").alias(key), "ids")
 
 
-def _encode_long(source: DataFrame, key_type: str, name: str, folder: str, chunk: int) -> DataFrame:
+def _encode_long(rows: DataFrame, key_type: str, name: str, folder: str, chunk: int) -> DataFrame:
     """Texts over one chunk: chunk rows in parallel, stitched by window, encoded in parallel, gathered per text."""
-    rows = source.withColumn("row", F.monotonically_increasing_id())
     n = F.length("text")
     cut = rows.select("row", "key", "text", F.posexplode(F.sequence(F.lit(0), (n - 1).cast("int"), F.lit(chunk))).alias("k", "start"))
     chunks = cut.select("row", "key", "k", F.col("start").cast("bigint").alias("start"), F.lit(chunk).alias("own"),
