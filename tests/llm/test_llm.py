@@ -270,7 +270,7 @@ def test_wrong_training_labels_do_not_win(model):
 def noise_model():
     counts = collections.Counter({w: 500 for w in WORDS} | {"short": 400, "term": 400, "short-term": 300, "pufendora": 200, "interim": 300, "women": 300, "received": 300, "long": 300})
     rows, inner, outer = scan_noise.skip_grams([" ".join(WORDS)] * 5, counts)
-    return scan_noise.NoiseModel(dict(counts), rows, inner, outer, -1e9, 5, sum(counts.values()))
+    return scan_noise.NoiseModel(dict(counts), rows, inner, outer, -1e9, 5, 50_000)
 
 
 def test_noise_and_its_repair():
