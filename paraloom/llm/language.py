@@ -39,6 +39,7 @@ NAMES = {
 }
 BUCKETS, DIMENSIONS = 1 << 15, 16
 PER_LANGUAGE = 250
+LONGEST_SAMPLE = 100_000  # characters of a text that may be in the sample
 EPOCHS, RATE, BATCH = 5, 0.5, 16
 WORDS_KEPT = 300_000
 #: Thai marks no sentence ends; a stretch of this many characters holds two sentences or more.
@@ -239,7 +240,7 @@ def training_rows(paragraphs: DataFrame, labels: DataFrame, per_language: int =
     first = sliced.withColumn("_n", F.row_number().over(inner)).where(F.col("_n") <= per_language)
     chosen = first.withColumn("_n", F.row_number().over(outer)).where(F.col("_n") <= per_language).select("para_id", "lang")
     # bounded: languages x per_language rows
-    got = paragraphs.select("para_id", "text").where("text is not null").join(F.broadcast(chosen), "para_id").select("lang", "text")
+    got = paragraphs.select("para_id", "text").where(F.length("text").between(1, LONGEST_SAMPLE)).join(F.broadcast(chosen), "para_id").select("lang", "text")
     return [(r["lang"], r["text"]) for r in got.collect()]
 
 
