@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from paraloom.functions.stopwords import enhanced_stopwords
 from paraloom.functions.text import letter_tokens
 from paraloom.operators import topics, vectors
+from paraloom.session import materialize
 
 Embedder = Callable[[DataFrame], DataFrame]
 Labeler = Callable[[DataFrame], DataFrame]
@@ -32,13 +33,13 @@ def tokenized(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return topics.without_stopwords(rows, enhanced_stopwords())
 
 
-def hashed_embedding(tokens: DataFrame, key: str, features: int = 1 << 11, size: int = 32) -> DataFrame:
+def hashed_embedding(tokens: DataFrame, key: str, features: int = 1 << 10, size: int = 32) -> DataFrame:
     """(key, embedding): TF-IDF over hashed terms, projected to ``size`` principal components.
 
     The covariance that the projection needs has features x features cells, whatever the number of rows.
     """
     counted = HashingTF(inputCol="tokens", outputCol="_tf", numFeatures=features).transform(tokens.where(F.size("tokens") > 0))
-    weighted = IDF(inputCol="_tf", outputCol="_w").fit(counted).transform(counted)
+    weighted = IDF(inputCol="_tf", outputCol="_w").fit(counted).transform(counted).select(key, "_w")
     return PCA(k=size, inputCol="_w", outputCol="_p").fit(weighted).transform(weighted).select(key, vector_to_array("_p").alias("embedding"))
 
 
@@ -81,16 +82,19 @@ def describe(doc_topic: DataFrame, tokens: DataFrame, key: str, labeler: Labeler
 def fit(df: DataFrame, key: str, text: str = "text", k: int = 50, seeds: DataFrame | None = None, embedder: Embedder | None = None,
         labeler: Labeler = topics.default_labels, components: int = 5, merge_above: float | None = 0.95, seed: int = 42) -> TopicModel:
     """``embedder`` takes (key, tokens) and gives (key, embedding); documents without a token or vector get no topic."""
-    tokens = tokenized(df, key, text)
-    embedded = (embedder or (lambda t: hashed_embedding(t, key)))(tokens)
+    # every stage is read several times (fits, iterations, joins), so each is a table in the shared folder
+    tokens = materialize(tokenized(df, key, text), "tokens")
+    embedded = materialize((embedder or (lambda t: hashed_embedding(t, key)))(tokens), "embedding")
     if seeds is not None:
         centres = seed_centroids(tokens, embedded, seeds, key)
-        embedded = vectors.guided(embedded, vectors.seed_affinity(embedded, centres, key), centres, key, floor=0.3)
-    flat = vectors.project(embedded, key, components).withColumnRenamed("coordinates", "embedding")
-    assigned = vectors.cluster(flat, key, k, seed=seed)
+        centres = materialize(centres, "seeds")
+        embedded = materialize(vectors.guided(embedded, vectors.seed_affinity(embedded, centres, key), centres, key, floor=0.3), "guided")
+    flat = materialize(vectors.project(embedded, key, components).withColumnRenamed("coordinates", "embedding"), "projected")
+    assigned = materialize(vectors.cluster(flat, key, k, seed=seed), "clusters")
     if merge_above is not None:
         weights = topics.class_tf_idf(topics.term_counts(tokens.join(assigned, key)))
         groups = topics.merged_topics(topics.topic_similarity(weights), weights.select("topic"), merge_above)
         assigned = assigned.join(F.broadcast(groups), "topic", "left").select(key, F.coalesce("merged", "topic").alias("topic"))
+    assigned = materialize(assigned, "doc-topic")
     terms, info = describe(assigned, tokens, key, labeler)
     return TopicModel(key, assigned, terms, info, vectors.centroids(embedded.join(assigned, key), "topic"))

@@ -173,7 +173,7 @@ def queries() -> dict[str, Query]:
         "para_valid": lambda s, d: _paragraph_rules(s, d).where("skip_reason is null").select("doc_id", F.col("para_idx").cast("bigint").alias("para_idx"), "paragraph"),
         "para_skip_counts": lambda s, d: quality.skip_counts(_paragraph_rules(s, d)),
         "corpus_clean": lambda s, d: table(s, d, PARAGRAPHS, "para_id", "text").select("para_id", text.corpus_clean(F.col("text"), unicode=False).alias("cleaned")),
-        "ocr_clean": lambda s, d: table(s, d, "documents", "doc_id", "text").select("doc_id", text.ocr_clean(F.col("text"), unicode=False).alias("cleaned")),
+        "ocr_clean": lambda s, d: table(s, d, PARAGRAPHS, "para_id", "text").select("para_id", text.ocr_clean(F.col("text"), unicode=False).alias("cleaned")),
         "year_from_filename": lambda s, d: table(s, d, "source_files", "filename").distinct().select("filename", text.year_from_filename(F.col("filename")).alias("year")),
         "period_label": lambda s, d: groups.value_counts(docs(s, d), "grp"),
         "period_share": lambda s, d: groups.value_counts(docs(s, d), "grp", normalize=True).select("grp", F.round("share", 9).alias("share")),
