@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +23,35 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("paraloom")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    return (
+    spark = (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the session's Python workers, once per application.
+
+    They then import it wherever they run and whatever their working folder is.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="paraloom-code-")) / "paraloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, Path(root.name) / path.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
