@@ -356,6 +356,8 @@ CASES = [
     ("Send to info@mission.test or ILKA.G+news@net.kv.example.", {("email", "info@mission.test"), ("email", "ILKA.G+news@net.kv.example")}),
     ("Write at osric_p at health-desk [dot] example now, cost at 7082.5 per visit; follow @health_desk", {("email", "osric_p at health-desk [dot] example")}),
     ("Send to lumira.t at health-desk.example, which cost at 20.5 at Kandor. Then", {("email", "lumira.t at health-desk.example")}),
+    ("Write to Ilka Dobarez at fenna.pukosar@net.kv.example or Ilka Dobarez at fenna.pukosar at post [dot] invalid", {
+        ("name", "Ilka Dobarez"), ("email", "fenna.pukosar@net.kv.example"), ("email", "fenna.pukosar at post [dot] invalid")}),
     ("Ask a(at)post.invalid", {("email", "a(at)post.invalid")}),
     ("Ring +44 7700 900474 or (225) 555-0138, 020 7946 0510, 00999 71/826984, 881.555.0147, +999614446085.", {
         ("phone", x) for x in ("+44 7700 900474", "(225) 555-0138", "020 7946 0510", "00999 71/826984", "881.555.0147", "+999614446085")}),
