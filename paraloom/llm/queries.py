@@ -125,6 +125,16 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(paragraphs, links)
 
 
+P5_FOUND = r"""
+WITH w AS (SELECT para_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM processed_paragraphs_filtered WHERE text IS NOT NULL),
+p AS (SELECT para_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 40),
+g AS (SELECT DISTINCT para_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM p),
+n AS (SELECT para_id, count(*) AS n FROM g GROUP BY para_id),
+o AS (SELECT a.para_id AS para_id_a, b.para_id AS para_id_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.para_id < b.para_id GROUP BY 1, 2)
+SELECT para_id_a, para_id_b FROM o JOIN n x ON x.para_id = para_id_a JOIN n y ON y.para_id = para_id_b WHERE o >= 0.6::DOUBLE * (x.n + y.n - o) - 1e-9
+"""
+
+
 # Problem 6 ------------------------------------------------------------------
 
 def _term_store(spark: SparkSession, folder: str) -> term_counts.TermCountStore:
@@ -203,6 +213,15 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return _leak_search(spark, folder, False).select("doc_id", "item_id")
 
 
+P9_FOUND = r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dr AS (SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS r FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+er AS (SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS r FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+SELECT DISTINCT dr.id AS doc_id, er.id AS item_id FROM dr JOIN er USING (r)
+"""
+
+
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """All leaks with their longest run, common subsequence and answers told, paraphrases included."""
     return _leak_search(spark, folder, True)
@@ -241,4 +260,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p6_found": P6_FOUND, "p6_counts": P6_COUNTS, "p7_found": P7_FOUND}
+    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND, "p9_found": P9_FOUND, "p6_found": P6_FOUND, "p6_counts": P6_COUNTS, "p7_found": P7_FOUND}
