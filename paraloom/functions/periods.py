@@ -23,6 +23,15 @@ def year_start(year: Column) -> Column:
     return F.make_date(year, F.lit(1), F.lit(1)).cast("timestamp_ntz")
 
 
+def timestamp_year(value: Column, kind: str) -> Column:
+    """The year of a numeric year (its integer part), a date, a timestamp, or a string that begins with a year."""
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.year(value)
+    if kind == "string":
+        return F.regexp_extract(value, r"^\s*([0-9]{4})", 1).try_cast("int")
+    return F.floor(value).cast("int")
+
+
 def month_end(ts: Column) -> Column:
     return F.last_day(F.to_date(ts))
 

@@ -151,6 +151,31 @@ def _ngram_vocabulary(s, d):
     return topics.vocabulary_filter(topics.term_counts(grams), 5, 0.95)
 
 
+def _significant(s, d):
+    """The bars of the significant topics, with short labels."""
+    tested = groups.labels(groups.permutation_test(docs(s, d), LEFT, RIGHT, 50), names(s, d)).where("p_value <= 0.5")
+    return tested.select(text.short_label(F.col("topic"), F.col("label"), 20).alias("bar"), F.round("abs_difference", 9).alias("abs_difference"), "significant")
+
+
+def _topic_terms_chart(s, d):
+    weights = topics.class_tf_idf(topics.term_counts(topic_tokens(s, d)))
+    largest = docs(s, d).where("topic is not null").groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(15)
+    return topics.top_terms(weights, 10).join(largest.select("topic"), "topic", "left_semi").select("topic", "rank", "term", F.round("weight", 9).alias("weight"))
+
+
+def _topic_map(s, d):
+    """Every topic's place and size: principal components of the centroids of its documents' vectors."""
+    v = table(s, d, "embeddings")
+    centres = vectors.centroids(v, "label").withColumnRenamed("centroid", "embedding")
+    sizes = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return vectors.project(centres, "label", 2).join(sizes, "label")
+
+
+def _attention_pivot(s, d):
+    counts = docs(s, d).where("topic is not null").groupBy("topic", "grp").agg(F.count(F.lit(1)).alias("n"))
+    return trends.pivoted(counts, "topic", "grp", "n", [LEFT, RIGHT, "Other"]).toDF("topic", "trump", "biden", "other")
+
+
 def _topic_model(s, d):
     """The whole model over all documents: hashed embedding, seeds, projection, clusters, terms and names."""
     fitted = model.fit(table(s, d, "documents", "doc_id", "text"), "doc_id", k=20, seeds=table(s, d, "seed_topics"))
@@ -223,6 +248,11 @@ def queries() -> dict[str, Query]:
         "kmeans_topics": lambda s, d: vectors.cluster(table(s, d, "embeddings"), "vec_id", 10),
         "pca_projection": lambda s, d: vectors.project(grouped_vectors(s, d), "vec_id", 2),
         "page_paragraphs": _page_table,
+        "attention_pivot": _attention_pivot,
+        "spikes_top15": lambda s, d: dated(trends.focusing_events(panel_counts(s, d)).withColumn("z", F.round("z", 6)).orderBy(F.desc("z"), "topic", "period").limit(15)),
+        "chart_significant": _significant,
+        "chart_topic_terms": _topic_terms_chart,
+        "chart_topic_map": _topic_map,
         "chart_topic_shift": lambda s, d: charts.grouped_bars(_difference(s, d), "label", ("trump", "biden"), "difference", 15),
         "chart_similarity": lambda s, d: charts.unpivoted(_similarity_round(vectors.similarity_summary(grouped_vectors(s, d), LEFT, RIGHT)), ("within_trump", "within_biden", "between")),
         "chart_volatility": lambda s, d: dated(charts.with_markers(trends.volatility(panel_counts(s, d)), "period", ("1997-01-20", "2001-01-20"))),
@@ -404,6 +434,12 @@ QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5('42|' || vec_id), vec_i
         "coherence_umass": _tokens_sql() + _PAIRS + "SELECT topic, measure, round(score, 6) AS score FROM um",
         "coherence_stats": _tokens_sql() + _PAIRS + """SELECT measure, round(avg(coalesce(score, 0.01)), 6) AS mean, round(median(coalesce(score, 0.01)), 6) AS median,
 round(stddev_samp(coalesce(score, 0.01)), 6) AS std FROM um GROUP BY measure""",
+        "attention_pivot": "WITH " + _SHARES + " SELECT topic, n_l AS trump, n_r AS biden, n - n_l - n_r AS other FROM g",
+        "spikes_top15": "WITH " + _PANEL + ", " + _full("panel", "coalesce(c.frequency, 0)") + _Z + " ORDER BY 4 DESC, topic, period LIMIT 15",
+        "chart_significant": f"SELECT topic || ': ' || CASE WHEN length(label) > 20 THEN substr(label, 1, 20) || '...' ELSE label END AS bar, abs_difference, significant "
+        f"FROM (SELECT t.*, coalesce(name, 'Topic ' || topic) AS label FROM ({_null_sql('(hits / 50::DOUBLE)')}) t LEFT JOIN topic_info USING (topic)) WHERE p_value <= 0.5",
+        "chart_topic_terms": _tokens_sql() + """, big AS (SELECT topic FROM docs WHERE topic IS NOT NULL GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 15)
+SELECT topic, CAST(rank AS INT) AS rank, term, round(weight, 9) AS weight FROM rk JOIN big USING (topic) WHERE rank <= 10""",
         "chart_volatility": "WITH " + _PANEL + ", " + _full("panel", "coalesce(c.frequency, 0)") + f""", v AS ({_VOLATILITY})
 SELECT period, volatility, CAST((SELECT count(*) FROM (VALUES ('1997-01-20'), ('2001-01-20')) m(x) WHERE x <= period) AS INT) AS era FROM v""",
     }

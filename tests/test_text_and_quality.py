@@ -93,3 +93,23 @@ def test_corpus_csv_round_trip(spark, tmp_path):
     assert got == {("document_2019-01-01_A.pdf", 2019, 'say "hi", twice\nand on'), ("document_2020-01-01_C.pdf", 2020, "nan")}
     with pytest.raises(Exception):
         pages.read_corpus(spark, str(tmp_path / "csv"), bad_year="fail").collect()
+
+
+def test_timestamp_year(spark):
+    assert column(spark, [2016.7, 2015.993], lambda c: periods.timestamp_year(c, "double"), "double") == [2016, 2015]
+    assert column(spark, ["2017-05-01 x", "none", None], lambda c: periods.timestamp_year(c, "string")) == [2017, None, None]
+
+
+def test_result_tables_keep_their_columns(spark, tmp_path):
+    from paraloom.sources.tables import write_table
+
+    df = spark.createDataFrame([("a,b", 'say "x"\nthen', [1, 2])], "z string, a string, l array<int>")
+    path = write_table(df, str(tmp_path), "t", "csv", single_file=True)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    assert back.columns == ["z", "a", "l"] and tuple(back.first()) == ("a,b", 'say "x"\nthen', "[1,2]")
+    assert spark.read.parquet(write_table(df, str(tmp_path), "p")).first().l == [1, 2]
+
+
+def test_short_label(spark):
+    df = spark.createDataFrame([(1, "x" * 31), (2, "short")], "t int, n string")
+    assert [r[0] for r in df.select(text.short_label(F.col("t"), F.col("n"))).collect()] == ["1: " + "x" * 30 + "...", "2: short"]
