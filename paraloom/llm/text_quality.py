@@ -37,6 +37,7 @@ LABELLED = re.compile(r"\s*[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*)?\s*[:=]\s+\
 SENTENCE_END = re.compile(r"[^\W_]{2,}[.!?؟][\"'”’)]*(?=\s|$)")
 DIGIT = re.compile(r"\d")
 SCRIPT = re.compile(r"[؀-ۿ฀-๿]")
+_COMMON = frozenset(w for w in ALL_FUNCTION_WORDS if len(w) > 1)
 DELIMITERS = ("\t", "|", ";", ",", "  ")
 MIXED = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9~^]+")
 VOWEL = re.compile("[aeiouyà-öø-ÿ]", re.I)
@@ -142,8 +143,8 @@ def kind_of(text: str | None) -> str:
     """The kind alone; plain prose is told by its common words without reading its structure."""
     if text is None or not text.strip():
         return "none"
-    words = LETTERS.findall(text)
-    if sum(1 for w in words if len(w) > 1 and w.lower() in ALL_FUNCTION_WORDS) >= 0.3 * len(words) and words:
+    words = LETTERS.findall(text.lower())
+    if words and len(list(filter(_COMMON.__contains__, words))) >= 0.3 * len(words):
         return "prose"
     return statistics(text)[-1]
 
