@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 TOTAL = ""  # the store's row for the number of records; no term is empty
 BUCKETS = 64
@@ -109,3 +110,14 @@ def mark_terms(terms: DataFrame, rare_below: int = 3, common_above: float = 0.2)
         "mark",
         F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.col("total") * F.lit(common_above), "common"),
     )
+
+
+def follow(stream: DataFrame, store: TermCountStore, checkpoint: str, text: str = "text", sign: str | None = None, once: bool = True) -> StreamingQuery:
+    """Keep a store up to date with a stream of changed records.
+
+    Batch b writes version b + 1 of the store, so a batch that is delivered
+    again after a failure replaces its own version and is counted once.
+    """
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, number: store.apply(batch, text, sign, version=number + 1) and None)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -55,6 +55,26 @@ def test_deltas_on_empty_and_clashing_columns(spark):
     assert {r.term: r.occurrences for r in term_counts.term_deltas(clash).collect()} == {"": 0, "one": 1, "two": 2}
 
 
+def test_counts_follow_a_stream(spark, tmp_path):
+    store = term_counts.TermCountStore(spark, str(tmp_path / "store"))
+    source = str(tmp_path / "in")
+    schema = "text string, sign int"
+    for rows in ([("net bed net", 1), ("Bed pump", 1)], [("Bed pump", -1), ("well", 1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        assert term_counts.follow(stream, store, str(tmp_path / "state"), sign="sign").awaitTermination(120)
+    assert {r.term: (r.occurrences, r.records) for r in store.terms().collect()} == plain_counts(["net bed net", "well"])
+
+
+def test_a_third_of_all_rows_may_be_one_text(spark):
+    rows = [(i, SENTENCE) for i in range(300)] + [(1000 + i, f"{SENTENCE} number{i} pump{i} well{i}") for i in range(5)] + [(2000 + i, f"own{i} words{i} of{i} text{i} here{i}") for i in range(595)]
+    df = spark.createDataFrame(rows, "para_id bigint, text string")
+    links, _ = near_duplicates.similar_classes(df, width=3, least=0.6)
+    assert links.count() == 5 + 10  # between classes, not between copies
+    groups = {r.para_id: r["group"] for r in near_duplicates.groups(df, links).collect()}
+    assert len({groups[i] for i in range(300)} | {groups[1000 + i] for i in range(5)}) == 1 and len(set(groups.values())) == 596
+
+
 def test_marks(spark):
     terms = spark.createDataFrame([("a", 2, 10), ("b", 3, 10), ("c", 2, 11), ("d", 2, 9)], "term string, records int, total int")
     got = {r.term: r.mark for r in term_counts.mark_terms(terms).collect()}
