@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from paraloom.functions import periods, text
 from paraloom.functions.stopwords import enhanced_stopwords
 from paraloom.operators import charts, groups, model, quality, report, topics, trends, vectors
+from paraloom.session import materialize
 from paraloom.sources import pages
 from paraloom.sources.tables import table
 
@@ -109,9 +110,19 @@ def _keywords(s, d, n=10):
     return topics.top_terms(topics.class_tf_idf(topics.term_counts(topic_tokens(s, d))), n)
 
 
+def _words_of_topics(s, d):
+    """(tokens, keywords), each read several times by the coherence measures and so set down once."""
+    tokens = materialize(topic_tokens(s, d), "tokens")
+    return tokens, materialize(topics.top_terms(topics.class_tf_idf(topics.term_counts(tokens)), 10), "keywords")
+
+
 def _umass(s, d):
-    words = _keywords(s, d)
-    return topics.umass_pairs(topic_tokens(s, d), words, "doc_id")
+    return topics.umass_pairs(*_words_of_topics(s, d), "doc_id")
+
+
+def _umass_scores(s, d, fallback=None):
+    tokens, words = _words_of_topics(s, d)
+    return topics.coherence_umass(topics.umass_pairs(tokens, words, "doc_id"), words, fallback)
 
 
 def _seed_affinity(s, d):
@@ -237,10 +248,10 @@ def queries() -> dict[str, Query]:
         "ctfidf_terms": lambda s, d: _keywords(s, d, 4).select("topic", "rank", "term", F.round("weight", 9).alias("weight")),
         "topic_labels": lambda s, d: topics.default_labels(_keywords(s, d, 4)),
         "ngram_vocabulary": _ngram_vocabulary,
-        "coherence_umass": lambda s, d: topics.coherence_umass(_umass(s, d), _keywords(s, d)).select("topic", "measure", F.round("score", 6).alias("score")),
+        "coherence_umass": lambda s, d: _umass_scores(s, d).select("topic", "measure", F.round("score", 6).alias("score")),
         "coherence_pairs": lambda s, d: _umass(s, d).select("topic", "term_i", "term_j", F.round("score", 6).alias("score")),
-        "coherence_cv": lambda s, d: topics.coherence_cv(topic_tokens(s, d), _keywords(s, d), "doc_id"),
-        "coherence_stats": lambda s, d: topics.coherence_statistics(topics.coherence_umass(_umass(s, d), _keywords(s, d), 0.01)).select(
+        "coherence_cv": lambda s, d: topics.coherence_cv(*_words_of_topics(s, d), "doc_id"),
+        "coherence_stats": lambda s, d: topics.coherence_statistics(_umass_scores(s, d, 0.01)).select(
             "measure", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")]),
         "topic_merge": _merged,
         "topic_hierarchy": _hierarchy,
