@@ -174,9 +174,9 @@ def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms of the elite component that occur three times or more, in at most four paragraphs."""
+    """Terms that occur three times or more, in at most four paragraphs; the score orders them and removes none."""
     scores = distinctive.term_scores(table(spark, folder, PARAGRAPHS, "para_id", "text"), min_count=3, max_records=4)
-    return scores.where((F.col("score") >= 0.5) & (F.col("tf") >= 3) & (F.col("records") <= 4)).select("para_id", "term")
+    return scores.where((F.col("tf") >= 3) & (F.col("records") <= 4)).select("para_id", "term")
 
 
 P7_FOUND = _TERMS + """, f AS (SELECT para_id, term, count(*) AS tf FROM t GROUP BY para_id, term)

@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paraloom.llm import boilerplate, distinctive, language, leaks, near_duplicates, personal, scan_noise, term_counts, text_quality, tokenize
+from paraloom.llm import boilerplate, distinctive, language, leaks, near_duplicates, personal, queries, scan_noise, term_counts, text_quality, tokenize
 from paraloom.session import fresh_path
 
 WORDS = "the ministry of health reviewed clinics in every district and found that supply had improved slowly since the rains".split()
@@ -97,6 +97,13 @@ def test_scores_against_brute_force(spark):
     assert distinctive.term_scores(frame(spark, texts).where("false")).count() == 0
 
 
+def test_one_very_long_record_hides_no_distinctive_term(spark, tmp_path):
+    texts = ["alpha alpha alpha here", "alpha " * 60 + "filler " * 5000, "gamma gamma gamma", *["beta filler words here"] * 300]
+    frame(spark, texts).write.parquet(str(tmp_path / "processed_paragraphs_filtered.parquet"))
+    got = {(r.para_id, r.term) for r in queries.p7_found(spark, str(tmp_path)).collect()}
+    assert got == {(1, "alpha"), (2, "alpha"), (3, "gamma")}
+
+
 # Problem 3
 
 def test_repeated_lines_by_brute_force(spark):
