@@ -2,10 +2,10 @@
 
 Numbers, mail addresses and street addresses are found by their formats and the
 words before them.  For names, the given names and the endings of family names
-are learnt from a bounded sample of the corpus (``FIT_DOCUMENTS``, the first by
-hash): words that stand after titles and other cues.  A name is then a learnt
-given name or an initial beside a family name, in either order, or anything of
-that shape after a cue.
+are learnt from the whole corpus: words that stand after titles and other cues,
+weighed with how often they stand anywhere.  Tasks sum their own sightings and
+only the sums are shuffled.  A name is then a learnt given name or an initial
+beside a family name, in either order, or anything of that shape after a cue.
 
 What was found is replaced by typed placeholders, numbered by entity within
 the text, or by surrogates: keyed replacements of the same type, script, case
@@ -23,18 +23,20 @@ import hashlib
 import hmac
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paraloom.llm.sampling import bounded_sample
+from paraloom.session import materialize
 
-FIT_DOCUMENTS = 3_000
-MOST_GIVEN, LEAST_SEEN = 5_000, 2
-LONGEST_SAMPLE = 100_000  # characters of a text that may be in the sample
+LEAST_SEEN = 2  # sightings after cues before a name or an ending is taken for one elsewhere
+CUED_SHARE = 0.02  # of all its occurrences, so many at least stand after cues
+COMMON_ENDING = 0.002  # an ending of so many of the cued names needs no such share
+FLUSH = 300_000  # sums of a task before they are passed on
 
 CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 PLACE = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)*"
@@ -156,30 +158,65 @@ def _pair(text: str, tokens, i: int):
     return None
 
 
-def learn_names(texts: list[str]) -> NameModel:
-    """Given names and family endings that stand after cues and titles."""
-    given, endings, alone = Counter(), Counter(), Counter()
+def _sightings(texts: Iterable[str], seen: Counter) -> Counter:
+    """Adds to ``seen``: (kind, term, cued) with its number; kind is given or ending, and cued False counts it anywhere."""
     for text in texts:
-        tokens = _tokens(text)
-        starts = {t[0]: i for i, t in enumerate(tokens)}
+        words = [w.lower() for _, w in TOKEN.findall(text) if len(w) > 1]
+        seen.update(("given", w, False) for w in words)
+        seen.update(("ending", w[-3:], False) for w in words if len(w) > 2)
         for pattern in (CUE, TITLE):
             for m in pattern.finditer(text):
-                i = starts.get(m.end())
-                got = _pair(text, tokens, i) if i is not None else None
+                tokens = [(t.start(), t.end(), t.group(), t.group(1) is not None or len(t.group()) == 1) for t in islice(TOKEN.finditer(text, m.end()), 3)]
+                got = _pair(text, tokens, 0) if tokens and tokens[0][0] == m.end() else None
                 if not got or got[0].lower() in NOT_NAMES or got[1].lower() in NOT_NAMES:
                     continue
-                if not got[4]:
-                    given[got[0].lower()] += 1
-                endings[got[1].lower()[-3:]] += 1
-    for text in texts:
-        alone.update(w.lower() for _, _, w, initial in _tokens(text) if not initial)
-    top = [w for w, n in given.most_common(MOST_GIVEN) if n >= LEAST_SEEN and n >= 0.02 * alone[w] and len(w) > 1]
-    least = max(2, 0.002 * sum(endings.values()))
-    return NameModel(frozenset(top), frozenset(e for e, n in endings.items() if n >= least and len(e) == 3))
+                if not got[4] and len(got[0]) > 1:
+                    seen["given", got[0].lower(), True] += 1
+                seen["ending", got[1].lower()[-3:], True] += 1
+    return seen
+
 
+def _learnt(rows: Iterable[tuple[str, str, int, int]], cues: int) -> NameModel:
+    """From (kind, term, sightings after cues, occurrences anywhere)."""
+    known = {"given": set(), "ending": set()}
+    for kind, term, n, anywhere in rows:
+        if n >= LEAST_SEEN and (n >= CUED_SHARE * anywhere or kind == "ending" and n >= COMMON_ENDING * cues) and (kind == "given" or len(term) == 3):
+            known[kind].add(term)
+    return NameModel(frozenset(known["given"]), frozenset(known["ending"]))
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text") -> NameModel:
-    return learn_names([r[0] for r in bounded_sample(df, key, text, FIT_DOCUMENTS, LONGEST_SAMPLE).collect()])
+
+def learn_names(texts: list[str]) -> NameModel:
+    """Given names and family endings that stand after cues and titles."""
+    seen = _sightings(texts, Counter())
+    rows = [(kind, term, n, seen[kind, term, False]) for (kind, term, cued), n in seen.items() if cued]
+    return _learnt(rows, sum(n for kind, _, n, _ in rows if kind == "ending"))
+
+
+def _count_sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
+
+    def flush():
+        kinds, terms, cued = zip(*seen)
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(terms), pa.array(cued), pa.array(list(seen.values()), pa.int64())], names=["kind", "term", "cued", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            _sightings([text], seen)
+            if len(seen) > FLUSH:
+                yield flush()
+                seen.clear()
+    if seen:
+        yield flush()
+
+
+def fit(df: DataFrame, text: str = "text") -> NameModel:
+    """The names of all texts; what reaches the driver is what stands after cues at least ``LEAST_SEEN`` times."""
+    counted = df.where(F.col(text).isNotNull()).select(text).mapInArrow(_count_sightings, "kind string, term string, cued boolean, n bigint")
+    n = lambda cued: F.coalesce(F.sum(F.when(F.col("cued") == cued, F.col("n"))), F.lit(0))
+    summed = materialize(counted.groupBy("kind", "term").agg(n(True).alias("n"), n(False).alias("anywhere")).where("n > 0"), "sightings")
+    cues = summed.where("kind = 'ending'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = summed.where(F.col("n") >= LEAST_SEEN).toArrow()
+    return _learnt(zip(*(top.column(c).to_pylist() for c in ("kind", "term", "n", "anywhere"))), cues)
 
 
 def find(text: str, model: NameModel) -> list[tuple[int, int, str]]:

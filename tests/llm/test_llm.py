@@ -430,6 +430,27 @@ def test_personal_tables(spark):
     assert personal.found_values(df.where("false"), personal.fit(df.where("false"))).count() == 0
 
 
+def test_rare_names_of_a_large_corpus_are_learnt(spark):
+    texts = ["Then reimburse Ilka Gobarez for it."] * 1500 + ["Stocks of nets fell."] * 6500
+    texts[3000] = texts[6000] = "Mrs Tovin Dokiov signed."
+    texts[7000] = "x" * 100_000 + " said Osric Pomarez, said Osric Pomarez"
+    texts += ["Later O. Maliov and Tovin Sabalet met", "Later Osric Sabalet came"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = personal.found_values(df, personal.fit(df)).where("doc_id >= 8000").collect()
+    assert {(r.doc_id, r.val) for r in got} == {(8000, "O. Maliov"), (8000, "Tovin Sabalet"), (8001, "Osric Sabalet")}
+
+
+def test_sightings_summed_by_tasks_are_those_of_one_list(spark, monkeypatch):
+    texts = ["Name: Ilka Gobarez", "said Ilka Tamarez, a", "Mrs Osric Bularez met Ilka", "Dr. Osric Pomarez can"] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert personal.fit(df) == personal.learn_names(texts)
+    seen = [b for b in personal._count_sightings(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))]
+    monkeypatch.setattr(personal, "FLUSH", 3)
+    often = [b for b in personal._count_sightings(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))]
+    total = lambda batches: sum((collections.Counter({(r["kind"], r["term"], r["cued"]): r["n"]}) for b in batches for r in b.to_pylist()), collections.Counter())
+    assert len(often) > 1 and total(often) == total(seen)
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.text(max_size=200))
 def test_any_text_is_survived(text):
