@@ -4,7 +4,8 @@ A text is cut into overlapping chunks, each chunk is cut into pre-tokens on its
 own, and two neighbours are stitched at a boundary that both of them found:
 pre-tokenising depends only on the place where it starts, so from a common
 boundary on both chunks agree.  The stitched pieces are then encoded by
-themselves.  Texts up to ``CHUNK`` characters are one chunk and never leave
+themselves, so a boundary after white space is not taken: at the end of a piece
+white space becomes one pre-token, before a word it does not.  Texts up to ``CHUNK`` characters are one chunk and never leave
 their task; only longer ones are exploded into chunk rows, so that one huge
 text is encoded by many tasks.  Decoding concatenates the raw bytes of the ids.
 
@@ -32,6 +33,7 @@ VOCABULARIES = "/opt/tokenizers"
 # fixed value: the published pre-tokeniser pattern of this vocabulary
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 SPLIT = regex.compile(PATTERN)
+SPACE = regex.compile(r"\s")
 CHUNK, OVERLAP = 1 << 20, 1 << 12
 LOOKAHEAD = 3  # characters the pattern may look at beyond the end of a match
 CACHE = 400_000
@@ -57,8 +59,9 @@ def pre_tokens(text: str) -> list[str]:
 
 
 def boundaries(text: str) -> list[int]:
-    """Ends of the pre-tokens."""
-    return [m.end() for m in SPLIT.finditer(text)]
+    """Ends of the pre-tokens that do not end in white space: what stands before such an end is encoded alike without the rest."""
+    ends = (m.end() for m in SPLIT.finditer(text))
+    return [e for e in ends if not SPACE.match(text, e - 1)]
 
 
 def encode_piece(text: str, encoding: tiktoken.Encoding, cache: dict[str, list[int]]) -> list[int]:

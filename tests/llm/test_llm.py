@@ -172,6 +172,22 @@ def test_stitched_pieces_encode_alike(text, chunk):
     assert tokenize.decode(ids) == text
 
 
+@pytest.mark.parametrize("gap", ["\n\n", "\r\n\r\n", "\n\n\n", "  \n ", "　\n"])
+def test_paragraph_breaks_round_a_chunk_start(gap):
+    for at in range(20, 61):
+        text = ("ab cd's " * 20)[:at] + gap + "word's of the next paragraph, and more of them to come 12 times"
+        points = tokenize.stitch_points(text, 40, 20)
+        ids = [i for a, b in zip(points, points[1:]) for i in tokenize.encode_piece(text[a:b], *ENCODER)]
+        assert ids == tokenize.encode_piece(text, *ENCODER), at
+
+
+def test_paragraph_breaks_round_a_chunk_start_in_a_table(spark):
+    rows = [(at, "ab" * (at // 2 - 4) + " " * (at % 2) + " ab cd ab"[:8] + "\n\nword of it " * 800) for at in range(9_985, 10_012)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in tokenize.encode_corpus(df, chunk=10_000).collect()}
+    assert got == {i: tokenize.encode_piece(t, *ENCODER) for i, t in rows}
+
+
 def test_against_the_reference_encoder():
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_file(f"{tokenize.VOCABULARIES}/byte_bpe_50k.json")
