@@ -2,9 +2,10 @@
 
 Structure is read from three signals over the lines: delimiters standing at
 like counts or columns in line after line (tables), markers and indentation
-that return at each line (lists), and the autocorrelation of line lengths.
-They are weighed with the shares of figures, common words, symbols and lines
-that end in punctuation.
+that return at like distances (lists), and the autocorrelation of line lengths.
+Where they are clear they decide before the words are looked at; else they are
+weighed with the shares of figures, common words, symbols and lines that end in
+punctuation.
 
 Defined results: null, empty and blank texts get zeros and the kind ``none``;
 repeated rows give a row each; nothing is cut off long texts.
@@ -24,7 +25,7 @@ from paraloom.llm.words import ALL_FUNCTION_WORDS, LETTERS
 
 SCHEMA = ("n_chars bigint, n_words bigint, mean_word_length double, symbol_ratio double, digit_ratio double, "
           "figure_share double, common_share double, punctuated_lines double, n_lines bigint, alignment double, "
-          "marker_share double, length_autocorrelation double, kind string")
+          "marker_share double, length_autocorrelation double, indentation double, kind string")
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 FIGURE = re.compile(r"[-–—]|n/a|[(]?[-+$€£]?\d[\d.,:/]*\d*%?[)]?,?", re.I)
@@ -39,6 +40,9 @@ DIGIT = re.compile(r"\d")
 SCRIPT = re.compile(r"[؀-ۿ฀-๿]")
 _COMMON = frozenset(w for w in ALL_FUNCTION_WORDS if len(w) > 1)
 DELIMITERS = ("\t", "|", ";", ",", "  ")
+CELL = re.compile(r"\t+|[ ]*[|;,][ ]*|[ ]{2,}")
+COLUMN = re.compile(r"\S(?:\t+|[ ]{2,}|[ ]*[|;][ ]*)(?=\S)")
+LONGEST_PERIOD = 8  # lines of one entry
 MIXED = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9~^]+")
 VOWEL = re.compile("[aeiouyà-öø-ÿ]", re.I)
 ESCAPE = re.compile(r"\(cid:\d+\)|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}(?![0-9A-Za-z])|�|&#?\w+;")
@@ -54,8 +58,32 @@ def _autocorrelation(lengths: list[int]) -> float:
     return sum(a * b for a, b in zip(dev, dev[1:])) / var if var else 1.0
 
 
+def _periodicity(values: list[int]) -> tuple[float, int]:
+    """The greatest autocorrelation over distances of one to ``LONGEST_PERIOD`` lines, with its distance; 0 where nothing varies."""
+    n = len(values)
+    mean = sum(values) / n if n else 0.0
+    dev = [x - mean for x in values]
+    var = sum(d * d for d in dev) / n if n else 0.0
+    if not var:
+        return 0.0, 0
+    return max(((round(sum(a * b for a, b in zip(dev, dev[p:])) / (n - p) / var, 9), -p) for p in range(1, min(LONGEST_PERIOD, n // 2) + 1)), default=(0.0, 0))
+
+
+def _lag(values: list[int], lag: int) -> float:
+    n = len(values)
+    mean = sum(values) / n
+    var = sum((x - mean) ** 2 for x in values) / n
+    return sum((a - mean) * (b - mean) for a, b in zip(values, values[lag:])) / (n - lag) / var if var else 1.0
+
+
+def _depths(lines: list[str]) -> list[int]:
+    depths = [len(x) - len(x.lstrip()) for x in map(str.expandtabs, lines)]
+    least = min(depths, default=0)
+    return [d - least for d in depths]
+
+
 def _alignment(lines: list[str]) -> float:
-    """Share of lines that have the commonest number of one delimiter, if that is one or more."""
+    """Share of lines that have the commonest number of one delimiter, if that is one or more, or a cell at the commonest column."""
     if len(lines) < 2:
         return 0.0
     best = 0.0
@@ -64,12 +92,39 @@ def _alignment(lines: list[str]) -> float:
         counts.pop(0, None)
         if counts:
             best = max(best, max(counts.values()) / len(lines))
-    return best
+    columns = Counter(m.end() for line in lines for m in COLUMN.finditer(line))
+    return max(best, max(columns.values(), default=0) / len(lines))
+
+
+def _structure(lines: list[str]) -> str | None:
+    """``list`` or ``table`` where the lines alone tell it, whatever words they hold."""
+    n = len(lines)
+    if n < 3:
+        return None
+    marks = [MARKER.match(x) is not None for x in lines]
+    marked = sum(marks)
+    if marked >= 0.8 * n:
+        return "list"
+    depths = _depths(lines)
+    hanging = sum(1 for d, m in zip(depths, marks) if d and not m)
+    if marked >= 3 and (marked + hanging >= 0.8 * n and marks[0] or _periodicity(marks)[0] >= 0.8):
+        return "list"
+    entries = depths.count(0)
+    if entries >= 3 and n - entries >= 3 and not depths[0]:
+        # every entry goes on in deeper lines: they return at one distance, and the lengths with them
+        regular, at = _periodicity(depths)
+        if at and regular + 0.25 * max(0.0, _lag([len(x) for x in lines], -at)) >= 0.9:
+            return "list"
+    cells = [CELL.split(x.strip())[1:] for x in lines]
+    filled = [sum(1 for c in row if not c or FIGURE.fullmatch(c)) for row in cells]
+    if sum(map(bool, filled)) >= 0.6 * n and sum(filled) >= 0.6 * sum(map(len, cells)) and _alignment(lines) >= 0.8:
+        return "table"
+    return None
 
 
 def statistics(text: str | None) -> tuple:
     if text is None or not text.strip():
-        return (len(text or ""), 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, "none")
+        return (len(text or ""), 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, "none")
     n = len(text)
     lines = [x for x in text.replace("\r", "").split("\n") if x.strip()]
     tokens = text.split()
@@ -96,14 +151,17 @@ def statistics(text: str | None) -> tuple:
     marker_share = max(markers, labelled) / len(lines)
     alignment = _alignment(lines)
     stats = (n, n_words, letters / n_words if n_words else 0.0, symbols / n, digits / n, figure_share, common_share, punctuated,
-             len(lines), alignment, marker_share, _autocorrelation([len(x) for x in lines]))
+             len(lines), alignment, marker_share, _autocorrelation([len(x) for x in lines]), _periodicity(_depths(lines))[0])
     kind = _kind(text, lines, tokens, words, lowered, stats, script, markers, labelled)
     return (*stats, kind)
 
 
 def _kind(text, lines, tokens, words, lowered, stats, script, markers, labelled) -> str:
-    n, n_words, _, _, _, figure_share, common_share, _, n_lines, alignment, _, _ = stats
+    n, n_words, _, _, _, figure_share, common_share, _, n_lines, alignment, *_ = stats
     visible = sum(map(len, tokens))
+    structure = _structure(lines)
+    if structure:
+        return structure
     if script > 0.25 * visible and figure_share < 0.4:
         return "prose"
     if common_share >= 0.3:
@@ -140,9 +198,13 @@ def _kind(text, lines, tokens, words, lowered, stats, script, markers, labelled)
 
 
 def kind_of(text: str | None) -> str:
-    """The kind alone; plain prose is told by its common words without reading its structure."""
+    """The kind alone; prose whose lines show no structure is told by its common words."""
     if text is None or not text.strip():
         return "none"
+    if text.count("\n") > 1:
+        structure = _structure([x for x in text.replace("\r", "").split("\n") if x.strip()])
+        if structure:
+            return structure
     words = LETTERS.findall(text.lower())
     if words and len(list(filter(_COMMON.__contains__, words))) >= 0.3 * len(words):
         return "prose"

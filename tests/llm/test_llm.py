@@ -150,6 +150,29 @@ def test_kinds(text, kind):
     assert text_quality.statistics(text)[-1] == kind == text_quality.kind_of(text)
 
 
+STRUCTURED = [
+    ("\n".join(f"{i}. The ministry of health found that supply in the wards had improved since the rains." for i in range(1, 6)), "list"),
+    ("\n".join("- The clinics of the district were visited by the team, and that was\n  for the first time since the end of the rains." for _ in range(4)), "list"),
+    ("\n".join("Nets for the clinics of the district that are to be kept\n    in the stores of the wards and the schools" for _ in range(4)), "list"),
+    ("\n".join(f"Share of the women in the wards that were visited   {i}   {i + 7}%   -" for i in range(10, 15)), "table"),
+    ("\n".join("- في هذه القرية كان من أجل ذلك" for _ in range(4)), "list"),
+    ("The ministry of health reviewed the clinics in the wards and found\nthat supply had improved since the rains. It was for the first time\n- as the team said - that all of them had been\nvisited in 2019.", "prose"),
+    ("    The ministry of health reviewed the clinics in the wards\nand found that supply had improved since the rains.\nThat was for the first time.\n    The team was in all of the wards and the schools\nof the district.\nIt had not been there before.", "prose"),
+]
+
+
+@pytest.mark.parametrize("text, kind", STRUCTURED)
+def test_structure_decides_before_common_words(text, kind):
+    assert text_quality.statistics(text)[-1] == kind == text_quality.kind_of(text)
+
+
+def test_periods_of_indentation():
+    assert text_quality._periodicity([0, 4, 4] * 4) == (pytest.approx(1), -3)
+    assert text_quality._periodicity([2, 2, 2, 2]) == (0.0, 0) == text_quality._periodicity([])
+    names = text_quality.NAMES
+    assert text_quality.statistics("a\n  b\na\n  b\na\n  b")[names.index("indentation")] > 0.99
+
+
 def test_statistics_table(spark):
     df = frame(spark, [SENTENCE, None, SENTENCE, "x" * 200_000], kind="clash", n_words=1)
     got = {r.para_id: r for r in text_quality.text_statistics(df).collect()}
