@@ -1,8 +1,9 @@
 """Problem 1: noise in texts from scanned pages, and its repair.
 
-The vocabulary of the whole collection is counted.  Skip-gram vectors with
-negative sampling are trained in numpy over a bounded sample of it
-(``TRAINING_TEXTS`` texts, the first by hash).  A rare word is linked to the
+The vocabulary of the whole collection is counted, and so is which words stand
+near the ``CONTEXT_WORDS`` most frequent ones.  From these sums skip-gram vectors
+with negative sampling are trained: those of the context words together on the
+driver, those of every rarer word by itself in the tasks.  A rare word is linked to the
 frequent words that plausible glyph edits lead to, and the one that fits its
 neighbours best by the vectors is taken, if it fits at all.  A line break after
 a hyphen splits a word if the joined word is commoner in the collection than
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 
 from paraloom.llm import text_quality
 from paraloom.llm.boilerplate import line_key, source_of
-from paraloom.llm.sampling import bounded_sample
 from paraloom.session import materialize
 
 # fixed values: what a scan makes of letters, as (true, seen)
@@ -43,13 +43,15 @@ GLYPHS = (
 )
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 VOCABULARY = 200_000  # most frequent words that are kept; rarer ones are what is repaired
-TRAINING_TEXTS, TRAINED_WORDS, DIMENSIONS = 3_000, 4_000, 24
-LONGEST_SAMPLE = 100_000  # characters of a text that may be in the training sample
-WINDOW, NEGATIVES, STEP = 3, 4, 0.05
+CONTEXT_WORDS, DIMENSIONS = 4_000, 24  # words that vectors are learnt from; every frequent word gets one
+WINDOW, NEGATIVES, STEP, ROUNDS = 3, 4, 0.05, 60
+ROWS_AT_ONCE, WORDS_AT_ONCE = 256, 2_000_000  # rows of the dense sums, words of a task's texts
+FIT_STEP = 0.01  # logits, of the histogram that the floor is read off
 RATIO = 12  # a true word is at least so many times as frequent as its misreading
 MAX_EDITS, LONGEST_WORD = 3, 32
 MARGIN = 1.0  # logits by which a misreading may fit better than the truth
 
+WORD = re.compile(r"[^\W\d_]+")
 TERM = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 TOKEN = re.compile(r"[^\W_](?:[\w†‡|!€]*[\w†|!])?|[†|][\w†|!]+")
 SOFT = "¬\xad"
@@ -103,7 +105,8 @@ class NoiseModel:
     def fit(self, word: str, context: list[str]) -> float:
         """Mean skip-gram logit of ``word`` among its neighbours; 0 where nothing is known."""
         row = self.rows.get(word)
-        near = [self.rows[c] for c in context if c in self.rows]
+        known = len(self.outer)
+        near = [r for r in (self.rows.get(c, known) for c in context) if r < known]
         return float((self.outer[near] @ self.inner[row]).mean()) if row is not None and near else 0.0
 
     def correct(self, word: str, context: list[str]) -> str | None:
@@ -189,51 +192,218 @@ def term_table(df: DataFrame, text: str = "text", keep: int = VOCABULARY) -> dic
     return counts
 
 
-def skip_grams(texts: list[str], counts: dict[str, int], seed: int = 3):
-    """Skip-gram vectors with negative sampling: (row of each word, inner, outer)."""
-    words = sorted((w for w in counts if "-" not in w), key=lambda w: (-counts[w], w))[:TRAINED_WORDS]
-    rows = {w: i for i, w in enumerate(words)}
-    centre, around = [], []
-    for text in texts:
-        ids = [rows[w] for w in re.findall(r"[^\W\d_]+", text.lower()) if w in rows]
-        for d in range(1, WINDOW + 1):
-            centre += ids[:-d] + ids[d:]
-            around += ids[d:] + ids[:-d]
+def _words_with_vectors(counts: dict[str, int], least: int) -> dict[str, int]:
+    """Row of every word that may be taken for the truth, the most frequent first."""
+    words = sorted((w for w, n in counts.items() if n >= least and "-" not in w), key=lambda w: (-counts[w], w))
+    return {w: i for i, w in enumerate(words)}
+
+
+def _ids_of(text: str, rows: dict[str, int]) -> list[int]:
+    return [i for i in map(rows.get, WORD.findall(text.lower())) if i is not None]
+
+
+def _apart(texts: pa.ListArray) -> np.ndarray:
+    """The rows of all texts one after another, with a window of -1 before, between and after them."""
+    values, width = texts.flatten().to_numpy(zero_copy_only=False), np.diff(texts.offsets.to_numpy())
+    flat = np.full(len(values) + WINDOW * (len(texts) + 1), -1, np.int64)
+    flat[np.arange(len(values)) + WINDOW * (1 + np.repeat(np.arange(len(texts)), width))] = values
+    return flat
+
+
+def _neighbours(texts: pa.ListArray, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, number) of the words within the window of each other, each pair once, the context being the more frequent."""
+    flat = _apart(texts)
+    keys = []
+    for d in range(1, WINDOW + 1):
+        a, b = flat[:-d], flat[d:]
+        low = np.minimum(a, b)
+        near = (low >= 0) & (low < contexts)
+        keys.append(np.maximum(a, b)[near] << 32 | low[near])
+    keys, n = np.unique(np.concatenate(keys), return_counts=True)
+    return keys >> 32, keys & 0xFFFFFFFF, n
+
+
+def _both_ways(word: np.ndarray, context: np.ndarray, n: np.ndarray, words: int, contexts: int) -> np.ndarray:
+    """Shares of the neighbours of each word, from pairs told once."""
+    sums = np.zeros((words, contexts), np.float32)
+    sums[word, context] = n
+    square = sums[:contexts]
+    square += square.T.copy()
+    return _shares(sums)
+
+
+def _shares(sums: np.ndarray) -> np.ndarray:
+    sums /= np.maximum(sums.sum(1, keepdims=True), 1)
+    return sums
+
+
+def _dense(word: np.ndarray, context: np.ndarray, n: np.ndarray, words: int, contexts: int) -> np.ndarray:
+    sums = np.zeros((words, contexts), np.float32)
+    sums[word, context] = n
+    return _shares(sums)
+
+
+def _pull(share: np.ndarray, noise: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gradient of the skip-gram objective by logit: how often a pair was seen, against ``NEGATIVES`` drawn pairs."""
+    p = 1 / (1 + np.exp(-np.clip(v @ u.T, -30, 30)))
+    return share * (1 - p) - NEGATIVES * noise * p
+
+
+class _Adam:
+    def __init__(self, x: np.ndarray):
+        self.x, self.m, self.s, self.t = x, np.zeros_like(x), np.zeros_like(x), 0
+
+    def climb(self, g: np.ndarray) -> None:
+        self.t += 1
+        self.m += 0.1 * (g - self.m)
+        self.s += 0.01 * (g * g - self.s)
+        self.x += 2 * STEP * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.s / (1 - 0.99 ** self.t)) + 1e-8)
+
+
+def train(share: np.ndarray, weight: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(inner, outer) of the context words; a row of ``share`` has the shares of a word's neighbours, ``weight`` how often it stands."""
     rng = np.random.default_rng(seed)
-    inner = rng.normal(0, 0.1, (max(len(words), 1), DIMENSIONS)).astype(np.float32)
+    n = len(weight)
+    inner = rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
     outer = np.zeros_like(inner)
-    if not centre:
-        return rows, inner, outer
-    c, o = np.array(centre), np.array(around)
-    weight = np.array([counts[w] for w in words], float) ** 0.75
-    edges = np.cumsum(weight / weight.sum())
-    batch = 512
-    order = rng.permutation(len(c))
-    for s in range(0, len(order), batch):
-        pick = order[s:s + batch]
-        ci = c[pick]
-        target = np.concatenate([o[pick][:, None], np.searchsorted(edges, rng.random((len(pick), NEGATIVES))).clip(0, len(words) - 1)], axis=1)
-        v, u = inner[ci], outer[target]
-        p = 1 / (1 + np.exp(-np.einsum("bd,bkd->bk", v, u)))
-        p[:, 0] -= 1
-        g = (STEP * 2 * p).astype(np.float32)
-        np.subtract.at(inner, ci, np.einsum("bk,bkd->bd", g, u))
-        np.subtract.at(outer, target.ravel(), (g[:, :, None] * v[:, None, :]).reshape(-1, DIMENSIONS))
-    return rows, inner, outer
-
-
-def fit(df: DataFrame, key: str = "para_id", text: str = "text") -> NoiseModel:
+    if not share.any():
+        return inner, outer
+    noise = _noise(weight)
+    mass = (weight / weight.sum()).astype(np.float32)[:, None]
+    a, b = _Adam(inner), _Adam(outer)
+    for _ in range(ROUNDS):
+        to_inner, to_outer = np.empty_like(inner), np.zeros_like(outer)
+        for s in range(0, n, ROWS_AT_ONCE):
+            at = slice(s, s + ROWS_AT_ONCE)
+            g = _pull(share[at], noise, inner[at], outer)
+            to_inner[at] = g @ outer
+            to_outer += (g * mass[at]).T @ inner[at]
+        a.climb(to_inner)
+        b.climb(to_outer)
+    return inner, outer
+
+
+def _noise(weight: np.ndarray) -> np.ndarray:
+    drawn = weight.astype(float) ** 0.75
+    return (drawn / drawn.sum()).astype(np.float32)
+
+
+def fold(share: np.ndarray, noise: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """Inner vectors of further words, each from its own neighbours under the same objective."""
+    inner = np.zeros((len(share), DIMENSIONS), np.float32)
+    step = _Adam(inner)
+    for _ in range(ROUNDS):
+        step.climb(_pull(share, noise, inner, outer) @ outer)
+    return inner
+
+
+def skip_grams(texts: list[str], counts: dict[str, int], seed: int = 3):
+    """Skip-gram vectors with negative sampling of a few texts: (row of each word, inner, outer)."""
+    rows = _words_with_vectors(counts, 1)
+    contexts = min(len(rows), CONTEXT_WORDS)
+    ids = pa.array([_ids_of(t, rows) for t in texts], pa.list_(pa.int32()))
+    weight = np.array([counts[w] for w in rows], float)
+    share = _both_ways(*_neighbours(ids, contexts), len(rows), contexts)
+    inner, outer = train(share[:contexts], weight[:contexts], seed)
+    return rows, np.concatenate([inner, fold(share[contexts:], _noise(weight[:contexts]), outer)]), outer
+
+
+def _vectors(source: DataFrame, rows: dict[str, int], counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(inner, outer) from the sums of neighbours over all texts."""
+    contexts = min(len(rows), CONTEXT_WORDS)
+    weight = np.array([counts[w] for w in itertools.islice(rows, contexts)], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0))
+            size += len(held[-1].flatten())
+            if size >= WORDS_AT_ONCE:
+                yield summed(held)
+                held, size = [], 0
+        if held:
+            yield summed(held)
+
+    def summed(held):
+        columns = _neighbours(pa.concat_arrays(held), contexts)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], names=["word", "context", "n"])
+
+    cells = materialize(source.mapInArrow(run, "word int, context int, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n")), "neighbours")
+    top = cells.where(F.col("word") < contexts).toArrow()
+    share = _both_ways(*(top.column(c).to_numpy() for c in ("word", "context", "n")), contexts, contexts)
+    inner, outer = train(share, weight)
+    if len(rows) > contexts:
+        noise = _noise(weight)
+
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(s, ROWS_AT_ONCE).to_pylist()
+                    at = np.repeat(np.arange(len(part)), [len(r["cells"]) for r in part])
+                    flat = [(c["context"], c["n"]) for r in part for c in r["cells"]]
+                    got = fold(_dense(at, *np.array(flat).T, len(part), contexts), noise, outer)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["word"] for r in part], pa.int32()), pa.array(list(got), pa.list_(pa.float32()))], names=["word", "vector"])
+
+        grouped = cells.where(F.col("word") >= contexts).groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("cells"))
+        got = grouped.mapInArrow(rest, "word int, vector array<float>").toArrow()
+        inner = np.concatenate([inner, np.zeros((len(rows) - contexts, DIMENSIONS), np.float32)])
+        if got.num_rows:
+            inner[got.column("word").to_numpy()] = np.array(got.column("vector").to_pylist(), np.float32)
+    return inner, outer
+
+
+def _fits(texts: pa.ListArray, inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """``NoiseModel.fit`` of every word where it stands; words without known neighbours are left out."""
+    flat = _apart(texts)
+    known = np.where(flat < len(outer), flat, -1)
+    vectors = np.concatenate([outer, np.zeros((1, DIMENSIONS), np.float32)])[known]
+    own = np.concatenate([inner, np.zeros((1, DIMENSIONS), np.float32)])[flat]
+    there = (known >= 0).astype(np.float32)
+    fits, n = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
+    for d in range(1, WINDOW + 1):
+        fits[d:] += np.einsum("ij,ij->i", own[d:], vectors[:-d])
+        fits[:-d] += np.einsum("ij,ij->i", own[:-d], vectors[d:])
+        n[d:] += there[:-d]
+        n[:-d] += there[d:]
+    at = (flat >= 0) & (n > 0)
+    return fits[at] / n[at]
+
+
+def _floor(source: DataFrame, inner: np.ndarray, outer: np.ndarray) -> float:
+    """The logit that all but 0.5 % of all words reach where they stand, less one, off a histogram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            step, n = np.unique(np.floor(_fits(batch.column(0), inner, outer) / FIT_STEP).astype(np.int64), return_counts=True)
+            total.update(dict(zip(step.tolist(), n.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["step", "n"])
+
+    steps = sorted(source.mapInArrow(run, "step bigint, n bigint").groupBy("step").agg(F.sum("n")).collect())
+    least, passed = 0.005 * sum(n for _, n in steps), 0
+    for step, n in steps:
+        passed += n
+        if passed >= least:
+            return step * FIT_STEP - 1.0
+    return -1e9
+
+
+def fit(df: DataFrame, text: str = "text") -> NoiseModel:
+    """Everything is learnt from all texts, which are turned to rows of words once for that."""
     counts = term_table(df, text)
-    total = sum(counts.values())
-    sample = [r[0] for r in bounded_sample(df, key, text, TRAINING_TEXTS, LONGEST_SAMPLE, 41).collect()]
-    rows, inner, outer = skip_grams(sample, counts)
-    model = NoiseModel(counts, rows, inner, outer, -1e9, max(4, round(total * 2e-6)), max(counts.values(), default=0))
-    fits = []
-    for t in sample[:400]:
-        words = re.findall(r"[^\W\d_]+", t.lower())
-        fits += [model.fit(w, words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW]) for i, w in enumerate(words) if w in rows]
-    model.floor = float(np.quantile(fits, 0.005)) - 1.0 if fits else -1e9
-    return model
+    frequent = max(4, round(sum(counts.values()) * 2e-6))
+    rows = _words_with_vectors(counts, frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_ids_of(t, rows) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["ids"])
+
+    most = max(counts.values(), default=0)
+    if not rows:
+        return NoiseModel(counts, rows, *(np.zeros((1, DIMENSIONS), np.float32),) * 2, -1e9, frequent, most)
+    source = materialize(df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "ids array<int>"), "word-rows")
+    inner, outer = _vectors(source, rows, counts)
+    return NoiseModel(counts, rows, inner, outer, _floor(source, inner, outer), frequent, most)
 
 
 def belongs(left: str, right: str, sign: str, model: NoiseModel) -> bool:

@@ -377,6 +377,21 @@ def test_scan_tables(spark):
     assert scan_noise.signs(df.where("false"), scan_noise.fit(df.where("false"))).count() == 0
 
 
+def test_vectors_are_learnt_from_every_text(spark, monkeypatch):
+    monkeypatch.setattr(scan_noise, "CONTEXT_WORDS", 6)  # most words are beyond the context words
+    texts = ["the net and bed stood near the pump", "of the well or nurse came to the ward"] * 40 + ["y" * 100_000 + " the zinc and bed stood" + " the zinc and bed stood" * 9]
+    df = frame(spark, texts).repartition(3)
+    m = scan_noise.fit(df)
+    rows, inner, outer = scan_noise.skip_grams(texts, {w: n for w, n in m.counts.items() if n >= m.frequent})
+    assert m.rows == rows and "zinc" in rows and len(m.outer) == 6 < len(m.rows) == len(m.inner)
+    assert np.allclose(m.inner, inner, atol=1e-3) and np.allclose(m.outer, outer, atol=1e-3)
+    assert m.fit("zinc", ["the", "and"]) > m.fit("nurse", ["the", "and"])
+    words = texts[0].split()
+    ids = pa.array([scan_noise._ids_of(texts[0], rows)], pa.list_(pa.int32()))
+    fits = [m.fit(w, words[max(0, i - 3):i] + words[i + 1:i + 4]) for i, w in enumerate(words)]
+    assert np.allclose(scan_noise._fits(ids, m.inner, m.outer), fits, atol=1e-4)
+
+
 # Problem 9
 
 def test_leaks_by_brute_force(spark):
