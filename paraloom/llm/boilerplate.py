@@ -1,9 +1,9 @@
 """Problem 3: lines repeated across the documents of one source.
 
-Copies of a document are collapsed before counting: a line is counted over
-distinct files, over distinct text clusters (equal texts are one cluster) and
-over distinct publication dates, so a republished article alone does not make
-its lines boilerplate.
+A line is repeated if it stands in enough distinct files of its source: that is
+the stated rule, and what texts are cleaned by.  The report also counts distinct
+text clusters (equal texts are one cluster) and publication dates; its flag
+``boilerplate`` tells lines that only a republished article repeats.
 
 Defined results: null texts have no lines; empty lines and lines under the
 minimum of words are never boilerplate but keep their numbers; rows without a
@@ -43,12 +43,12 @@ def numbered_lines(df: DataFrame, key: str = "para_id", text: str = "text", file
 
 
 def repeated_lines(lines: DataFrame, df: DataFrame, filename: str = "filename", min_files: int = 5, min_share: float = 0.2) -> DataFrame:
-    """The lines over both limits, with their counts over distinct files, clusters and dates.
+    """The lines over both limits, with their counts over distinct files.
 
-    Copies collapse first: one row per (source, line, file, date, cluster).  The
-    counts are aggregated on (source, line, ...) and never on the source alone,
-    so a source with a third of all rows spreads over all tasks, and the counts
-    over clusters and dates are taken only for lines that are over the limits.
+    Rows of one (source, line, file) count once; copies under other file names
+    each count.  The counts are aggregated on (source, line, ...) and never on
+    the source alone, so a source with a third of all rows spreads over all
+    tasks; ``repeated_line_report`` counts clusters and dates of these lines.
     Only the sources themselves are broadcast: three capital letters, so at most
     17,576 of them.
     """
