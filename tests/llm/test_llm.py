@@ -426,6 +426,20 @@ def test_leaks_by_brute_force(spark):
     assert leaks.search(d.where("false"), index).count() == 0
 
 
+def test_shared_runs_passages_and_answers_all_count(spark):
+    words = [f"{w}{i}" for i in range(20) for w in WORDS]
+    items = [(1, " ".join(words[:192])), (2, "Which one is it? A) blue pumps B) red wells"), (3, " ".join(words[200:230]))]
+    part = words[48:72]
+    part[8], part[16] = "other", "words"
+    docs = [(1, " ".join(part)), (2, "it says which one it is: red wells, or blue pumps"), (3, "so " + " ".join(words[210:222])), (4, "it says which one it is: red wells")]
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    index = leaks.fit(d, t)
+    index.limit = 0.2
+    assert {(r.doc_id, r.item_id) for r in leaks.search(d, index, paraphrases=True).collect()} == {(1, 1), (2, 2), (3, 3)}
+    index.limit = 2.0  # nothing is retrieved
+    assert {(r.doc_id, r.item_id) for r in leaks.search(d, index).collect()} == {(3, 3)}
+
+
 def test_common_subsequence():
     assert leaks._lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2 and leaks._longest_run(np.array([1, 2, 3, 4]), np.array([9, 2, 3, 8])) == 2
 
