@@ -1,13 +1,16 @@
 """Problem 8: the whole corpus as token ids of a public byte-level BPE vocabulary.
 
-A text is cut into overlapping chunks, each chunk is cut into pre-tokens on its
-own, and two neighbours are stitched at a boundary that both of them found:
-pre-tokenising depends only on the place where it starts, so from a common
-boundary on both chunks agree.  The stitched pieces are then encoded by
-themselves, so a boundary after white space is not taken: at the end of a piece
-white space becomes one pre-token, before a word it does not.  Texts up to ``CHUNK`` characters are one chunk and never leave
-their task; only longer ones are exploded into chunk rows, so that one huge
-text is encoded by many tasks.  Decoding concatenates the raw bytes of the ids.
+Every text is cut into overlapping chunks of ``CHUNK`` characters, each chunk is
+cut into pre-tokens on its own, and two neighbours are stitched at a boundary
+that both of them found: pre-tokenising looks forward only, so from a common
+boundary on both agree.  Only boundaries that stand there wherever a chunk
+begins are taken (the end of a run of letters or figures, or of anything before
+white space), so a chunk may be stitched to the next before its own beginning is
+known.  Where an overlap holds none, the piece before goes on until the next
+stitch, so a run longer than chunks costs no more than itself.  The pre-tokens
+between two stitches are then encoded.  Texts over ``SPREAD`` characters have
+their chunks in rows of their own, so that many tasks share one text; how they
+are cut and stitched is the same.  Decoding concatenates the raw bytes.
 
 Defined results: empty and null texts both give the empty list; strings that
 look like special tokens are ordinary text; repeated rows are each encoded.
@@ -19,7 +22,9 @@ from __future__ import annotations
 
 import base64
 import os
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -33,8 +38,10 @@ VOCABULARIES = "/opt/tokenizers"
 # fixed value: the published pre-tokeniser pattern of this vocabulary
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 SPLIT = regex.compile(PATTERN)
-SPACE = regex.compile(r"\s")
-CHUNK, OVERLAP = 1 << 20, 1 << 12
+# ends of pre-tokens whatever stands before the run that ends there
+FIRM = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=\S)(?=\s)")
+CHUNK, OVERLAP = 2048, 128
+SPREAD = 1 << 20
 LOOKAHEAD = 3  # characters the pattern may look at beyond the end of a match
 CACHE = 400_000
 
@@ -55,50 +62,62 @@ def encoder(name: str, folder: str = VOCABULARIES):
 
 
 def pre_tokens(text: str) -> list[str]:
+    """The pre-tokens; together they are the text."""
     return SPLIT.findall(text)
 
 
-def boundaries(text: str) -> list[int]:
-    """Ends of the pre-tokens that do not end in white space: what stands before such an end is encoded alike without the rest."""
-    ends = (m.end() for m in SPLIT.finditer(text))
-    return [e for e in ends if not SPACE.match(text, e - 1)]
-
-
-def encode_piece(text: str, encoding: tiktoken.Encoding, cache: dict[str, list[int]]) -> list[int]:
+def boundaries(text: str, start: int = 0, end: int | None = None) -> list[int]:
+    """Ends of the pre-tokens of ``text[start:end]``, as places of the text."""
+    return list(accumulate(map(len, SPLIT.findall(text[start:end])), initial=start))[1:]
+
+
+def meeting(ends: list[int], before: list[int], start: int, stop: int, text: str) -> int | None:
+    """The first firm boundary in (start, stop] that both chunks found."""
+    known = set(before[bisect_left(before, start + 1):bisect_left(before, stop + 1)])
+    return next((e for e in ends[:bisect_left(ends, stop + 1)] if e in known and FIRM.match(text, e)), None)
+
+
+def stitched(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[str]]:
+    """The pre-tokens of a text in pieces, found from overlapping chunks."""
+    n, at, end = len(text), 0, min(len(text), chunk + overlap)
+    pieces = SPLIT.findall(text[:end])
+    ends = list(accumulate(map(len, pieces)))
+    while end < n:
+        start = end - overlap
+        stop = min(n, end + chunk)
+        following = SPLIT.findall(text[start:stop])
+        following_ends = list(accumulate(map(len, following), initial=start))[1:]
+        met = meeting(following_ends, ends, start, end - LOOKAHEAD, text)
+        if met is not None:
+            yield pieces[:bisect_left(ends, met) + 1]
+            first = bisect_left(following_ends, met) + 1
+            pieces, ends, at = following[first:], following_ends[first:], met
+        else:  # the piece goes on from its last sure boundary, over twice as much where it has none
+            sure = bisect_left(ends, end - LOOKAHEAD + 1)
+            yield pieces[:sure]
+            at = ends[sure - 1] if sure else at
+            stop = min(n, end + max(chunk, end - at))
+            pieces = SPLIT.findall(text[at:stop])
+            ends = list(accumulate(map(len, pieces), initial=at))[1:]
+        end = stop
+    yield pieces
+
+
+def encode_piece(text: str, encoding: tiktoken.Encoding, cache: dict[str, list[int]], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     ids: list[int] = []
     add = ids.extend
     get = cache.get
-    for piece in SPLIT.findall(text):
-        found = get(piece)
-        if found is None:
-            found = encoding._encode_single_piece(piece) if len(piece) < 64 else encoding.encode_ordinary(piece)
-            if len(cache) < CACHE and len(piece) < 64:
-                cache[piece] = found
-        add(found)
+    for pieces in stitched(text, chunk, overlap):
+        for piece in pieces:
+            found = get(piece)
+            if found is None:
+                found = encoding._encode_single_piece(piece) if len(piece) < 64 else encoding.encode_ordinary(piece)
+                if len(cache) < CACHE and len(piece) < 64:
+                    cache[piece] = found
+            add(found)
     return ids
 
 
-def stitch_points(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Where the pieces of a text begin and end, found from overlapping chunks.
-
-    Chunk k covers [k*chunk, (k+1)*chunk + overlap).  A chunk counts only while
-    all chunks before it were stitched; from the first overlap without a common
-    boundary (one run longer than it) the rest of the text is a single piece.
-    """
-    n, points, before = len(text), [0], None
-    for start in range(0, max(n, 1), chunk):
-        end = min(n, start + chunk + overlap)
-        ends = [start + e for e in boundaries(text[start:end])]
-        if before is not None:
-            common = before.intersection(e for e in ends if e <= start + overlap)
-            if not common:
-                break
-            points.append(min(common))
-        safe = end - LOOKAHEAD if end < n else n
-        before = {e for e in ends if start + chunk < e <= safe}
-    return [*points, n]
-
-
 def _encode(name: str, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, cache = encoder(name, folder)
@@ -115,52 +134,42 @@ def _encode(name: str, folder: str):
     return run
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Boundaries of a chunk in its head (its first OVERLAP characters) and its tail (its last ones), relative to the text."""
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where a chunk and the one before it meet first, or null; ``chunk`` holds both, from ``lead`` characters earlier."""
     for batch in batches:
-        head, tail = [], []
-        for start, own, text in zip(batch.column("start").to_pylist(), batch.column("own").to_pylist(), batch.column("chunk").to_pylist()):
-            ends = boundaries(text)
-            reach = len(text) - own
-            safe = len(text) - LOOKAHEAD
-            head.append([start + e for e in ends if e <= OVERLAP])
-            tail.append([start + e for e in ends if own < e <= (safe if reach else -1)])
-        wide = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(head, wide), pa.array(tail, wide)], names=["row", "k", "head", "tail"])
+        met = []
+        for start, lead, text in zip(*(batch.column(c).to_pylist() for c in ("start", "lead", "chunk"))):
+            reach = min(len(text), lead + OVERLAP)
+            m = meeting(boundaries(text, lead), boundaries(text, 0, reach), lead, reach - LOOKAHEAD, text)
+            met.append(None if m is None else start - lead + m)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(met, pa.int64())], names=["row", "met"])
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = VOCABULARIES,
-                  chunk: int = CHUNK) -> DataFrame:
+                  spread: int = SPREAD) -> DataFrame:
     """(key, ids): the token ids of every row's text."""
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    ids = "ids array<int>"
     key_type = source.schema["key"].dataType.simpleString()
-    long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = source.where(~long).mapInArrow(_encode(name, folder), f"key {key_type}, {ids}")
+    long = F.coalesce(F.length("text") > spread, F.lit(False))
+    within = source.where(~long).mapInArrow(_encode(name, folder), f"key {key_type}, ids array<int>")
     # the few long ones are set down with a row number first: it must be the same wherever it is read again
     rows = materialize(source.where(long).withColumn("row", F.monotonically_increasing_id()), "long-texts")
-    huge = _encode_long(rows, key_type, name, folder, chunk)
-    return short.unionByName(huge).select(F.col("key").alias(key), "ids")
+    return within.unionByName(_encode_spread(rows, key_type, name, folder, spread)).select(F.col("key").alias(key), "ids")
 
 
-def _encode_long(rows: DataFrame, key_type: str, name: str, folder: str, chunk: int) -> DataFrame:
-    """Texts over one chunk: chunk rows in parallel, stitched by window, encoded in parallel, gathered per text."""
+def _encode_spread(rows: DataFrame, key_type: str, name: str, folder: str, own: int) -> DataFrame:
+    """Texts over several tasks: stitches of ``own`` characters each found in parallel, the pieces encoded in parallel, gathered per text."""
     n = F.length("text")
-    cut = rows.select("row", "key", "text", F.posexplode(F.sequence(F.lit(0), (n - 1).cast("int"), F.lit(chunk))).alias("k", "start"))
-    chunks = cut.select("row", "key", "k", F.col("start").cast("bigint").alias("start"), F.lit(chunk).alias("own"),
-                        F.expr(f"substring(text, start + 1, {chunk + OVERLAP})").alias("chunk"))
-    ends = chunks.select("row", "k", "start", "own", "chunk").mapInArrow(_ends, "row bigint, k int, head array<bigint>, tail array<bigint>")
-    order = Window.partitionBy("row").orderBy("k")
-    met = ends.withColumn("met", F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
-    # from the first chunk that met no boundary on, the rest of the text is one piece
-    stitched = F.min(((F.col("k") == 0) | F.col("met").isNotNull()).cast("int")).over(order)
-    placed = met.withColumn("ok", stitched).withColumn("piece", F.sum("ok").over(order)).where("ok = 1")
-    spans = placed.select("row", "k", "piece", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.col("met")).alias("from"))
-    pieces = spans.groupBy("row", "piece").agg(F.max("from").alias("from"))
-    until = pieces.withColumn("until", F.lead("from").over(Window.partitionBy("row").orderBy("piece")))
-    whole = rows.join(until, "row").select(
-        "row", "key", "piece", F.expr("substring(text, cast(`from` as int) + 1, cast(coalesce(until, length(text)) - `from` as int))").alias("text"))
-    encoded = whole.repartition("row", "piece").mapInArrow(_encode(name, folder), f"row bigint, key {key_type}, piece bigint, ids array<int>")
+    cut = rows.select("row", "text", F.explode(F.sequence(F.lit(own), (n - 1).cast("int"), F.lit(own))).alias("start"))
+    lead = F.least("start", F.lit(CHUNK))
+    chunks = cut.select("row", F.col("start").cast("bigint").alias("start"), lead.alias("lead"),
+                        F.substring("text", F.col("start") - lead + 1, lead + F.lit(OVERLAP + CHUNK)).alias("chunk"))
+    met = chunks.mapInArrow(_meetings, "row bigint, met bigint").where("met is not null")
+    starts = rows.select("row", F.lit(0).cast("bigint").alias("met")).unionByName(met)
+    until = starts.withColumn("until", F.lead("met").over(Window.partitionBy("row").orderBy("met")))
+    pieces = rows.join(until, "row").select(
+        "row", "key", F.col("met").alias("piece"), F.expr("substring(text, cast(met as int) + 1, cast(coalesce(until, length(text)) - met as int))").alias("text"))
+    encoded = pieces.repartition("row", "piece").mapInArrow(_encode(name, folder), f"row bigint, key {key_type}, piece bigint, ids array<int>")
     gathered = encoded.groupBy("row", "key").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
     return gathered.select("key", F.flatten("parts.ids").alias("ids"))
 

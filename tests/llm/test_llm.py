@@ -186,12 +186,17 @@ ENCODER = tokenize.encoder("byte_bpe_50k")
 texts_for_bpe = st.text(alphabet=st.sampled_from("ab '\n\t 12é你　!’s<|>l"), max_size=80)
 
 
-@settings(max_examples=60, deadline=None)
+def plain_ids(text):
+    encoding, _ = ENCODER
+    return [i for piece in tokenize.pre_tokens(text) for i in encoding.encode_ordinary(piece)] if text else []
+
+
+@settings(max_examples=200, deadline=None)
 @given(texts_for_bpe, st.integers(8, 30))
 def test_stitched_pieces_encode_alike(text, chunk):
-    points = tokenize.stitch_points(text, chunk, chunk // 2)
-    ids = [i for a, b in zip(points, points[1:]) for i in tokenize.encode_piece(text[a:b], *ENCODER)]
-    assert ids == tokenize.encode_piece(text, *ENCODER)
+    assert [p for piece in tokenize.stitched(text, chunk, chunk // 2) for p in piece] == tokenize.pre_tokens(text)
+    ids = tokenize.encode_piece(text, *ENCODER, chunk, chunk // 2)
+    assert ids == plain_ids(text) == ENCODER[0].encode_ordinary(text)
     assert tokenize.decode(ids) == text
 
 
@@ -199,16 +204,21 @@ def test_stitched_pieces_encode_alike(text, chunk):
 def test_paragraph_breaks_round_a_chunk_start(gap):
     for at in range(20, 61):
         text = ("ab cd's " * 20)[:at] + gap + "word's of the next paragraph, and more of them to come 12 times"
-        points = tokenize.stitch_points(text, 40, 20)
-        ids = [i for a, b in zip(points, points[1:]) for i in tokenize.encode_piece(text[a:b], *ENCODER)]
-        assert ids == tokenize.encode_piece(text, *ENCODER), at
+        pieces = list(tokenize.stitched(text, 40, 20))
+        assert len(pieces) > 1 and [p for x in pieces for p in x] == tokenize.pre_tokens(text), at
+
+
+def test_runs_longer_than_chunks_only_lengthen_their_own_piece():
+    text = "one two " * 10 + "x" * 500 + " three four" * 100
+    pieces = ["".join(p) for p in tokenize.stitched(text, 40, 10)]
+    assert "".join(pieces) == text and sum(len(p) < 120 for p in pieces) > 20
 
 
 def test_paragraph_breaks_round_a_chunk_start_in_a_table(spark):
     rows = [(at, "ab" * (at // 2 - 4) + " " * (at % 2) + " ab cd ab"[:8] + "\n\nword of it " * 800) for at in range(9_985, 10_012)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.ids for r in tokenize.encode_corpus(df, chunk=10_000).collect()}
-    assert got == {i: tokenize.encode_piece(t, *ENCODER) for i, t in rows}
+    got = {r.doc_id: r.ids for r in tokenize.encode_corpus(df, spread=10_000).collect()}
+    assert got == {i: plain_ids(t) for i, t in rows}
 
 
 def test_against_the_reference_encoder():
@@ -225,9 +235,9 @@ def test_corpus_encoding_of_short_and_huge_texts(spark):
     run = "x" * 9000 + huge
     rows = [(1, None), (2, ""), (3, SENTENCE), (4, huge), (5, run), (6, SENTENCE)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"ids": F.lit(1), "key": F.lit("k"), "k": F.lit(2)})
-    got = {r.doc_id: r.ids for r in tokenize.encode_corpus(df, chunk=10_000).collect()}
-    assert got == {i: tokenize.encode_piece(t or "", *ENCODER) for i, t in rows}
-    back = {r.doc_id: r.text for r in tokenize.decode_corpus(tokenize.encode_corpus(df, chunk=10_000)).collect()}
+    got = {r.doc_id: r.ids for r in tokenize.encode_corpus(df, spread=10_000).collect()}
+    assert got == {i: plain_ids(t or "") for i, t in rows}
+    back = {r.doc_id: r.text for r in tokenize.decode_corpus(tokenize.encode_corpus(df, spread=10_000)).collect()}
     assert back == {i: t or "" for i, t in rows}
     assert tokenize.encode_corpus(df.where("false")).count() == 0
 
