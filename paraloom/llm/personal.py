@@ -8,10 +8,12 @@ only the sums are shuffled.  A name is then a learnt given name or an initial
 beside a family name, in either order, or anything of that shape after a cue.
 
 What was found is replaced by typed placeholders, numbered by entity within
-the text, or by surrogates: keyed replacements of the same type, script, case
-and format.  Digits go through a keyed permutation, so different numbers stay
-different everywhere; names are drawn by keyed hash, the same part always
-giving the same part, with a check that different ones of a text do not meet.
+the text, or by surrogates: keyed replacements of the same type, gender, case
+and format.  Digits and letters of numbers go through keyed permutations, so
+different ones stay different everywhere.  Words of names, mail and street
+addresses become made-up words by keyed hash; the words of all texts are checked
+against each other and the few that would meet get another (``fit_surrogates``),
+so that over the whole corpus one word has one replacement and no two share one.
 
 Defined results: null texts stay null and empty ones empty, with nothing found;
 a value that occurs twice in a text is reported once; repeated rows each count.
@@ -21,11 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from itertools import islice
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,44 +80,51 @@ ID = re.compile(
     r"|carte\s+d['’]identité|identité|DNI|CPF|SSN|NIK|KTP|bilhete|identidade|identidad)))"
     r"(?:\s+(?i:card|number|numbers|no|nr|num|número|numéro|nomor|n))*\.?\s*(?:[º°]\s*)?[:#(]?\s*"
     rf"({ID_FORM})(?![\w/]|-\w)")
-# what must stand in a text for a pattern to be tried there, and how far it may reach back and on
+
+
+def _starting(words: Iterable[str], before: str) -> str:
+    """The words as alternatives by first letter, told by that letter first and only after ``before``; quick to search for."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?<{before}{c})(?:{'|'.join(rest)})" for c, rest in by_first.items())
+
+
+# what must stand in a text for a pattern to be tried there, and what a match is made of
 _STREET_WORDS = "Road Street Close Crescent Lane Avenue Way Drive Square Terrace Court Gardens Hill Boulevard Rd St Ave".split()
-GATES = {
-    "email": (re.compile(r"@|[\[({]\s*(?:at|dot)\s*[\])}]|\s(?:dot|DOT|punto|ponto|point)\s|\s(?:at|AT|arroba)\s[a-z0-9-]+\.[a-z]"), MAIL, 160, 160),
-    "id": (re.compile(r"\d[\d/-]{4}|\d{4}\s\d{4}\s"), ID, 80, 30),
-    "addr": (re.compile(r"(?:(?<=\s)(?:" + "|".join([*_STREET_WORDS, *map(str.upper, _STREET_WORDS)])
-                        + r"|rue|avenue|boulevard|place|chemin|allée|impasse|quai)|\b(?:Calle|Avenida|Plaza|Paseo|Carrera|Rua|Travessa|Jalan|Jl))\b"), ADDRESS, 120, 160),
-}
-
-
-def _gated(text: str, kind: str) -> list[re.Match]:
-    gate, pattern, back, on = GATES[kind]
-    out, done = [], 0
-    for g in gate.finditer(text):
-        if g.start() < done:
-            continue
-        start = max(done, g.start() - back)
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        m = None
-        for m in pattern.finditer(text, start, min(len(text), g.end() + on)):
-            m = pattern.match(text, m.start(), min(len(text), m.end() + on)) or m  # the window must not cut it short
-            if not out or m.start() >= out[-1].end():
-                out.append(m)
-        done = max(g.end(), m.end() if m else 0)
-    return out
+MAIL_GATE = re.compile(r"@|[\[({]\s*(?:at|dot)\s*[\])}]|" + _starting(
+    [*(w + r"\s" for w in "dot DOT punto ponto point".split()), *(w + r"\s[a-z0-9-]+\.[a-z]" for w in "at AT arroba".split())], r"=\s"))
+MAIL_RUN = re.compile(r"[\w.+\-@\s\[\](){}]+")  # a match lies in one such run
+ID_GATE = re.compile(r"[0-9](?:[\d/-]{4}|\d{3}\s\d{4}\s)")
+ADDRESS_GATE = re.compile(
+    "(?:" + _starting([*_STREET_WORDS, *map(str.upper, _STREET_WORDS), *"rue avenue boulevard place chemin allée impasse quai".split()], r"=\s")
+    + "|" + _starting("Calle Avenida Plaza Paseo Carrera Rua Travessa Jalan Jl".split(), r"!\w") + r")\b")
+PHONE_RUN = re.compile(r"[+(0-9][0-9+()./\-\s]{8,}")
+
+
+def _mails(text: str) -> list[re.Match]:
+    if not MAIL_GATE.search(text):
+        return []
+    return [m for run in MAIL_RUN.finditer(text) if MAIL_GATE.search(run.group()) for m in MAIL.finditer(text, run.start(), run.end())]
 
 
-TITLES = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Mme|Mlle|M|Sr|Sra|Srta|Sra|Dra|Bapak|Ibu|Pak|Bu)\.?"
+def _phones(text: str) -> list[re.Match]:
+    return [m for run in PHONE_RUN.finditer(text) for m in PHONE.finditer(text, run.start(), run.end() + 2) if 9 <= sum(map(str.isdigit, m.group())) <= 15]
+
+
+_TITLES = "Mrs Mr Ms Miss Dr Prof Mme Mlle M Sr Sra Srta Dra Bapak Ibu Pak Bu".split()
+_LABELS = r"Name Nom Nombre Nome Nama Prepared\s+by Contact Contacto Contato Atención Atenção Attention Attn Author Patient".split()
+_LEADS = (r"said", r"write\s+to", r"kept\s+by", r"The\s+patient,", r"the\s+patient,", r"escriba\s+a", r"écrire\s+à", r"Expediente\s+de", r"expediente\s+de",
+          r"Dossier\s+de", r"dossier\s+de", "Reimburse", "reimburse")
+#: What stands before a name: a label or a lead with or without a title, or a title alone.
 CUE = re.compile(
-    r"(?:\b(?:Name|Nom|Nombre|Nome|Nama|Prepared\s+by|Contact|Contacto|Contato|Atención|Atenção|Attention|Attn|Author|Patient)\s*:\s*"
-    r"|\bsaid\s+|\bwrite\s+to\s+|\bkept\s+by\s+|\b[Tt]he\s+patient,\s+|\bescriba\s+a\s+|\bécrire\s+à\s+|\b[Ee]xpediente\s+de\s+|\b[Dd]ossier\s+de\s+|\b[Rr]eimburse\s+)"
-    rf"(?:{TITLES}\s+)?")
-TITLE = re.compile(rf"\b(?:Mrs|Mr|Ms|Dr|Prof|Mme|Mlle|Sra|Dra)\b\.?\s+")
-TOKEN = re.compile(rf"(?<![\w@.'’-])(?:([A-ZÀ-ÖØ-Þ]\.)(?=\s)|({CAP})(?![\w@]))")
+    _starting([*(rf"{w}\s*:\s*(?:(?:{'|'.join(_TITLES)})\.?\s+)?" for w in _LABELS), *(rf"{w}\s+(?:(?:{'|'.join(_TITLES)})\.?\s+)?" for w in _LEADS),
+               *(rf"{w}\b\.?\s+" for w in "Mrs Mr Ms Dr Prof Mme Mlle Sra Dra".split())], r"!\w"))
+#: A capitalised word, or an initial with its dot.
+TOKEN = re.compile(r"[A-ZÀ-ÖØ-Þ](?<![\w@.'’-][A-ZÀ-ÖØ-Þ])(?:\.(?=\s)|[^\W\d_]*(?:['’-][^\W\d_]+)*(?![\w@]))")
 # fixed values: capitalised words that begin sentences or name offices and places, never persons
 NOT_NAMES = frozenset(
-    "the a an in on at for of and by since after before because among women men young people without according only few progress interviews lessons "
+    "the a an in on at for of by and since after before because among women men young people without according only few progress interviews lessons "
     "heavy rains where stock records transport costs between plans minutes name id phone address email contact call follow read version award isbn ward lot "
     "coordinates upper lower street road avenue close crescent lane way suite flat health fair clinic hospital bay centre center school desk unit bureau "
     "mission secretariat university ministry committee her his she he they we it is was as to from with her passport social security deliver send please "
@@ -132,9 +142,10 @@ class NameModel:
         return len(low) >= 4 and low[-3:] in self.endings and low not in NOT_NAMES
 
 
-def _tokens(text: str) -> list[tuple[int, int, str, bool]]:
+def _token(m: re.Match) -> tuple[int, int, str, bool]:
     """(start, end, word, is an initial)."""
-    return [(m.start(), m.end(), m.group(), m.group(1) is not None or len(m.group()) == 1) for m in TOKEN.finditer(text)]
+    word = m.group()
+    return m.start(), m.end(), word, len(word) == 1 or word[-1] == "."
 
 
 def _pair(text: str, tokens, i: int):
@@ -158,22 +169,30 @@ def _pair(text: str, tokens, i: int):
     return None
 
 
-def _sightings(texts: Iterable[str], seen: Counter) -> Counter:
-    """Adds to ``seen``: (kind, term, cued) with its number; kind is given or ending, and cued False counts it anywhere."""
+def _sightings(texts: Iterable[str], anywhere: Counter, cued: Counter) -> None:
+    """Adds capitalised words to ``anywhere``, and to ``cued`` what stands after cues: (kind, term), kind given or ending."""
     for text in texts:
-        words = [w.lower() for _, w in TOKEN.findall(text) if len(w) > 1]
-        seen.update(("given", w, False) for w in words)
-        seen.update(("ending", w[-3:], False) for w in words if len(w) > 2)
-        for pattern in (CUE, TITLE):
-            for m in pattern.finditer(text):
-                tokens = [(t.start(), t.end(), t.group(), t.group(1) is not None or len(t.group()) == 1) for t in islice(TOKEN.finditer(text, m.end()), 3)]
-                got = _pair(text, tokens, 0) if tokens and tokens[0][0] == m.end() else None
-                if not got or got[0].lower() in NOT_NAMES or got[1].lower() in NOT_NAMES:
-                    continue
-                if not got[4] and len(got[0]) > 1:
-                    seen["given", got[0].lower(), True] += 1
-                seen["ending", got[1].lower()[-3:], True] += 1
-    return seen
+        anywhere.update(map(str.lower, TOKEN.findall(text)))
+        for m in CUE.finditer(text):
+            tokens = list(map(_token, itertools.islice(TOKEN.finditer(text, m.end()), 3)))
+            got = _pair(text, tokens, 0) if tokens and tokens[0][0] == m.end() else None
+            if not got or got[0].lower() in NOT_NAMES or got[1].lower() in NOT_NAMES:
+                continue
+            if not got[4] and len(got[0]) > 1:
+                cued["given", got[0].lower()] += 1
+            cued["ending", got[1].lower()[-3:]] += 1
+
+
+def _summed(anywhere: Counter, cued: Counter) -> dict[tuple[str, str, bool], int]:
+    """(kind, term, cued) with its number; an ending stands where a word ends in it."""
+    out = {(kind, term, True): n for (kind, term), n in cued.items()}
+    for word, n in anywhere.items():
+        if len(word) > 1 and word[-1] != ".":
+            out["given", word, False] = n
+            if len(word) > 2:
+                ending = ("ending", word[-3:], False)
+                out[ending] = out.get(ending, 0) + n
+    return out
 
 
 def _learnt(rows: Iterable[tuple[str, str, int, int]], cues: int) -> NameModel:
@@ -187,25 +206,31 @@ def _learnt(rows: Iterable[tuple[str, str, int, int]], cues: int) -> NameModel:
 
 def learn_names(texts: list[str]) -> NameModel:
     """Given names and family endings that stand after cues and titles."""
-    seen = _sightings(texts, Counter())
-    rows = [(kind, term, n, seen[kind, term, False]) for (kind, term, cued), n in seen.items() if cued]
+    anywhere, cued = Counter(), Counter()
+    _sightings(texts, anywhere, cued)
+    seen = _summed(anywhere, cued)
+    rows = [(kind, term, n, seen.get((kind, term, False), 0)) for (kind, term, after), n in seen.items() if after]
     return _learnt(rows, sum(n for kind, _, n, _ in rows if kind == "ending"))
 
 
 def _count_sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    anywhere, cued = Counter(), Counter()
 
     def flush():
-        kinds, terms, cued = zip(*seen)
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(terms), pa.array(cued), pa.array(list(seen.values()), pa.int64())], names=["kind", "term", "cued", "n"])
+        seen = _summed(anywhere, cued)
+        kinds, terms, after = zip(*seen) if seen else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kinds, pa.string()), pa.array(terms, pa.string()), pa.array(after, pa.bool_()), pa.array(list(seen.values()), pa.int64())],
+            names=["kind", "term", "cued", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            _sightings([text], seen)
-            if len(seen) > FLUSH:
+            _sightings([text], anywhere, cued)
+            if len(anywhere) + len(cued) > FLUSH:
                 yield flush()
-                seen.clear()
-    if seen:
+                anywhere.clear()
+                cued.clear()
+    if anywhere or cued:
         yield flush()
 
 
@@ -221,40 +246,43 @@ def fit(df: DataFrame, text: str = "text") -> NameModel:
 
 def find(text: str, model: NameModel) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind), in order."""
-    spans: list[tuple[int, int, str]] = []
-    spans += [(m.start(), m.end(), "email") for m in _gated(text, "email")]
-    spans += [(m.start(1), m.end(1), "id") for m in _gated(text, "id")]
-    spans += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 9 <= sum(map(str.isdigit, m.group())) <= 15]
-    spans += [(m.start(), m.end(), "addr") for m in _gated(text, "addr")]
+    spans: list[tuple[int, int, str]] = [(m.start(), m.end(), "email") for m in _mails(text)]
+    if ID_GATE.search(text):
+        spans += [(m.start(1), m.end(1), "id") for m in ID.finditer(text)]
+    spans += [(m.start(), m.end(), "phone") for m in _phones(text)]
+    if ADDRESS_GATE.search(text):
+        spans += [(m.start(), m.end(), "addr") for m in ADDRESS.finditer(text)]
     spans += _names(text, model)
     rank = {"email": 0, "id": 1, "addr": 2, "phone": 3, "name": 4}
     spans.sort(key=lambda x: (rank[x[2]], x[0], -x[1]))
     taken: list[tuple[int, int, str]] = []
     for s in spans:
-        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
+        at = bisect(taken, s)
+        if (at == 0 or taken[at - 1][1] <= s[0]) and (at == len(taken) or s[1] <= taken[at][0]):
+            taken.insert(at, s)
+    return taken
 
 
 def _names(text: str, model: NameModel) -> list[tuple[int, int, str]]:
-    tokens = _tokens(text)
-    starts = {t[0]: i for i, t in enumerate(tokens)}
-    cued = {starts[m.end()] for p in (CUE, TITLE) for m in p.finditer(text) if m.end() in starts}
-    out, i, given = [], 0, model.given
+    tokens = list(map(_token, TOKEN.finditer(text)))
+    given = model.given
+    known = [word.lower() in given for _, _, word, _ in tokens]
+    after_cue = {m.end() for m in CUE.finditer(text)}
+    out, i = [], 0
     while i < len(tokens):
         step = 1
-        _, _, word, single = tokens[i]
-        likely = single or i in cued or word.lower() in given or i + 1 < len(tokens) and tokens[i + 1][2].lower() in given
-        got = _pair(text, tokens, i) if likely or i + 1 < len(tokens) and tokens[i + 1][3] else None
+        start, end, _, single = tokens[i]
+        cued = start in after_cue
+        got = _pair(text, tokens, i) if single or known[i] or cued or i + 1 < len(tokens) and (known[i + 1] or tokens[i + 1][3]) else None
         if got:
             first, family, s, e, initial = got
             low, last = first.lower(), family.lower()
             blocked = last in NOT_NAMES or (not initial and low in NOT_NAMES)
-            after_comma = text[tokens[i][1]:tokens[i][1] + 1] == ","
+            after_comma = text[end:end + 1] == ","
             ok = not blocked and (
-                (not initial and low in model.given and last not in model.given and (not after_comma or model.family(family)))
+                (not initial and low in given and last not in given and (not after_comma or model.family(family)))
                 or (initial and model.family(family))
-                or (i in cued and (model.family(family) or not after_comma and not initial)))
+                or (cued and (model.family(family) or not after_comma and not initial)))
             if ok:
                 out.append((s, e, "name"))
                 step = sum(1 for t in tokens[i:i + 3] if t[0] < e)
@@ -262,11 +290,25 @@ def _names(text: str, model: NameModel) -> list[tuple[int, int, str]]:
     return out
 
 
-FOUND = "doc_id bigint, kind string, val string"
+ENTITIES = "start int, end int, kind string, val string"
+
+
+def entities(df: DataFrame, model: NameModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, end, kind, val): every stretch that is replaced, where it stands; one pass without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, a, b, kind, t[a:b]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for a, b, kind in find(t, model)]
+            columns = list(zip(*rows)) or [[]] * 5
+            types = (batch.schema.types[0], pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types)], names=["key", "start", "end", "kind", "val"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, {ENTITIES}").withColumnRenamed("key", key)
 
 
 def found_values(df: DataFrame, model: NameModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, val): each value of a text once."""
+    """(key, kind, val): each value of a row once, by its first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,74 +352,130 @@ def permute_digits(digits: str, key: bytes, rounds: int = 8) -> str:
     return left + right
 
 
-_ONSETS, _VOWELS = "b d f g k l m n p r s t v z br dr kl st tr".split(), "a e i o u".split()
-# fixed values: surrogate given names by the gender the ending of a name suggests
-_GIVEN = {"a": "Alma Bella Clara Dora Elena Flora Greta Hanna Irma Julia Karla Laura Marta Nadia Olga Paula Rita Sara Tessa Vera".split(),
-          "": "Adam Boris Carl David Edgar Felix Georg Hugo Ivan Jonas Kevin Lars Martin Nils Oscar Peter Robin Simon Tom Victor".split()}
+_ONSETS, _VOWELS, _CODAS = "b d f g k l m n p r s t v z br dr kl st tr".split(), "a e i o u".split(), "n r s l m".split()
+LETTERS = re.compile(r"[^\W\d_]+")
+MAIL_SIGN = re.compile(r"\s*(?:@|[\[({]\s*at\s*[\])}]|\s(?:at|AT|arroba)\s)\s*")
+MAIL_DOT = re.compile(r"\.|[\[({]\s*dot\s*[\])}]|\s(?:dot|DOT|punto|ponto|point)\s")
+# fixed values: words of an address that say what it is and stay
+KEPT = re.compile(rf"{STREET}|(?i:flat|suite|apt|apartment|unit|room|floor|bis|rue|avenue|boulevard|place|chemin|allée|impasse|quai|calle|avenida|plaza|paseo|carrera"
+                  r"|rua|travessa|jalan|jl|de|du|des|del|da|do|dos|das|la|las|los|le|l|d|no|n)")
+SYLLABLES, MOST_CLASHES = 4, 100_000
+
+
+@dataclass
+class Surrogates:
+    """Keyed replacements; ``salts`` holds the words whose first replacement was another's."""
+
+    key: bytes
+    given: frozenset
+    syllables: int = SYLLABLES
+    salts: dict = field(default_factory=dict)
+    _made: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_made": {}}
+
+    def word(self, low: str) -> str:
+        """The replacement of a lower-cased word: a given name keeps the gender its ending suggests; one letter stays one letter."""
+        new = self._made.get(low)
+        if new is None:
+            if len(low) == 1:
+                new = chr(97 + (ord(low) - 97 + _prf(self.key, "initial")) % 26) if low.isascii() else low
+            else:
+                h = _prf(self.key, "word", low, str(self.salts.get(low, 0)))
+                new = ""
+                for _ in range(self.syllables):
+                    h, at = divmod(h, len(_ONSETS) * len(_VOWELS))
+                    new += _ONSETS[at // len(_VOWELS)] + _VOWELS[at % len(_VOWELS)]
+                if low in self.given:
+                    new = new[:-1] + ("a" if low.endswith("a") else "o" + _CODAS[h % len(_CODAS)])
+            if len(self._made) < 400_000:
+                self._made[low] = new
+        return new
+
+    def words(self, text: str) -> str:
+        return LETTERS.sub(lambda m: _cased(self.word(m.group().lower()), m.group()), text)
+
+    def digits(self, text: str) -> str:
+        return re.sub(r"\d+", lambda m: permute_digits(m.group(), self.key), text)
+
+    def of(self, kind: str, value: str) -> str:
+        if kind in ("phone", "id"):
+            made = iter(permute_digits("".join(c for c in value if c.isdigit()), self.key))
+            at = itertools.count()
+            shifted = re.sub(r"[A-Z]", lambda m: chr(65 + (ord(m.group()) - 65 + _prf(self.key, "letter", str(next(at)))) % 26), value)
+            return re.sub(r"\d", lambda _: next(made), shifted)
+        if kind == "email":
+            m = MAIL_SIGN.search(value)
+            dots = list(MAIL_DOT.finditer(value, m.end())) if m else []
+            end = dots[-1].start() if dots else len(value)  # the last part of a domain says what it is and stays
+            inside = value[m.end():end] if m else ""
+            spelt = [x for d in MAIL_DOT.finditer(inside) for x in d.span()]
+            cuts = [0, *spelt, len(inside)]
+            domain = "".join(self.digits(self.words(part)) if i % 2 == 0 else part for i, part in enumerate(inside[a:b] for a, b in zip(cuts, cuts[1:])))
+            head = value[:m.start()] if m else value
+            return self.digits(self.words(head)) + (value[m.start():m.end()] + domain + value[end:] if m else "")
+        if kind == "addr":
+            return self.digits(LETTERS.sub(lambda m: m.group() if KEPT.fullmatch(m.group()) else self.words(m.group()), value))
+        return self.words(value)
 
 
 def _cased(word: str, like: str) -> str:
-    return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
+    return word.upper() if like.isupper() else word.capitalize() if like[:1].isupper() else word
 
 
-def _word(key: bytes, low: str, salt: int) -> str:
-    h = _prf(key, "word", low, str(salt))
-    out = ""
-    for _ in range(max(2, min(5, len(low) // 2))):
-        out += _ONSETS[h % len(_ONSETS)] + _VOWELS[h // 31 % len(_VOWELS)]
-        h //= 97
-    return out
+def _replaced_words(model: NameModel):
+    """The lower-cased words of all entities that become made-up words, once per task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            fresh = {w.lower() for t in batch.column(0).to_pylist() if t for a, b, kind in find(t, model) if kind in ("name", "email", "addr")
+                     for w in LETTERS.findall(t[a:b]) if len(w) > 1} - seen
+            if len(seen) < 1_000_000:
+                seen |= fresh
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(fresh), pa.string())], names=["word"])
+
+    return run
+
+
+def fit_surrogates(df: DataFrame, model: NameModel, secret: str, text: str = "text") -> Surrogates:
+    """Replacements under which no two words of the corpus meet, and none becomes another word of it.
+
+    The words are compared as a table by what they become; only those that meet
+    reach the driver and take the next salt, until none meet.  Where more than
+    ``MOST_CLASHES`` would, the made-up words get a syllable more.
+    """
+    words = materialize(df.where(F.col(text).isNotNull()).select(text).mapInArrow(_replaced_words(model), "word string").distinct(), "replaced-words")
+    made = Surrogates(secret.encode(), model.given)
+    while True:
+        new = F.pandas_udf(lambda s: s.map(made.word), "string")
+        both = words.select("word", new("word").alias("new")).unionByName(words.select(F.lit(None).cast("string").alias("word"), F.col("word").alias("new")))
+        met = both.groupBy("new").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("word").isNull()).alias("taken"), F.min("word").alias("first")).where("n > 1")
+        again = words.select("word", new("word").alias("new")).join(met, "new").where(F.col("taken") | (F.col("word") != F.col("first")))
+        clashes = [r["word"] for r in again.select("word").limit(MOST_CLASHES + 1).collect()]
+        if not clashes:
+            return made
+        if len(clashes) + len(made.salts) > MOST_CLASHES:
+            made = Surrogates(made.key, made.given, made.syllables + 1)
+        else:
+            made = Surrogates(made.key, made.given, made.syllables, made.salts | {w: made.salts.get(w, 0) + 1 for w in clashes})
 
-def surrogate(kind: str, value: str, key: bytes, model: NameModel, given: dict, taken: dict) -> str:
-    """One replacement; ``given`` and ``taken`` hold what this text has used, for coreference and distinctness."""
 
-    def part(m: re.Match) -> str:
-        w = m.group()
-        low = w.lower()
-        for salt in range(100):
-            if kind == "name" and low in model.given:
-                pool = _GIVEN["a" if low.endswith("a") else ""]
-                new = pool[(_prf(key, "given", low) + salt) % len(pool)].lower()
-            elif len(low) == 1:
-                new = chr(97 + (_prf(key, "initial", low) + salt) % 26)
-            else:
-                new = _word(key, low, salt)
-            if taken.setdefault(new, low) == low:
-                break
-        return _cased(new, w)
-
-    if kind in ("phone", "id"):
-        digits = permute_digits("".join(c for c in value if c.isdigit()), key)
-        it = iter(digits)
-        return re.sub(r"[A-Z]", lambda m: chr(65 + (ord(m.group()) - 65 + _prf(key, "letter", str(m.start()))) % 26),
-                      re.sub(r"\d", lambda _: next(it), value))
-    words = re.compile(r"[^\W\d_]+")
-    if kind == "email":
-        user = re.split(r"\s*(?:@|[\[({]\s*at|\sat\s)", value, maxsplit=1)[0]
-        fresh = words.sub(part, user)
-        return re.sub(r"\d+", lambda m: permute_digits(m.group(), key), fresh) + value[len(user):]
-    if kind == "addr":
-        keep = re.compile(rf"{STREET}|(?i:flat|suite|apt|apartment|unit|room|rue|avenue|boulevard|place|calle|avenida|de|du|des|del|la|no|n)")
-        out = words.sub(lambda m: m.group() if keep.fullmatch(m.group()) else part(m), value)
-        return re.sub(r"\d+", lambda m: permute_digits(m.group(), key), out)
-    return words.sub(part, value)
-
-
-def with_surrogates(text: str, model: NameModel, key: bytes) -> str:
-    out, last, given, taken = [], 0, {}, {}
+def with_surrogates(text: str, model: NameModel, surrogates: Surrogates) -> str:
+    out, last = [], 0
     for a, b, kind in find(text, model):
-        out += [text[last:a], surrogate(kind, text[a:b], key, model, given, taken)]
+        out += [text[last:a], surrogates.of(kind, text[a:b])]
         last = b
     return "".join([*out, text[last:]])
 
 
-def replaced(df: DataFrame, model: NameModel, key: str = "doc_id", text: str = "text", secret: str | None = None) -> DataFrame:
-    """(key, text): with typed placeholders, or with surrogates under ``secret``."""
+def replaced(df: DataFrame, model: NameModel, key: str = "doc_id", text: str = "text", surrogates: Surrogates | None = None) -> DataFrame:
+    """(key, text): with typed placeholders, or with surrogates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t and (placeholders(t, model) if secret is None else with_surrogates(t, model, secret.encode())) for t in batch.column(1).to_pylist()]
+            texts = [t and (placeholders(t, model) if surrogates is None else with_surrogates(t, model, surrogates)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["key", "text"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -508,13 +508,44 @@ def test_personal_information(text, want):
     assert {(k, text[a:b]) for a, b, k in personal.find(text, PEOPLE)} == want
 
 
+SECRET = personal.Surrogates(b"k", PEOPLE.given)
+
+
 def test_placeholders_and_surrogates():
     text = "Ilka Dobarez (info@mission.test) and Ilka Dobarez, +44 7700 900474, ID: 9968 0539 1287."
     assert personal.placeholders(text, PEOPLE) == "[NAME_1] ([EMAIL_1]) and [NAME_1], [PHONE_1], ID: [ID_1]."
-    new = personal.with_surrogates(text, PEOPLE, b"k")
+    new = personal.with_surrogates(text, PEOPLE, SECRET)
     assert "Dobarez" not in new and "900474" not in new and re.search(r"\+\d\d \d{4} \d{6}, ID: \d{4} \d{4} \d{4}\.", new)
     names = re.findall(r"[A-Z]\w+ [A-Z]\w+", new)
-    assert names[0] == names[1] and new == personal.with_surrogates(text, PEOPLE, b"k") != personal.with_surrogates(text, PEOPLE, b"other")
+    other = personal.with_surrogates(text, PEOPLE, personal.Surrogates(b"other", PEOPLE.given))
+    assert names[0] == names[1] and new == personal.with_surrogates(text, PEOPLE, SECRET) != other
+    # the words of a domain go too, its last part stays; a given name keeps its gender
+    assert "mission" not in new and ".test" in new and names[0].split()[0].endswith("a") and not SECRET.word("osric").endswith("a")
+
+
+def test_surrogates_hold_over_the_corpus(spark, monkeypatch):
+    rng = random.Random(8)
+    family = sorted({"".join(rng.choice("bdgklmnprstvz") + rng.choice("aeiou") for _ in range(2)) + "arez" for _ in range(300)})
+    texts = [f"Mrs Ilka {f.capitalize()} wrote to {f}@post.invalid" for f in family] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(personal, "SYLLABLES", 2)  # so few made-up words that some meet
+    few = personal.Surrogates(b"k", PEOPLE.given, 2)
+    assert len({few.word(f) for f in family}) < len(family)
+    monkeypatch.setattr(personal.Surrogates.__init__, "__defaults__", (2, *personal.Surrogates.__init__.__defaults__[1:]))
+    made = personal.fit_surrogates(df, PEOPLE, "k")
+    assert made.salts and len({made.word(f) for f in family}) == len(family)  # distinct, whatever the document
+    out = {r.doc_id: r.text for r in personal.replaced(df, PEOPLE, surrogates=made).collect()}
+    for i, f in enumerate(family):  # and the same in a name and in a mail address
+        assert out[i] == f"Mrs {made.word('ilka').capitalize()} {made.word(f).capitalize()} wrote to {made.word(f)}@{made.word('post')}.invalid"
+    assert not personal.fit_surrogates(df.where("false"), PEOPLE, "k").salts
+
+
+def test_entities_are_what_is_found(spark):
+    df = spark.createDataFrame(list(enumerate(t for t, _ in CASES)), "doc_id bigint, text string").withColumns({"start": F.lit(1), "kind": F.lit(2)})
+    rows = personal.entities(df, PEOPLE).collect()
+    assert all(CASES[r.doc_id][0][r.start:r.end] == r.val for r in rows)
+    found = {tuple(r) for r in personal.found_values(df, PEOPLE).collect()}
+    assert {(r.doc_id, r.kind, r.val) for r in rows} == found == {(i, *x) for i, (_, want) in enumerate(CASES) for x in want}
 
 
 def test_number_replacement_is_a_permutation():
@@ -523,6 +554,13 @@ def test_number_replacement_is_a_permutation():
         assert sorted(personal.permute_digits(d, b"k") for d in every) == every
 
 
+def test_values_far_from_their_signs_are_found_whole():
+    local = "a" * 400
+    text = "Passport" + " number" * 40 + f" {local}@post.invalid at 5 " + "X" * 200 + " Street, " + "Y" * 200 + ". Then"
+    got = {(k, text[a:b]) for a, b, k in personal.find(text, PEOPLE)}
+    assert got == {("email", f"{local}@post.invalid"), ("addr", "5 " + "X" * 200 + " Street, " + "Y" * 200)}
+
+
 def test_personal_tables(spark):
     rows = [(1, (CASES[0][0] + " ") * 2), (2, None), (3, ""), (4, (CASES[0][0] + " ") * 2)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"kind": F.lit(1), "val": F.lit(2)})
@@ -558,7 +596,7 @@ def test_sightings_summed_by_tasks_are_those_of_one_list(spark, monkeypatch):
 @given(st.text(max_size=200))
 def test_any_text_is_survived(text):
     text_quality.statistics(text)
-    personal.with_surrogates(text, PEOPLE, b"k")
+    personal.with_surrogates(text, PEOPLE, SECRET)
     scan_noise.read(text, noise_model())
     language.sentence_spans(text)
     assert math.isfinite(text_quality.statistics(text)[3])
