@@ -1,9 +1,11 @@
 """Problem 6: how often every term occurs, and in how many records.
 
-The counts live in a store of versioned, partitioned Parquet tables.  A change
-set (records with sign +1 or -1) is aggregated on its own into per-term deltas
-and only these deltas are merged with the stored counts; unchanged records are
-never read again.
+The counts live in a store of Parquet tables, partitioned by a hash of the term.
+A change set (records with sign +1 or -1; a changed record is its old text with
+-1 and its new one with +1) is aggregated on its own into per-term deltas, and
+only the buckets that these touch are read, merged and written again; unchanged
+records are never read again.  A version is a small list that says which file
+holds each bucket, so it costs what it changes.
 
 Defined results: null texts are no records; empty and blank texts are records
 without terms; repeated rows count each time; a term whose record count falls
@@ -12,12 +14,17 @@ to zero leaves the store; an empty table gives no terms.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from paraloom.session import materialize
+
 TOTAL = ""  # the store's row for the number of records; no term is empty
-BUCKETS = 64
+TERMS_PER_BUCKET, LEAST_BUCKETS = 500_000, 16
+VERSIONS_KEPT = 2
 MIN_LETTERS = 3
 
 
@@ -56,45 +63,93 @@ def merge_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 class TermCountStore:
-    """Counts in ``path/v=<n>``, partitioned by a hash bucket of the term.
+    """Counts in ``path/data/v=<n>/bucket=<b>`` and lists of what is valid in ``path/versions``.
 
-    A version is written whole before it becomes the newest, so a job that
-    dies midway leaves the previous version valid; writing the same version
-    again replaces it, which makes retried stream batches harmless.
+    A version counts once its list is there, which is written last, so a job
+    that dies midway leaves the one before valid.  The number of buckets is
+    fixed by the first change set.  A stream's batches are noted in the list:
+    one that is delivered again is counted once, whatever was applied since.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    SCHEMA = "term string, occurrences bigint, records bigint"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _children(self, path: str) -> list[str]:
+        fs, where = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
     def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = [s.getPath() for s in fs.listStatus(root)]
-        names = [p.getName() for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v="))
-
-    def counts(self, before: int | None = None) -> DataFrame:
-        """The newest counts (older than version ``before``), totals row included."""
-        versions = [v for v in self._versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], "term string, occurrences bigint, records bigint")
-        return self.spark.read.schema("term string, occurrences bigint, records bigint, bucket int").parquet(
-            f"{self.path}/v={versions[-1]}"
-        ).drop("bucket")
+        return sorted(int(n[:-5]) for n in self._children(f"{self.path}/versions") if n.endswith(".json"))
 
-    def apply(self, changes: DataFrame, text: str = "text", sign: str | None = None, version: int | None = None) -> int:
-        """Merge one change set; returns the version written."""
+    def _newest(self) -> dict:
+        versions = self._versions()
+        if not versions:
+            return {"version": -1, "buckets": None, "files": {}, "batches": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{versions[-1]}.json", wholetext=True).first()[0])
+
+    def _publish(self, state: dict) -> None:
+        fs, target = self._fs(f"{self.path}/versions/{state['version']}.json")
+        _, draft = self._fs(f"{self.path}/versions/{state['version']}.draft")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(state), "utf-8"))
+        out.close()
+        fs.rename(draft, target)
+
+    def _tidy(self, state: dict) -> None:
+        """Lists beyond the kept ones go, and files that no kept list names."""
         versions = self._versions()
-        version = version if version is not None else (versions[-1] + 1 if versions else 0)
-        merged = merge_counts(self.counts(before=version), term_deltas(changes, text, sign))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        kept = versions[-VERSIONS_KEPT:]
+        used = {(v, int(b)) for n in kept for b, v in json.loads(self.spark.read.text(f"{self.path}/versions/{n}.json", wholetext=True).first()[0])["files"].items()}
+        for n in versions[:-VERSIONS_KEPT]:
+            fs, where = self._fs(f"{self.path}/versions/{n}.json")
+            fs.delete(where, False)
+        for name in self._children(f"{self.path}/data"):
+            version = int(name[2:])
+            if version <= state["version"] and not any(v == version for v, _ in used):
+                fs, where = self._fs(f"{self.path}/data/{name}")
+                fs.delete(where, True)
+            elif version < state["version"]:
+                for child in self._children(f"{self.path}/data/{name}"):
+                    if child.startswith("bucket=") and (version, int(child[7:])) not in used:
+                        fs, where = self._fs(f"{self.path}/data/{name}/{child}")
+                        fs.delete(where, True)
+
+    def _read(self, files: dict[str, int]) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*(f"{self.path}/data/v={v}/bucket={b}" for b, v in files.items()))
+
+    def counts(self) -> DataFrame:
+        """The newest counts, totals row included."""
+        return self._read(self._newest()["files"])
+
+    def apply(self, changes: DataFrame, text: str = "text", sign: str | None = None, stream: str | None = None, batch: int | None = None) -> int:
+        """Merge one change set; returns the version it is in.  ``stream`` and ``batch`` name a delivery that may come again."""
+        state = self._newest()
+        if stream is not None and state["batches"].get(stream, -1) >= batch:
+            return state["version"]
+        deltas = materialize(term_deltas(changes, text, sign), "term-deltas")
+        buckets = state["buckets"] or self.buckets or max(LEAST_BUCKETS, -(-deltas.count() // TERMS_PER_BUCKET))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        touched = {str(r[0]) for r in deltas.select(bucket).distinct().collect()}  # as many as there are buckets
+        version = state["version"] + 1
+        merged = merge_counts(self._read({b: v for b, v in state["files"].items() if b in touched}), deltas)
         (
             merged.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term")
-            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
         )
+        written = {n[7:]: version for n in self._children(f"{self.path}/data/v={version}") if n.startswith("bucket=")}
+        files = {b: v for b, v in state["files"].items() if b not in touched} | written
+        batches = state["batches"] | ({stream: batch} if stream is not None else {})
+        state = {"version": version, "buckets": buckets, "files": files, "batches": batches}
+        self._publish(state)
+        self._tidy(state)
         return version
 
     def terms(self) -> DataFrame:
@@ -115,9 +170,13 @@ def mark_terms(terms: DataFrame, rare_below: int = 3, common_above: float = 0.2)
 def follow(stream: DataFrame, store: TermCountStore, checkpoint: str, text: str = "text", sign: str | None = None, once: bool = True) -> StreamingQuery:
     """Keep a store up to date with a stream of changed records.
 
-    Batch b writes version b + 1 of the store, so a batch that is delivered
-    again after a failure replaces its own version and is counted once.
+    Batches are told by the query's own id, which its checkpoint keeps: one that
+    is delivered again after a failure is counted once, and a stream that starts
+    anew over the same store goes on from what is there.
     """
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, number: store.apply(batch, text, sign, version=number + 1) and None)
+    def merge(batch: DataFrame, number: int) -> None:
+        query = json.loads(store.spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()[0])["id"]
+        store.apply(batch, text, sign, stream=query, batch=number)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if once else writer).start()
