@@ -28,7 +28,7 @@ from paraloom.session import materialize
 ASCII_TERM, ANY_TERM = re.compile(r"[a-z]{3,}"), regex.compile(r"\p{L}{3,}")
 FLUSH = 200_000  # entries of a task's local histogram before they are passed on
 EM_ROUNDS = 40
-SALTS = 16
+HOT_TERMS = 1_000  # at most so many terms have more than a thousandth of all pairs
 FIT_SCHEMA = "term string, records bigint, occurrences bigint, share double, low double, high double"
 
 
@@ -127,25 +127,31 @@ def term_scores(df: DataFrame, key: str = "para_id", text: str = "text", min_cou
     ``min_count`` and ``max_records`` restrict the output, not the counting: all
     records enter the histograms and the fit.  The text is read once; a task
     passes on its own histogram, so the fit's shuffle is of vocabulary size.
-    Common terms are spread over salts before the join.
+    Terms with more than a thousandth of all pairs of record and term, of which
+    there are at most a thousand, are looked up where the pairs are; only the
+    others are joined by term, so no task holds a hot term.
     """
     source = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     counted = materialize(source.mapInArrow(_count(min_count), "id bigint, term string, tf int, n bigint"), "term-counts")
     total = source.agg(F.count(F.lit(1)).alias("total"))
-    fitted = (
+    fitted = materialize(
         counted.where("id is null").groupBy("term", "tf").agg(F.sum("n").alias("n"))
         .groupBy("term").agg(F.collect_list(F.struct("tf", "n")).alias("cells"))
         .crossJoin(F.broadcast(total)).select("term", "cells", "total")
-        .mapInArrow(_fit, FIT_SCHEMA)
-    )
+        .mapInArrow(_fit, FIT_SCHEMA), "mixtures")
+    n_pairs = fitted.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     if max_records is not None:
         fitted = fitted.where(F.col("records") <= max_records)
-    spread = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = counted.where("id is not null").select("id", "term", "tf", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    hot = F.col("records") * HOT_TERMS > F.lit(n_pairs)
+    pairs = counted.where("id is not null").select("id", "term", "tf")
+    columns = [F.col(c) for c in ("records", "share", "low", "high")]
+    known = pairs.join(F.broadcast(fitted.where(hot).select("term", F.struct(*columns).alias("fit"))), "term", "left")
+    rest = known.where("fit is null").drop("fit").join(fitted.where(~hot), "term").select("id", "term", "tf", *columns)
+    every = known.where("fit is not null").select("id", "term", "tf", "fit.*").unionByName(rest)
     log_odds = (
         F.log(F.col("share") / (1 - F.col("share"))) + F.col("tf") * F.log(F.col("high") / F.col("low")) - (F.col("high") - F.col("low"))
     )
-    return pairs.join(spread, ["term", "salt"]).select(
+    return every.select(
         F.col("id").alias(key), "term", "tf", "records",
         (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), log_odds))))).alias("score"),
     )
