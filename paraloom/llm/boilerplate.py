@@ -1,9 +1,12 @@
 """Problem 3: lines repeated across the documents of one source.
 
-A line is repeated if it stands in enough distinct files of its source: that is
-the stated rule, and what texts are cleaned by.  The report also counts distinct
-text clusters (equal texts are one cluster) and publication dates; its flag
-``boilerplate`` tells lines that only a republished article repeats.
+Duplicates collapse first: paragraphs of one file that agree but for case,
+figures and white space are one, and so is one text in several files for the
+count of text clusters.  Each line is then counted over the distinct files,
+clusters and publication dates it stands in; nothing else is counted.  The
+stated rule asks for enough files, and that is what texts are cleaned by; the
+flag ``boilerplate`` asks for several clusters and dates too and tells lines
+that only a republished article repeats.
 
 Defined results: null texts have no lines; empty lines and lines under the
 minimum of words are never boilerplate but keep their numbers; rows without a
@@ -32,7 +35,7 @@ def numbered_lines(df: DataFrame, key: str = "para_id", text: str = "text", file
     """(key, line_no, source, line, file, cluster, date) with hashes for the wide parts."""
     lines = df.where(F.col(text).isNotNull()).select(
         F.col(key).alias("key"), source_of(F.col(filename)).alias("source"), F.xxhash64(filename).alias("file"),
-        F.xxhash64(text).alias("cluster"), F.regexp_extract(filename, DATE, 1).alias("date"),
+        F.xxhash64(line_key(F.col(text))).alias("cluster"), F.regexp_extract(filename, DATE, 1).alias("date"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"),
     ).where(F.length("raw") >= 2 * min_words - 1)
     keyed = lines.withColumn("line", line_key(F.col("raw")))
@@ -43,32 +46,26 @@ def numbered_lines(df: DataFrame, key: str = "para_id", text: str = "text", file
 
 
 def repeated_lines(lines: DataFrame, df: DataFrame, filename: str = "filename", min_files: int = 5, min_share: float = 0.2) -> DataFrame:
-    """The lines over both limits, with their counts over distinct files.
-
-    Rows of one (source, line, file) count once; copies under other file names
-    each count.  The counts are aggregated on (source, line, ...) and never on
-    the source alone, so a source with a third of all rows spreads over all
-    tasks; ``repeated_line_report`` counts clusters and dates of these lines.
-    Only the sources themselves are broadcast: three capital letters, so at most
-    17,576 of them.
+    """(source, line, n_files, n_clusters, n_dates, files_of_source, boilerplate): the lines over both limits.
+
+    Lines of fewer rows than ``min_files`` are left out before anything is
+    counted over.  Rows are then collapsed to (source, line, file, cluster,
+    date) and counted on (source, line), never on the source alone, so a source
+    with a third of all rows spreads over all tasks.  Only the sources
+    themselves are broadcast: three capital letters, so at most 17,576 of them.
     """
+    on = ["source", "line"]
     files = (
         df.where(F.col(filename).isNotNull()).select(source_of(F.col(filename)).alias("source"), F.xxhash64(filename).alias("file")).distinct()
         .groupBy("source").agg(F.count(F.lit(1)).alias("files_of_source"))
     )
-    by_file = lines.select("source", "line", "file").distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("n_files"))
-    over = by_file.where(F.col("n_files") >= min_files).join(F.broadcast(files), "source")
-    return over.where(F.col("n_files") >= F.col("files_of_source") * F.lit(min_share))
-
-
-def repeated_line_report(lines: DataFrame, over: DataFrame) -> DataFrame:
-    """The chosen lines with their counts over clusters and dates; ``boilerplate`` asks for several of each."""
-    kept = lines.join(over.select("source", "line"), ["source", "line"], "left_semi")
-    on = ["source", "line"]
-    clusters = kept.select(*on, "cluster").distinct().groupBy(*on).agg(F.count(F.lit(1)).alias("n_clusters"))
-    dates = kept.select(*on, "date").distinct().groupBy(*on).agg(F.count(F.lit(1)).alias("n_dates"))
-    report = over.join(clusters, on).join(dates, on)
-    return report.withColumn("boilerplate", (F.col("n_clusters") >= 3) & (F.col("n_dates") >= 2))
+    often = lines.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_files).select(*on)
+    collapsed = lines.join(often, on, "left_semi").select(*on, "file", "cluster", "date").distinct()
+    counted = collapsed.groupBy(*on).agg(
+        F.countDistinct("file").alias("n_files"), F.countDistinct("cluster").alias("n_clusters"), F.countDistinct("date").alias("n_dates"))
+    over = counted.where(F.col("n_files") >= min_files).join(F.broadcast(files), "source")
+    kept = over.where(F.col("n_files") >= F.col("files_of_source") * F.lit(min_share))
+    return kept.withColumn("boilerplate", (F.col("n_clusters") >= 3) & (F.col("n_dates") >= 2))
 
 
 def without_lines(df: DataFrame, drop: DataFrame, key: str = "para_id", text: str = "text") -> DataFrame:
