@@ -10,9 +10,12 @@ number that similar texts must reach are then compared on all their n-grams.
 No pair is lost: the order only has to be the same everywhere.  It is taken
 from a hashed table of the n-gram counts of the whole collection, whose size is
 fixed.  A match counts for a pair only within the heads that these two sizes
-need, which is far less than the heads any partner could need.  Equal texts are one class from the start, so a group of copies is
-joined once however large it is; results give classes and members, and only
-``expand_pairs`` writes out pairs of rows.
+need, which is far less than the heads any partner could need.  The fragments
+grow in number with the collection and not in size; an n-gram that very many
+texts hold is cut further, into pairs of blocks of its texts.  Equal texts are
+one class from the start, so a group of copies is joined once however large it
+is; results give classes and members, and only ``expand_pairs`` writes out pairs
+of rows, large classes in blocks.  Different texts with one hash are told apart.
 
 Defined results: null texts and texts under the minimum of words are in no
 pair and form classes of their own; repeated rows are members of one class;
@@ -24,11 +27,13 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paraloom.llm.words import WORD
@@ -39,12 +44,17 @@ COUNT_PARTS = 64
 EXTRA = 4
 ENTRY = np.dtype([("gram", "<u4"), ("size", "<u2"), ("place", "<u2"), ("text", "<i8")])
 LONG = 65535  # sizes from here on are not told apart: such texts meet all partners
-ENTRIES_PER_FRAGMENT = 400_000
+HASH_BITS = 50  # of an n-gram in the global order; those that meet by chance are told apart when pairs are compared
+ENTRIES_PER_FRAGMENT = 200_000
+TASK_BYTES, MOST_TASKS = 8 << 20, 20_000  # of the fragments a task reads
+CROWD = 1 << 14  # texts of one n-gram from which they are cut into blocks
 FLUSH_ENTRIES = 1_500_000
 FLUSH_GRAMS = 6_000_000
 FLUSH_PAIRS = 3_000_000
 BLOCK = 2048
-BLOOM_WORDS = 1 << 16  # 64 bits each: a fixed half megabyte
+FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 27  # for each id; beyond that a join does it
+CLASS_BLOCK, HOT_CLASSES = 20_000, 1_000  # rows of a class that are one block at least; at most so many classes are cut
+MOST_CLASHES = 10_000
 WORDS_KEPT = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -145,8 +155,42 @@ def ordered_grams(hashes: np.ndarray, lengths: np.ndarray, width: int, rarity: n
     return text[fresh], key[fresh]
 
 
-def _heads(rarity: np.ndarray, width: int, least: float, min_words: int, ranges: int):
-    """Entries of the texts' heads, packed by fragment of the global order."""
+def _packed(entries: np.ndarray) -> bytes:
+    """Entries in order of their n-grams, byte by byte, so that they compress."""
+    entries = entries[np.argsort(entries["gram"], kind="stable")]
+    return zstandard.compress(np.ascontiguousarray(entries.view(np.uint8).reshape(-1, ENTRY.itemsize).T).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY).ravel()
+
+
+def _in_blocks(entry: np.ndarray, gram: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment, entry) of the entries of crowded n-grams: each with every block of its n-gram's texts.
+
+    These fragments are negative; in the even ones all texts meet, in the odd
+    ones those of two blocks, told apart by the last bit of ``gram``.
+    """
+    own = (entry["text"].view(np.uint64) * _MIX[2] >> np.uint64(33)).astype(np.int64) % blocks
+    at = np.repeat(np.arange(len(entry)), blocks)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own, key = own[at], gram[at] * _MIX[0]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    for x in (low, high):
+        key = (key ^ x.astype(np.uint64)) * _MIX[1]
+        key ^= key >> np.uint64(31)
+    fragment = -(((key >> np.uint64(3)) << np.uint64(1)).astype(np.int64) + 2 + (low != high))
+    out = entry[at]
+    out["gram"] = (gram[at] & np.uint64((1 << 31) - 1)).astype(np.uint32) << 1 | ((low != high) & (own == high))
+    return fragment, out
+
+
+def _heads(rarity: np.ndarray, width: int, least: float, min_words: int, bits: int, crowd: float):
+    """Entries of the texts' heads, packed by fragment of the global order, which is cut into 2^bits ranges of every band.
+
+    ``crowd``: occurrences of a bucket of n-grams from which their texts are cut into blocks.
+    """
+    low_bits = HASH_BITS - bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = _Words(), set()
@@ -158,8 +202,8 @@ def _heads(rarity: np.ndarray, width: int, least: float, min_words: int, ranges:
             fragment, entries = fragment[order], entries[order]
             cut = np.flatnonzero(np.diff(fragment)) + 1
             start = np.concatenate([[0], cut])
-            blobs = [x.tobytes() for x in np.split(entries, cut)]
-            return pa.RecordBatch.from_arrays([pa.array(fragment[start].astype(np.int32)), pa.array(blobs, pa.binary())], names=["fragment", "entries"])
+            blobs = [_packed(x) for x in np.split(entries, cut)]
+            return pa.RecordBatch.from_arrays([pa.array(fragment[start]), pa.array(blobs, pa.binary())], names=["fragment", "entries"])
 
         for batch in batches:
             classes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -182,15 +226,21 @@ def _heads(rarity: np.ndarray, width: int, least: float, min_words: int, ranges:
             place = np.arange(len(key)) - first[text]
             keep = place < head[text]
             text, key, place = text[keep], key[keep], place[keep]
-            gram = key & np.uint64((1 << 50) - 1)
-            band = (key >> np.uint64(50)).astype(np.int64) // 16
+            gram = key & np.uint64((1 << HASH_BITS) - 1)
+            common = (key >> np.uint64(HASH_BITS)).astype(np.int64)
             entry = np.empty(len(key), ENTRY)
-            entry["gram"] = ((gram * np.uint64(ranges)) & np.uint64((1 << 50) - 1)) >> np.uint64(18)
+            entry["gram"] = (gram & np.uint64((1 << low_bits) - 1)) >> np.uint64(max(0, low_bits - 32))
             entry["size"] = np.minimum(size, LONG)[text]
             entry["place"] = np.minimum(place, LONG)
             entry["text"] = np.array(classes, np.int64)[text]
+            fragment = common // 16 << 32 | (gram >> np.uint64(low_bits)).astype(np.int64)
+            blocks = np.ceil(2 ** (common / 8) / crowd).astype(np.int64)
+            crowded = blocks > 1
+            if crowded.any():
+                more, cut = _in_blocks(entry[crowded], gram[crowded], blocks[crowded])
+                fragment, entry = np.concatenate([fragment[~crowded], more]), np.concatenate([entry[~crowded], cut])
             held.append(entry)
-            held_fragments.append(band * ranges + ((gram * np.uint64(ranges)) >> np.uint64(50)).astype(np.int64))
+            held_fragments.append(fragment)
             n_held += len(entry)
             if n_held >= FLUSH_ENTRIES:
                 yield pack()
@@ -226,12 +276,16 @@ def _fragment_pairs(least: float):
         inside = (need <= np.minimum(x, y)) & (e["place"][i] < x - need + EXTRA) & (e["place"][j] < y - need + EXTRA)
         return np.where(inside | (x == LONG) | (y == LONG), np.where(need < EXTRA, EXTRA, 1), 0)
 
-    def run(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        e = np.concatenate([np.frombuffer(b, ENTRY) for b in blobs])
+    def run(blobs: list[bytes], fragment: int) -> Iterator[pa.RecordBatch]:
+        e = np.concatenate([_unpacked(b) for b in blobs])
+        sides = fragment < 0 and fragment % 2 == 1
         e = e[np.lexsort((e["text"], e["gram"]))]
         fresh = np.ones(len(e), bool)  # copies read by several tasks
         fresh[1:] = (e["gram"][1:] != e["gram"][:-1]) | (e["text"][1:] != e["text"][:-1])
         e = e[fresh]
+        if sides:
+            yield from across(e)
+            return
         edge = np.flatnonzero(e["gram"][1:] != e["gram"][:-1]) + 1
         start, end = np.concatenate([[0], edge]), np.append(edge, len(e))
         width = end - start
@@ -243,75 +297,101 @@ def _fragment_pairs(least: float):
             at = at[at + step < run_end[at]]
             if not len(at):
                 break
-            times = near(e, at, at + step)
-            found = np.repeat(at, times)
+            found = np.repeat(at, near(e, at, at + step))
             left.append(e["text"][found])
             right.append(e["text"][found + step])
             n += len(found)
             if n > FLUSH_PAIRS:
                 yield _pair_batch(np.concatenate(left), np.concatenate(right))
                 left, right, n = [], [], 0
-        # long ones one text at a time, against the texts not much larger than it
+        if n:
+            yield _pair_batch(np.concatenate(left), np.concatenate(right))
+        # long ones one text at a time, against those of the others that are of a like size
         for s, t in zip(start[width > BLOCK], end[width > BLOCK]):
             part = e[s:t][np.argsort(e["size"][s:t], kind="stable")]
-            until = np.searchsorted(part["size"], part["size"] / least + 1, "right")
-            until = np.where(part["size"] / least + 1 >= LONG, len(part), until)
-            crowd = np.searchsorted(part["size"], LONG)
-            for i in range(len(part) - 1):
-                partners = np.arange(i + 1, until[i])
+            yield from against(part, part, np.arange(1, len(part) + 1))
+
+    def against(few: np.ndarray, part: np.ndarray, after: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Each of ``few`` against those of ``part`` (both by size) from place ``after`` on and of a size that may be similar."""
+        left, right, n = [], [], 0
+        both = np.concatenate([few, part])
+        # the others are no smaller than this share of a text, no larger than its inverse; sizes of LONG are not told apart
+        low = np.maximum(np.searchsorted(part["size"], np.floor(few["size"] * least - 1)), after)
+        until = np.searchsorted(part["size"], few["size"] / least + 1, "right")
+        until = np.where(few["size"] / least + 1 >= LONG, len(part), until)
+        crowd = np.searchsorted(part["size"], LONG)
+        for i in range(len(few)):
+            if few["size"][i] == LONG:
+                partners = np.arange(after[i], len(part))
+            else:
+                partners = np.arange(low[i], until[i])
                 if until[i] < len(part) and crowd < len(part):
-                    partners = np.append(partners, np.arange(max(crowd, until[i]), len(part)))
-                found = np.repeat(partners, near(part, np.full(len(partners), i), partners))
-                left.append(np.full(len(found), part["text"][i]))
-                right.append(part["text"][found])
-                n += len(found)
-                if n > FLUSH_PAIRS:
-                    yield _pair_batch(np.concatenate(left), np.concatenate(right))
-                    left, right, n = [], [], 0
+                    partners = np.append(partners, np.arange(max(crowd, until[i], after[i]), len(part)))
+            found = np.repeat(partners, near(both, np.full(len(partners), i), len(few) + partners))
+            left.append(np.full(len(found), few["text"][i]))
+            right.append(part["text"][found])
+            n += len(found)
+            if n > FLUSH_PAIRS:
+                yield _pair_batch(np.concatenate(left), np.concatenate(right))
+                left, right, n = [], [], 0
         if n:
             yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
+    def across(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The texts of two blocks of a crowded n-gram."""
+        for gram in np.unique(e["gram"] >> 1):
+            part = e[e["gram"] >> 1 == gram]
+            part = part[np.argsort(part["size"], kind="stable")]
+            second = (part["gram"] & 1).astype(bool)
+            yield from against(part[~second], part[second], np.zeros((~second).sum(), np.int64))
+
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run([b for batch in batches for b in batch.column("entries").to_pylist()])
+        blobs, fragment = [], 0
+        for batch in batches:
+            blobs += batch.column("entries").to_pylist()
+            fragment = batch.column("fragment")[0].as_py()
+        yield from run(blobs, fragment)
 
     return call
 
 
-def _bloom_positions(x: np.ndarray) -> np.ndarray:
+def _filter_positions(x: np.ndarray, bits: int) -> np.ndarray:
     u = x.astype(np.int64).view(np.uint64)
-    m = np.uint64(BLOOM_WORDS * 64 - 1)
-    return np.stack([u & m, (u >> np.uint64(22)) & m, (u * _MIX[0] >> np.uint64(40)) & m])
+    step = (u * _MIX[0] >> np.uint64(17)) | np.uint64(1)
+    return np.stack([(u + step * np.uint64(k)) & np.uint64(bits - 1) for k in range(4)])
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over the column ``id``; when it fills up it only lets more through."""
+def _filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter for ``n`` ids of the column ``id``, ``FILTER_BITS`` bits for each."""
+    bits = 1 << max(16, math.ceil(math.log2(max(n, 1) * FILTER_BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_WORDS, np.uint64)
+        held = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            for p in _bloom_positions(batch.column(0).to_numpy()):
-                np.bitwise_or.at(bits, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], names=["word", "bits"])
+            for p in _filter_positions(batch.column(0).to_numpy(), bits):
+                np.bitwise_or.at(held, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at].view(np.int64))], names=["word", "bits"])
 
     got = ids.mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bloom = np.zeros(BLOOM_WORDS, np.uint64)
-    bloom[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return bloom
+    held = np.zeros(bits // 64, np.uint64)
+    held[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return held
 
 
-def _full_grams(bloom: np.ndarray, width: int):
-    """All n-grams of the texts that the filter lets through, once per class and task."""
+def _full_grams(held: np.ndarray | None, width: int):
+    """All n-grams of the texts that the filter (if any) lets through, once per class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = _Words(), set()
         for batch in batches:
             classes = batch.column(0).to_numpy()
             inside = np.ones(len(classes), bool)
-            for p in _bloom_positions(classes):
-                inside &= (bloom[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+            for p in _filter_positions(classes, 64 * len(held)) if held is not None else ():
+                inside &= (held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
             pick = [i for i in np.flatnonzero(inside) if classes[i] not in seen]
-            seen.update(classes[pick].tolist())
+            if len(seen) < 1_000_000:
+                seen.update(classes[pick].tolist())
             if not pick:
                 continue
             texts = batch.column(1).take(pa.array(pick)).to_pylist()
@@ -338,44 +418,84 @@ def _compare(least: float):
     return run
 
 
-def similar_classes(df: DataFrame, text: str = "text", width: int = 5, least: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, similarity) with a < b between the classes of equal texts whose n-gram
-    sets have a Jaccard similarity of ``least`` or more, and the ids of the classes that
-    were compared or copied and have the words for it.
-    """
-    source = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("class"), F.col(text).alias("text"))
+class Similar(NamedTuple):
+    links: DataFrame  # a, b, similarity with a < b
+    compared: DataFrame  # id: the classes that were compared or copied and have the words for it
+    copies: DataFrame  # class, n: texts that occur more than once
+    clashing: tuple[int, ...]  # hashes that several texts share
+
+
+def class_of(text: Column, clashing: tuple[int, ...] = ()) -> Column:
+    """The class of a text: its hash, and a second one where different texts share the first."""
+    first = F.xxhash64(text)
+    return F.when(first.isin(*clashing), F.xxhash64(text, F.lit(2))).otherwise(first) if clashing else first
+
+
+def _copies(df: DataFrame, text: str) -> tuple[DataFrame, tuple[int, ...]]:
+    """(class, n) of the texts that occur more than once, and the hashes that different texts share."""
+    def counted(clashing):
+        rows = df.where(F.col(text).isNotNull()).select(class_of(F.col(text), clashing).alias("class"), F.xxhash64(F.col(text), F.lit(1)).alias("check"))
+        return materialize(rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), (F.min("check") != F.max("check")).alias("clash")).where("n > 1"), "copies")
+
+    copies = counted(())
+    clashing = tuple(sorted(r["class"] for r in copies.where("clash").select("class").limit(MOST_CLASHES + 1).collect()))
+    if len(clashing) > MOST_CLASHES:  # some hundred are expected among 10^11 texts
+        raise ValueError("texts made to share their hashes")
+    if clashing:
+        copies = counted(clashing)
+    return copies.select("class", "n"), clashing
+
+
+def similar_classes(df: DataFrame, text: str = "text", width: int = 5, least: float = 0.8, min_words: int = 1) -> Similar:
+    """The classes of equal texts, and links between those whose n-gram sets have a Jaccard similarity of ``least`` or more."""
+    copies, clashing = _copies(df, text)
+    source = df.where(F.col(text).isNotNull()).select(class_of(F.col(text), clashing).alias("class"), F.col(text).alias("text"))
     rarity, n_grams = gram_rarity(source, width)
-    grams = n_grams * (1 - least)
-    ranges = 1 << min(14, max(3, math.ceil(math.log2(max(grams / ENTRIES_PER_FRAGMENT, 1)))))
-    heads = source.mapInArrow(_heads(rarity, width, least, min_words, ranges), "fragment int, entries binary")
-    partial = heads.groupBy("fragment").applyInArrow(_fragment_pairs(least), "a bigint, b bigint, overlap int")
+    entries = n_grams * (1 - least)
+    bits = max(3, min(HASH_BITS - 18, math.ceil(math.log2(max(entries / ENTRIES_PER_FRAGMENT, 1)))))
+    heads = source.mapInArrow(_heads(rarity, width, least, min_words, bits, CROWD + n_grams / (1 << COUNT_BITS)), "fragment bigint, entries binary")
+    tasks = max(1, min(MOST_TASKS, math.ceil(entries * ENTRY.itemsize / TASK_BYTES)))
+    partial = heads.repartition(tasks, "fragment").groupBy("fragment").applyInArrow(_fragment_pairs(least), "a bigint, b bigint, overlap int")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     candidates = materialize(summed.where(F.col("overlap") >= EXTRA).select("a", "b"), "candidate-pairs")
-    copied = source.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("id"))
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(copied)
-    grams = source.mapInArrow(_full_grams(_bloom(ids), width), "id bigint, words int, grams binary")
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(copies.select(F.col("class").alias("id")))
+    n_ids = ids.count()
+    if n_ids * FILTER_BITS <= MOST_FILTER_BITS:
+        grams = source.mapInArrow(_full_grams(_filter(ids, n_ids), width), "id bigint, words int, grams binary")
+    else:
+        grams = source.join(ids.distinct(), F.col("class") == F.col("id"), "left_semi").mapInArrow(_full_grams(None, width), "id bigint, words int, grams binary")
     once = materialize(grams.where(F.col("words") >= min_words).dropDuplicates(["id"]), "class-grams")
     both = (
         candidates.join(once.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
         .join(once.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
     )
     links = materialize(both.mapInArrow(_compare(least), "a bigint, b bigint, similarity double"), "links")
-    return links, once.select("id")
+    return Similar(links, once.select("id"), copies, clashing)
 
 
-def expand_pairs(df: DataFrame, links: DataFrame, compared: DataFrame, key: str = "para_id", text: str = "text") -> DataFrame:
+def expand_pairs(df: DataFrame, similar: Similar, key: str = "para_id", text: str = "text") -> DataFrame:
     """(key_a, key_b) with key_a < key_b: rows of linked classes, and rows of one class.
 
     As many rows as there are such pairs, so only for a result that asks for them.
+    Classes with more rows than a thousandth of all (and ``CLASS_BLOCK``) are cut
+    into blocks, and their pairs into pairs of blocks.
     """
-    members = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("class"))
-    a, b = members.select(F.col("key").alias("k1"), F.col("class").alias("a")), members.select(F.col("key").alias("k2"), F.col("class").alias("b"))
-    linked = links.select("a", "b").join(a, "a").join(b, "b").select("k1", "k2")
-    crowd = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(compared, F.col("class") == F.col("id"), "left_semi")
-    twins = members.join(crowd.select("class"), "class", "left_semi")
-    same = twins.select(F.col("key").alias("k1"), "class").join(twins.select(F.col("key").alias("k2"), "class"), "class").where("k1 < k2").select("k1", "k2")
-    every = linked.unionByName(same)
-    return every.select(F.least("k1", "k2").alias(f"{key}_a"), F.greatest("k1", "k2").alias(f"{key}_b"))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), class_of(F.col(text), similar.clashing).alias("class"))
+    block = max(CLASS_BLOCK, -(-df.count() // HOT_CLASSES))
+    # at most HOT_CLASSES classes are that large
+    hot = similar.copies.where(F.col("n") > block).select("class", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    last = lambda c: F.coalesce(F.col(c) - 1, F.lit(0))
+    members = rows.join(F.broadcast(hot), "class", "left").select("key", "class", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    of = lambda side: F.broadcast(hot.select(F.col("class").alias(side), F.col("blocks").alias(f"{side}_blocks")))
+    linked = similar.links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    linked = linked.withColumn("i", F.explode(F.sequence(F.lit(0), last("a_blocks")))).withColumn("j", F.explode(F.sequence(F.lit(0), last("b_blocks"))))
+    own = similar.copies.join(similar.compared, F.col("class") == F.col("id"), "left_semi").select(F.col("class").alias("a")).join(of("a"), "a", "left")
+    own = own.withColumn("i", F.explode(F.sequence(F.lit(0), last("a_blocks")))).withColumn("j", F.explode(F.sequence(F.col("i"), last("a_blocks"))))
+    every = linked.select("a", "i", "b", "j").unionByName(own.select("a", "i", F.col("a").alias("b"), "j"))
+    first = members.select(F.col("key").alias("k1"), F.col("class").alias("a"), F.col("block").alias("i"))
+    second = members.select(F.col("key").alias("k2"), F.col("class").alias("b"), F.col("block").alias("j"))
+    met = every.join(first, ["a", "i"]).join(second, ["b", "j"]).where((F.col("a") != F.col("b")) | (F.col("i") != F.col("j")) | (F.col("k1") < F.col("k2")))
+    return met.select(F.least("k1", "k2").alias(f"{key}_a"), F.greatest("k1", "k2").alias(f"{key}_b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -400,10 +520,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(df: DataFrame, links: DataFrame, key: str = "para_id", text: str = "text") -> DataFrame:
+def groups(df: DataFrame, similar: Similar, key: str = "para_id", text: str = "text") -> DataFrame:
     """(key, class, group, n_links): one row per row; ``group`` is the smallest class of its component."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    members = df.select(F.col(key), F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("class"))
-    roots = components(links).select(F.col("id").alias("class"), "root")
+    degree = similar.links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    members = df.select(F.col(key), F.when(F.col(text).isNotNull(), class_of(F.col(text), similar.clashing)).alias("class"))
+    roots = components(similar.links).select(F.col("id").alias("class"), "root")
     return members.join(roots, "class", "left").join(degree, "class", "left").select(
         key, "class", F.coalesce("root", "class").alias("group"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

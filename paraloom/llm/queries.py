@@ -64,12 +64,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The repeated lines of each source (by hash, with one sample row) and their counts."""
+    """The repeated lines of each source, told by the first place where they stand, and their counts."""
     lines, over = _line_tables(spark, folder)
     sample = lines.join(over.select("source", "line"), ["source", "line"], "left_semi").groupBy("source", "line").agg(
         F.min(F.struct("key", "line_no")).alias("first"))
-    return boilerplate.repeated_line_report(lines, over).join(sample, ["source", "line"]).select(
-        "source", "line", "n_files", "files_of_source", "n_clusters", "n_dates", "boilerplate",
+    return over.join(sample, ["source", "line"]).select(
+        "source", "n_files", "files_of_source", "n_clusters", "n_dates", "boilerplate",
         F.col("first.key").alias("para_id"), F.col("first.line_no").alias("line_no"))
 
 
@@ -78,20 +78,29 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.without_lines(table(spark, folder, PARAGRAPHS, "para_id", "text"), _found_lines(lines, over))
 
 
-P3_FOUND = r"""
+_LINES = r"""
 WITH l AS (
-  SELECT para_id, filename, regexp_extract(filename, '([A-Z]{3})-[0-9]', 1) AS source,
+  SELECT para_id, filename, text, regexp_extract(filename, '([A-Z]{3})-[0-9]', 1) AS source,
          unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no
   FROM processed_paragraphs_filtered WHERE text IS NOT NULL),
 n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(raw), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')) AS line FROM l),
 files AS (SELECT regexp_extract(filename, '([A-Z]{3})-[0-9]', 1) AS source, count(DISTINCT filename) AS n_all
           FROM processed_paragraphs_filtered GROUP BY 1),
-often AS (SELECT source, line, count(DISTINCT filename) AS n_files FROM n
-          WHERE len(string_split(line, ' ')) >= 5 GROUP BY 1, 2)
-SELECT para_id, CAST(line_no AS BIGINT) AS line_no
-FROM n JOIN often USING (source, line) JOIN files USING (source)
-WHERE n_files >= 5 AND n_files >= n_all * 0.2 AND source <> ''
+often AS (SELECT source, line, count(DISTINCT filename) AS n_files,
+                 count(DISTINCT trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\s+', ' ', 'g'))) AS n_clusters,
+                 count(DISTINCT regexp_extract(filename, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS n_dates,
+                 min(struct_pack(p := para_id, l := CAST(line_no AS BIGINT))) AS first
+          FROM n WHERE len(string_split(line, ' ')) >= 5 GROUP BY 1, 2),
+kept AS (SELECT * FROM often JOIN files USING (source) WHERE n_files >= 5 AND n_files >= n_all * 0.2 AND source <> '')
 """
+P3_FOUND = _LINES + "SELECT para_id, CAST(line_no AS BIGINT) AS line_no FROM n JOIN kept USING (source, line)"
+P3_LINES = _LINES + """SELECT source, n_files, n_all AS files_of_source, n_clusters, n_dates, n_clusters >= 3 AND n_dates >= 2 AS boilerplate,
+  first.p AS para_id, first.l AS line_no FROM kept"""
+P3_CLEANED = _LINES + """, kept_lines AS (
+  SELECT para_id, string_agg(raw, chr(10) ORDER BY line_no) FILTER (WHERE k.line IS NULL) AS text, count(k.line) AS n_removed
+  FROM n LEFT JOIN kept k USING (source, line) GROUP BY para_id)
+SELECT p.para_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(n_removed, 0)::INT AS n_removed
+FROM processed_paragraphs_filtered p LEFT JOIN kept_lines k USING (para_id)"""
 
 
 # Problem 4 ------------------------------------------------------------------
@@ -114,15 +123,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     paragraphs = table(spark, folder, PARAGRAPHS, "para_id", "text")
-    links, compared = near_duplicates.similar_classes(paragraphs, width=3, least=0.6, min_words=40)
-    return near_duplicates.expand_pairs(paragraphs, links, compared)
+    return near_duplicates.expand_pairs(paragraphs, near_duplicates.similar_classes(paragraphs, width=3, least=0.6, min_words=40))
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The class, group and number of links of every paragraph, at the pipeline's five words and 0.8."""
     paragraphs = table(spark, folder, PARAGRAPHS, "para_id", "text")
-    links, _ = near_duplicates.similar_classes(paragraphs)
-    return near_duplicates.groups(paragraphs, links)
+    return near_duplicates.groups(paragraphs, near_duplicates.similar_classes(paragraphs))
 
 
 P5_FOUND = r"""
@@ -138,12 +145,21 @@ SELECT para_id_a, para_id_b FROM o JOIN n x ON x.para_id = para_id_a JOIN n y ON
 # Problem 6 ------------------------------------------------------------------
 
 def _term_store(spark: SparkSession, folder: str) -> term_counts.TermCountStore:
-    """The store after two deliveries: the rows of the first years, then all later ones as a change."""
-    paragraphs = table(spark, folder, PARAGRAPHS, "text", "ingested_at")
+    """The store after two deliveries.
+
+    The first holds the rows of the first years, those without a year as text
+    and file name in one.  The second corrects these (the old text goes, the
+    right one comes) and adds all later rows.
+    """
+    rows = table(spark, folder, PARAGRAPHS, "text", "filename", "year", "ingested_at")
+    early = F.coalesce(F.col("ingested_at") < F.lit("2020-01-01").cast("timestamp_ntz"), F.lit(False))
+    wrong = early & (F.coalesce("year", F.lit("")) == "")
+    delivered = F.concat_ws(" ", "filename", "text")
     store = term_counts.TermCountStore(spark, fresh_path(spark, "term-store"))
-    first = F.coalesce(F.col("ingested_at") < F.lit("2020-01-01").cast("timestamp_ntz"), F.lit(False))
-    store.apply(paragraphs.where(first))
-    store.apply(paragraphs.where(~first))
+    store.apply(rows.where(early).select(F.when(F.col("text").isNotNull() & wrong, delivered).otherwise(F.col("text")).alias("text")))
+    taken_back = rows.where(wrong & F.col("text").isNotNull()).select(delivered.alias("text"), F.lit(-1).alias("sign"))
+    added = rows.where(wrong | ~early).select("text", F.lit(1).alias("sign"))
+    store.apply(taken_back.unionByName(added), sign="sign")
     return store
 
 
@@ -174,9 +190,9 @@ def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms that occur three times or more, in at most four paragraphs; the score orders them and removes none."""
+    """The scored terms that occur three times or more, in at most four paragraphs; the score orders them and removes none."""
     scores = distinctive.term_scores(table(spark, folder, PARAGRAPHS, "para_id", "text"), min_count=3, max_records=4)
-    return scores.where((F.col("tf") >= 3) & (F.col("records") <= 4)).select("para_id", "term")
+    return scores.where((F.col("tf") >= 3) & (F.col("records") <= 4) & F.col("score").isNotNull()).select("para_id", "term")
 
 
 P7_FOUND = _TERMS + """, f AS (SELECT para_id, term, count(*) AS tf FROM t GROUP BY para_id, term)
@@ -268,4 +284,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND, "p9_found": P9_FOUND, "p6_found": P6_FOUND, "p6_counts": P6_COUNTS, "p7_found": P7_FOUND}
+    return {"p3_found": P3_FOUND, "p3_lines": P3_LINES, "p3_cleaned": P3_CLEANED, "p5_found": P5_FOUND, "p9_found": P9_FOUND, "p6_found": P6_FOUND, "p6_counts": P6_COUNTS, "p7_found": P7_FOUND}
