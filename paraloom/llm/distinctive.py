@@ -146,7 +146,7 @@ def term_scores(df: DataFrame, key: str = "para_id", text: str = "text", min_cou
     pairs = counted.where("id is not null").select("id", "term", "tf")
     columns = [F.col(c) for c in ("records", "share", "low", "high")]
     known = pairs.join(F.broadcast(fitted.where(hot).select("term", F.struct(*columns).alias("fit"))), "term", "left")
-    rest = known.where("fit is null").drop("fit").join(fitted.where(~hot), "term").select("id", "term", "tf", *columns)
+    rest = known.where("fit is null").drop("fit").join(fitted.where(~hot).hint("merge"), "term").select("id", "term", "tf", *columns)
     every = known.where("fit is not null").select("id", "term", "tf", "fit.*").unionByName(rest)
     log_odds = (
         F.log(F.col("share") / (1 - F.col("share"))) + F.col("tf") * F.log(F.col("high") / F.col("low")) - (F.col("high") - F.col("low"))
