@@ -33,15 +33,16 @@ def source_of(filename: Column) -> Column:
 
 def numbered_lines(df: DataFrame, key: str = "para_id", text: str = "text", filename: str = "filename", min_words: int = 5) -> DataFrame:
     """(key, line_no, source, line, file, cluster, date) with hashes for the wide parts."""
-    lines = df.where(F.col(text).isNotNull()).select(
+    # what holds for the whole text is told before it is cut, else it would be told for every line
+    texts = df.where(F.col(text).isNotNull()).select(
         F.col(key).alias("key"), source_of(F.col(filename)).alias("source"), F.xxhash64(filename).alias("file"),
-        F.xxhash64(line_key(F.col(text))).alias("cluster"), F.regexp_extract(filename, DATE, 1).alias("date"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"),
-    ).where(F.length("raw") >= 2 * min_words - 1)
+        F.xxhash64(line_key(F.col(text))).alias("cluster"), F.regexp_extract(filename, DATE, 1).alias("date"), F.split(F.col(text), "\n").alias("_lines"))
+    lines = texts.where(F.col("source") != "").select("key", "source", "file", "cluster", "date", F.posexplode("_lines").alias("line_no", "raw")).where(
+        F.length("raw") >= 2 * min_words - 1)
     keyed = lines.withColumn("line", line_key(F.col("raw")))
     # a key has single blanks only, so its words are its blanks and one more
     long_enough = F.length("line") - F.length(F.translate("line", " ", "")) >= min_words - 1
-    return keyed.where(long_enough & (F.col("source") != "")).select(
+    return keyed.where(long_enough).select(
         "key", F.col("line_no").cast("bigint").alias("line_no"), "source", F.xxhash64("line").alias("line"), "file", "cluster", "date")
 
 

@@ -4,8 +4,11 @@ The vocabulary of the whole collection is counted, and so is which words stand
 near the ``CONTEXT_WORDS`` most frequent ones.  From these sums skip-gram vectors
 with negative sampling are trained: those of the context words together on the
 driver, those of every rarer word by itself in the tasks.  A rare word is linked to the
-frequent words that plausible glyph edits lead to, and the one that fits its
-neighbours best by the vectors is taken, if it fits at all.  A line break after
+frequent words that plausible glyph edits lead to.  Where it stands, the odds that
+it is one of them misread are those of the counts, of a misreading, and of the
+words beside it under the two words' vectors; at even odds and better it is
+corrected.  So a clear misreading is told by its counts, and a word that may be
+right itself by what it stands among.  A line break after
 a hyphen splits a word if the joined word is commoner in the collection than
 the hyphenated one.  Lines that give a page number go first, then running
 headers (interior lines that repeat the file's title), and the rest is reflowed.
@@ -46,13 +49,15 @@ VOCABULARY = 200_000  # most frequent words that are kept; rarer ones are what i
 CONTEXT_WORDS, DIMENSIONS = 4_000, 24  # words that vectors are learnt from; every frequent word gets one
 WINDOW, NEGATIVES, STEP, ROUNDS = 3, 4, 0.05, 60
 ROWS_AT_ONCE, WORDS_AT_ONCE = 256, 2_000_000  # rows of the dense sums, words of a task's texts
-FIT_STEP = 0.01  # logits, of the histogram that the floor is read off
-RATIO = 12  # a true word is at least so many times as frequent as its misreading
-MAX_EDITS, LONGEST_WORD = 3, 32
-MARGIN = 1.0  # logits by which a misreading may fit better than the truth
-
-WORD = re.compile(r"[^\W\d_]+")
-TERM = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+MISREAD = 1 / 12  # of a word's occurrences, so many at most are one misreading of it
+LEAST_RATIO = 4  # a true word is at least so many times as frequent, whatever its context says
+PRIOR = 30  # neighbours as drawn anywhere that every word is given beside its own, so that few tell little
+WEIGHT = 0.5  # of the evidence of the words beside, which do not tell independently of each other
+MAX_EDITS, LONG_WORD = 3, 32  # words with more letters are tried with one edit
+
+WORD, ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile(r"[a-z]+")
+TERM, ASCII_TERM = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*"), re.compile(r"[a-z]+(?:-[a-z]+)*")
+ASCII_TOKEN = re.compile(r"[a-z0-9](?:[a-z0-9_|!]*[a-z0-9_|!])?|\|[a-z0-9_|!]+")  # of lower-cased text
 TOKEN = re.compile(r"[^\W_](?:[\w†‡|!€]*[\w†|!])?|[†|][\w†|!]+")
 SOFT = "¬\xad"
 BREAK = re.compile(r"([^\W\d_]+(?:[-‐][^\W\d_]+)*)([-‐¬\xad])[ \t]*\r?\n\s*([^\W\d_][\w†|!]*)")
@@ -73,7 +78,6 @@ class NoiseModel:
     rows: dict[str, int]  # words with vectors
     inner: np.ndarray
     outer: np.ndarray
-    floor: float
     frequent: int
     most: int  # count of the most frequent word
     _cache: dict = field(default_factory=dict, repr=False)
@@ -88,7 +92,7 @@ class NoiseModel:
             return False
         doubtful = (len(word) > 1 and not word.isdigit() and any(map(str.isalpha, word))
                     # no word is frequent enough to be the truth behind the commonest
-                    and self.counts.get(word, 0) * RATIO <= self.most and bool(self.candidates(word)))
+                    and self.counts.get(word, 0) * LEAST_RATIO <= self.most and bool(self.candidates(word)))
         if not doubtful and len(self._plain) < 400_000:
             self._plain.add(word)
         return doubtful
@@ -97,27 +101,32 @@ class NoiseModel:
         """Frequent words that plausible glyph edits of ``word`` lead to, the fewest edits first."""
         found = self._cache.get(word)
         if found is None:
-            found = glyph_neighbours(word, self.counts, max(self.frequent, RATIO * self.counts.get(word, 0)))
+            near = glyph_neighbours(word, self.counts, max(self.frequent, LEAST_RATIO * self.counts.get(word, 0)))
+            # a misreading that is frequent itself leads on to what it is one of; letters in another order are a slip of typing
+            truths = dict.fromkeys(t for c in near for t in self.candidates(c) or [c])
+            found = [t for t in truths if sorted(t) != sorted(word)]
             if len(self._cache) < 200_000:
                 self._cache[word] = found
         return found
 
-    def fit(self, word: str, context: list[str]) -> float:
-        """Mean skip-gram logit of ``word`` among its neighbours; 0 where nothing is known."""
+    def evidence(self, word: str, context: list[str]) -> float:
+        """How much likelier its neighbours are beside ``word`` than anywhere (a logarithm); 0 where nothing is known."""
         row = self.rows.get(word)
         known = len(self.outer)
         near = [r for r in (self.rows.get(c, known) for c in context) if r < known]
-        return float((self.outer[near] @ self.inner[row]).mean()) if row is not None and near else 0.0
+        if row is None or not near:
+            return 0.0
+        return WEIGHT * float((self.outer[near] @ self.inner[row]).sum() + len(near) * math.log(NEGATIVES))
 
     def correct(self, word: str, context: list[str]) -> str | None:
         """The true word behind a rare one, or None."""
         options = self.candidates(word)
         if not options:
             return None
-        best = max(options, key=lambda c: self.fit(c, context) + 0.2 * math.log(self.counts[c]))
-        fits = self.fit(best, context)
-        # a word that is known itself and stands well where it is, is no misreading
-        return best if fits >= max(self.floor, self.fit(word, context) - MARGIN if word in self.rows else self.floor) else None
+        odds = {c: math.log(self.counts[c] * MISREAD) + self.evidence(c, context) for c in options}
+        best = max(odds, key=odds.get)
+        itself = math.log(max(self.counts.get(word, 0), 1)) + self.evidence(word, context)
+        return best if odds[best] >= itself else None
 
 
 _BY_SEEN: dict[str, list[str]] = {}
@@ -128,13 +137,11 @@ for _true, _seen in GLYPHS:
 def glyph_neighbours(word: str, counts: dict[str, int], least: int) -> list[str]:
     """Words of ``counts`` with at least ``least`` occurrences, as few glyph edits away as possible.
 
-    One to three edits at different places, at most one for every two letters.
-    Words over ``LONGEST_WORD`` letters are not tried.
+    One to three edits at different places, at most one for every two letters;
+    words over ``LONG_WORD`` letters are tried with one.
     """
-    if len(word) > LONGEST_WORD:
-        return []
     sites = [(i, i + k, true) for i in range(len(word)) for k in (1, 2) if i + k <= len(word) for true in _BY_SEEN.get(word[i:i + k], ())]
-    for edits in range(1, min(MAX_EDITS, max(1, len(word) // 2)) + 1):
+    for edits in range(1, (1 if len(word) > LONG_WORD else min(MAX_EDITS, max(1, len(word) // 2))) + 1):
         found = []
         for chosen in itertools.combinations(sites, edits):
             if any(x[1] > y[0] for x, y in zip(chosen, chosen[1:])):
@@ -160,7 +167,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            total.update(TERM.findall(text.lower()))
+            low = text.lower()
+            total.update((ASCII_TERM if low.isascii() else TERM).findall(low))
         if len(total) > 300_000:
             yield flush()
             total.clear()
@@ -199,7 +207,8 @@ def _words_with_vectors(counts: dict[str, int], least: int) -> dict[str, int]:
 
 
 def _ids_of(text: str, rows: dict[str, int]) -> list[int]:
-    return [i for i in map(rows.get, WORD.findall(text.lower())) if i is not None]
+    low = text.lower()
+    return [i for i in map(rows.get, (ASCII_WORD if low.isascii() else WORD).findall(low)) if i is not None]
 
 
 def _apart(texts: pa.ListArray) -> np.ndarray:
@@ -223,24 +232,26 @@ def _neighbours(texts: pa.ListArray, contexts: int) -> tuple[np.ndarray, np.ndar
     return keys >> 32, keys & 0xFFFFFFFF, n
 
 
-def _both_ways(word: np.ndarray, context: np.ndarray, n: np.ndarray, words: int, contexts: int) -> np.ndarray:
+def _both_ways(word: np.ndarray, context: np.ndarray, n: np.ndarray, words: int, noise: np.ndarray) -> np.ndarray:
     """Shares of the neighbours of each word, from pairs told once."""
-    sums = np.zeros((words, contexts), np.float32)
+    sums = np.zeros((words, len(noise)), np.float32)
     sums[word, context] = n
-    square = sums[:contexts]
+    square = sums[:len(noise)]
     square += square.T.copy()
-    return _shares(sums)
+    return _shares(sums, noise)
 
 
-def _shares(sums: np.ndarray) -> np.ndarray:
-    sums /= np.maximum(sums.sum(1, keepdims=True), 1)
-    return sums
+def _dense(word: np.ndarray, context: np.ndarray, n: np.ndarray, words: int, noise: np.ndarray) -> np.ndarray:
+    sums = np.zeros((words, len(noise)), np.float32)
+    sums[word, context] = n
+    return _shares(sums, noise)
 
 
-def _dense(word: np.ndarray, context: np.ndarray, n: np.ndarray, words: int, contexts: int) -> np.ndarray:
-    sums = np.zeros((words, contexts), np.float32)
-    sums[word, context] = n
-    return _shares(sums)
+def _shares(sums: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    total = sums.sum(1, keepdims=True) + PRIOR
+    sums += PRIOR * noise
+    sums /= total
+    return sums
 
 
 def _pull(share: np.ndarray, noise: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -266,8 +277,6 @@ def train(share: np.ndarray, weight: np.ndarray, seed: int = 3) -> tuple[np.ndar
     n = len(weight)
     inner = rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
     outer = np.zeros_like(inner)
-    if not share.any():
-        return inner, outer
     noise = _noise(weight)
     mass = (weight / weight.sum()).astype(np.float32)[:, None]
     a, b = _Adam(inner), _Adam(outer)
@@ -303,20 +312,21 @@ def skip_grams(texts: list[str], counts: dict[str, int], seed: int = 3):
     contexts = min(len(rows), CONTEXT_WORDS)
     ids = pa.array([_ids_of(t, rows) for t in texts], pa.list_(pa.int32()))
     weight = np.array([counts[w] for w in rows], float)
-    share = _both_ways(*_neighbours(ids, contexts), len(rows), contexts)
+    noise = _noise(weight[:contexts])
+    share = _both_ways(*_neighbours(ids, contexts), len(rows), noise)
     inner, outer = train(share[:contexts], weight[:contexts], seed)
-    return rows, np.concatenate([inner, fold(share[contexts:], _noise(weight[:contexts]), outer)]), outer
+    return rows, np.concatenate([inner, fold(share[contexts:], noise, outer)]), outer
 
 
-def _vectors(source: DataFrame, rows: dict[str, int], counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(inner, outer) from the sums of neighbours over all texts."""
+def _vectors(texts: DataFrame, rows: dict[str, int], counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(inner, outer) from the sums of neighbours over all texts; tasks sum their own."""
     contexts = min(len(rows), CONTEXT_WORDS)
     weight = np.array([counts[w] for w in itertools.islice(rows, contexts)], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch.column(0))
+            held.append(pa.array([_ids_of(t, rows) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())))
             size += len(held[-1].flatten())
             if size >= WORDS_AT_ONCE:
                 yield summed(held)
@@ -328,12 +338,12 @@ def _vectors(source: DataFrame, rows: dict[str, int], counts: dict[str, int]) ->
         columns = _neighbours(pa.concat_arrays(held), contexts)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], names=["word", "context", "n"])
 
-    cells = materialize(source.mapInArrow(run, "word int, context int, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n")), "neighbours")
+    cells = materialize(texts.mapInArrow(run, "word int, context int, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n")), "neighbours")
     top = cells.where(F.col("word") < contexts).toArrow()
-    share = _both_ways(*(top.column(c).to_numpy() for c in ("word", "context", "n")), contexts, contexts)
+    noise = _noise(weight)
+    share = _both_ways(*(top.column(c).to_numpy() for c in ("word", "context", "n")), contexts, noise)
     inner, outer = train(share, weight)
     if len(rows) > contexts:
-        noise = _noise(weight)
 
         def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -341,7 +351,7 @@ def _vectors(source: DataFrame, rows: dict[str, int], counts: dict[str, int]) ->
                     part = batch.slice(s, ROWS_AT_ONCE).to_pylist()
                     at = np.repeat(np.arange(len(part)), [len(r["cells"]) for r in part])
                     flat = [(c["context"], c["n"]) for r in part for c in r["cells"]]
-                    got = fold(_dense(at, *np.array(flat).T, len(part), contexts), noise, outer)
+                    got = fold(_dense(at, *np.array(flat).T, len(part), noise), noise, outer)
                     yield pa.RecordBatch.from_arrays([pa.array([r["word"] for r in part], pa.int32()), pa.array(list(got), pa.list_(pa.float32()))], names=["word", "vector"])
 
         grouped = cells.where(F.col("word") >= contexts).groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("cells"))
@@ -352,58 +362,14 @@ def _vectors(source: DataFrame, rows: dict[str, int], counts: dict[str, int]) ->
     return inner, outer
 
 
-def _fits(texts: pa.ListArray, inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
-    """``NoiseModel.fit`` of every word where it stands; words without known neighbours are left out."""
-    flat = _apart(texts)
-    known = np.where(flat < len(outer), flat, -1)
-    vectors = np.concatenate([outer, np.zeros((1, DIMENSIONS), np.float32)])[known]
-    own = np.concatenate([inner, np.zeros((1, DIMENSIONS), np.float32)])[flat]
-    there = (known >= 0).astype(np.float32)
-    fits, n = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
-    for d in range(1, WINDOW + 1):
-        fits[d:] += np.einsum("ij,ij->i", own[d:], vectors[:-d])
-        fits[:-d] += np.einsum("ij,ij->i", own[:-d], vectors[d:])
-        n[d:] += there[:-d]
-        n[:-d] += there[d:]
-    at = (flat >= 0) & (n > 0)
-    return fits[at] / n[at]
-
-
-def _floor(source: DataFrame, inner: np.ndarray, outer: np.ndarray) -> float:
-    """The logit that all but 0.5 % of all words reach where they stand, less one, off a histogram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            step, n = np.unique(np.floor(_fits(batch.column(0), inner, outer) / FIT_STEP).astype(np.int64), return_counts=True)
-            total.update(dict(zip(step.tolist(), n.tolist())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["step", "n"])
-
-    steps = sorted(source.mapInArrow(run, "step bigint, n bigint").groupBy("step").agg(F.sum("n")).collect())
-    least, passed = 0.005 * sum(n for _, n in steps), 0
-    for step, n in steps:
-        passed += n
-        if passed >= least:
-            return step * FIT_STEP - 1.0
-    return -1e9
-
-
 def fit(df: DataFrame, text: str = "text") -> NoiseModel:
-    """Everything is learnt from all texts, which are turned to rows of words once for that."""
+    """Everything is learnt from all texts."""
+    texts = df.where(F.col(text).isNotNull()).select(text)
     counts = term_table(df, text)
     frequent = max(4, round(sum(counts.values()) * 2e-6))
     rows = _words_with_vectors(counts, frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_ids_of(t, rows) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["ids"])
-
-    most = max(counts.values(), default=0)
-    if not rows:
-        return NoiseModel(counts, rows, *(np.zeros((1, DIMENSIONS), np.float32),) * 2, -1e9, frequent, most)
-    source = materialize(df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "ids array<int>"), "word-rows")
-    inner, outer = _vectors(source, rows, counts)
-    return NoiseModel(counts, rows, inner, outer, _floor(source, inner, outer), frequent, most)
+    inner, outer = _vectors(texts, rows, counts) if rows else (np.zeros((1, DIMENSIONS), np.float32),) * 2
+    return NoiseModel(counts, rows, inner, outer, frequent, max(counts.values(), default=0))
 
 
 def belongs(left: str, right: str, sign: str, model: NoiseModel) -> bool:
@@ -482,7 +448,8 @@ def _join(body: str, kinds: set, model: NoiseModel) -> str:
 
 
 def _respell(body: str, model: NoiseModel) -> tuple[str, int]:
-    found = set(TOKEN.findall(body.lower())) - model._plain
+    low = body.lower()
+    found = set((ASCII_TOKEN if low.isascii() else TOKEN).findall(low)) - model._plain
     if not any([model.suspicious(w) for w in found]):
         return body, 0
     out, last, fixed = [], 0, 0
@@ -565,12 +532,20 @@ def _titled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+HOT_FILES = 1_000
+
+
 def headers(found: DataFrame, files: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(para_id, filename, line_no, line): header-like lines that repeat their file's title and are no line repeated across the source."""
     titles = files.where(F.col("title").isNotNull()).select("filename", "title").distinct()
     maybe = found.where("kind = 'maybe_header'").select("para_id", "filename", "line_no", "line")
-    matched = maybe.join(titles, "filename").select("para_id", "filename", "line_no", "line", "title").mapInArrow(
-        _titled, "para_id bigint, filename string, line_no int, line string, title string")
+    # files with more than a thousandth of these lines, of which there are less than a thousand, meet their titles where they are
+    hot = maybe.groupBy("filename").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_FILES > F.lit(maybe.count())).select("filename")
+    hot_titles = F.broadcast(titles.join(F.broadcast(hot), "filename", "left_semi"))
+    crowded = maybe.join(F.broadcast(hot), "filename", "left_semi").join(hot_titles, "filename")
+    others = maybe.join(F.broadcast(hot), "filename", "left_anti").join(titles, "filename")
+    both = [x.select("para_id", "filename", "line_no", "line", "title") for x in (crowded, others)]
+    matched = both[0].unionByName(both[1]).mapInArrow(_titled, "para_id bigint, filename string, line_no int, line string, title string")
     matched = materialize(matched.drop("title").distinct(), "headers")
     keyed = matched.select("filename", source_of(F.col("filename")).alias("source"), line_key(F.col("line")).alias("key"))
     long = keyed.where(F.size(F.split("key", " ")) >= 5).distinct().groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")

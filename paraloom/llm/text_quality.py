@@ -38,6 +38,7 @@ LABELLED = re.compile(r"\s*[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*)?\s*[:=]\s+\
 SENTENCE_END = re.compile(r"[^\W_]{2,}[.!?؟][\"'”’)]*(?=\s|$)")
 DIGIT = re.compile(r"\d")
 SCRIPT = re.compile(r"[؀-ۿ฀-๿]")
+ASCII_LETTERS = re.compile(r"[a-z]+")
 _COMMON = frozenset(w for w in ALL_FUNCTION_WORDS if len(w) > 1)
 DELIMITERS = ("\t", "|", ";", ",", "  ")
 CELL = re.compile(r"\t+|[ ]*[|;,][ ]*|[ ]{2,}")
@@ -205,7 +206,8 @@ def kind_of(text: str | None) -> str:
         structure = _structure([x for x in text.replace("\r", "").split("\n") if x.strip()])
         if structure:
             return structure
-    words = LETTERS.findall(text.lower())
+    low = text.lower()
+    words = (ASCII_LETTERS if low.isascii() else LETTERS).findall(low)
     if words and len(list(filter(_COMMON.__contains__, words))) >= 0.3 * len(words):
         return "prose"
     return statistics(text)[-1]

@@ -458,7 +458,7 @@ def test_wrong_training_labels_do_not_win(model):
 def noise_model():
     counts = collections.Counter({w: 500 for w in WORDS} | {"short": 400, "term": 400, "short-term": 300, "pufendora": 200, "interim": 300, "women": 300, "received": 300, "long": 300})
     rows, inner, outer = scan_noise.skip_grams([" ".join(WORDS)] * 5, counts)
-    return scan_noise.NoiseModel(dict(counts), rows, inner, outer, -1e9, 5, 50_000)
+    return scan_noise.NoiseModel(dict(counts), rows, inner, outer, 5, 50_000)
 
 
 def test_noise_and_its_repair():
@@ -507,11 +507,50 @@ def test_vectors_are_learnt_from_every_text(spark, monkeypatch):
     rows, inner, outer = scan_noise.skip_grams(texts, {w: n for w, n in m.counts.items() if n >= m.frequent})
     assert m.rows == rows and "zinc" in rows and len(m.outer) == 6 < len(m.rows) == len(m.inner)
     assert np.allclose(m.inner, inner, atol=1e-3) and np.allclose(m.outer, outer, atol=1e-3)
-    assert m.fit("zinc", ["the", "and"]) > m.fit("nurse", ["the", "and"])
-    words = texts[0].split()
-    ids = pa.array([scan_noise._ids_of(texts[0], rows)], pa.list_(pa.int32()))
-    fits = [m.fit(w, words[max(0, i - 3):i] + words[i + 1:i + 4]) for i, w in enumerate(words)]
-    assert np.allclose(scan_noise._fits(ids, m.inner, m.outer), fits, atol=1e-4)
+    assert m.evidence("zinc", ["the", "and"]) > m.evidence("nurse", ["the", "and"])
+
+
+def test_context_decides_between_a_word_and_its_misreading(spark):
+    rng = random.Random(2)
+    fire = "brigade smoke alarm burned forest flames".split()
+    tire = "wheel axle puncture rubber garage car".split()
+    texts = [" ".join(rng.sample(fire, 3) + ["fire"] + rng.sample(fire, 3)) for _ in range(600)]
+    texts += [" ".join(rng.sample(tire, 3) + ["tire"] + rng.sample(tire, 3)) for _ in range(100)]
+    texts += [" ".join(rng.sample(fire, 3) + ["tire"] + rng.sample(fire, 3)) for _ in range(10)]  # an f misread as t
+    m = scan_noise.fit(frame(spark, texts))
+    read = [(t.split()[:3] + t.split()[4:], m.correct("tire", t.split()[:3] + t.split()[4:])) for t in texts if t.split()[3] == "tire"]
+    assert [true for _, true in read] == [None] * 100 + ["fire"] * 10
+    blind = scan_noise.NoiseModel(m.counts, m.rows, m.inner * 0, m.outer * 0, m.frequent, m.most)
+    assert {blind.correct("tire", context) for context, _ in read} == {None}  # the counts alone tell none
+
+
+def test_planted_misreadings_are_repaired(spark):
+    """Held-out accuracy: misreadings planted in words of texts that the model has not seen."""
+    rng = random.Random(12)
+    words = "ministry health supply improved district reviewed clinics vendors nurses planning integrated ownership equipped percent between teachers records coverage".split()
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(400)]
+    m = scan_noise.fit(frame(spark, texts))
+    right = wrong = 0
+    for _ in range(300):
+        text = [rng.choice(words) for _ in range(12)]
+        k = rng.randrange(12)
+        options = [(true, seen) for true, seen in scan_noise.GLYPHS if true in text[k] and seen.isalpha()]
+        true, seen = rng.choice(options)
+        misread = list(text)
+        misread[k] = text[k].replace(true, seen, 1)
+        got = scan_noise.read(" ".join(misread), m).text.split()
+        right += got == text
+        wrong += got != text and got != misread
+    assert right >= 0.98 * 300 and wrong <= 3
+
+
+def test_lines_of_a_hot_file_meet_its_title(spark, monkeypatch):
+    monkeypatch.setattr(scan_noise, "HOT_FILES", 2)
+    rows = [(i, "document_2019-01-01_ABC-1.pdf" if i < 8 else f"document_2019-01-01_ABC-{i}.pdf", "maybe_header", 1, "DIGITAL NETS REPORT") for i in range(12)]
+    found = spark.createDataFrame(rows, scan_noise.SIGNS)
+    files = spark.createDataFrame([(r[1], "Digital Nets Report 2019") for r in rows], "filename string, title string")
+    got = scan_noise.headers(found, files, found.select("filename"))
+    assert sorted(r.para_id for r in got.collect()) == list(range(12))
 
 
 # Problem 9
