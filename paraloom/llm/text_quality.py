@@ -1,11 +1,14 @@
 """Problem 2: statistics of every text, and whether it is prose, a list, a table or junk.
 
-Structure is read from three signals over the lines: delimiters standing at
-like counts or columns in line after line (tables), markers and indentation
-that return at like distances (lists), and the autocorrelation of line lengths.
-Where they are clear they decide before the words are looked at; else they are
-weighed with the shares of figures, common words, symbols and lines that end in
-punctuation.
+Lists and tables are told by their layout and by nothing else.  The rows of a
+text are its lines; where these were run together, they are found again at wide
+gaps, at repeated markers or at leaders.  Then the rows are compared with each
+other: delimiters at like counts or columns and cells of figures make a table;
+signs that stand in one column (markers, labels, leaders, abbreviations), or
+indentation that returns at one distance, with the autocorrelation of the rows'
+lengths at it, make a list.  Where signs repeat in more than four of five lines
+nothing else is asked; else the shares of common words and of ended sentences
+must agree.  What has no layout is prose or, by its words and symbols, junk.
 
 Defined results: null, empty and blank texts get zeros and the kind ``none``;
 repeated rows give a row each; nothing is cut off long texts.
@@ -43,6 +46,8 @@ _COMMON = frozenset(w for w in ALL_FUNCTION_WORDS if len(w) > 1)
 DELIMITERS = ("\t", "|", ";", ",", "  ")
 CELL = re.compile(r"\t+|[ ]*[|;,][ ]*|[ ]{2,}")
 COLUMN = re.compile(r"\S(?:\t+|[ ]{2,}|[ ]*[|;][ ]*)(?=\S)")
+GAP = re.compile(r" {2,}")
+LED = re.compile(LEADER.pattern + r"\s*[\divxlc]*")  # a leader and the number it leads to
 LONGEST_PERIOD = 8  # lines of one entry
 MIXED = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9~^]+")
 VOWEL = re.compile("[aeiouyà-öø-ÿ]", re.I)
@@ -83,21 +88,66 @@ def _depths(lines: list[str]) -> list[int]:
     return [d - least for d in depths]
 
 
-def _alignment(lines: list[str]) -> float:
-    """Share of lines that have the commonest number of one delimiter, if that is one or more, or a cell at the commonest column."""
-    if len(lines) < 2:
+def _alignment(rows: list[str], delimiters: tuple[str, ...] = DELIMITERS) -> float:
+    """Share of rows that have the commonest number of one delimiter, if that is one or more, or a cell at the commonest column."""
+    if len(rows) < 2:
         return 0.0
     best = 0.0
-    for d in DELIMITERS:
-        counts = Counter(line.count(d) for line in lines)
+    for d in delimiters:
+        counts = Counter(row.count(d) for row in rows)
         counts.pop(0, None)
         if counts:
-            best = max(best, max(counts.values()) / len(lines))
-    columns = Counter(m.end() for line in lines for m in COLUMN.finditer(line))
-    return max(best, max(columns.values(), default=0) / len(lines))
+            best = max(best, max(counts.values()) / len(rows))
+    columns = Counter(m.end() for row in rows for m in COLUMN.finditer(row))
+    return max(best, max(columns.values(), default=0) / len(rows))
 
 
-def _structure(lines: list[str]) -> str | None:
+def _sign(row: str) -> str | None:
+    """What stands at the head or the end of an entry."""
+    m = MARKER.match(row)
+    if m:
+        return f"marker {m.lastindex}"
+    if LEADER.search(row):
+        return "leader"
+    if ABBREVIATION.match(row.strip()):
+        return "abbreviation"
+    return "label" if LABELLED.match(row) else None
+
+
+def _rows_run_together(text: str) -> list[list[str]]:
+    """The rows of a text without lines of its own, in several ways: parted at wide gaps, at names after figures, before markers, after leaders."""
+    whole = " ".join(text.split("\n"))
+    named: list[list[str]] = [[]]
+    figure = False
+    for word in whole.split():
+        was, figure = figure, word in "|;" or FIGURE.fullmatch(word) is not None
+        if was and not figure:
+            named.append([])
+        named[-1].append(word)
+    at = [m.start() for m in INLINE.finditer(whole)]
+    marked = [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)])]
+    ends = [0, *(m.end() for m in LED.finditer(whole))]
+    led = [whole[a:b] for a, b in zip(ends, ends[1:])]
+    return [[x for x in GAP.split(whole) if x.strip()], [" ".join(x) for x in named], marked, led]
+
+
+def _is_table(rows: list[str], alike: float) -> bool:
+    """Rows of cells, mostly figures, as many in one as in the next: in a share of ``alike`` of the rows where cells may be missing."""
+    if len(rows) < 3:
+        return False
+    cells = [CELL.split(x.strip())[1:] for x in rows]
+    filled = [sum(1 for c in row if not c or FIGURE.fullmatch(c)) for row in cells]
+    if sum(map(bool, filled)) >= 0.6 * len(rows) and sum(filled) >= 0.5 * sum(map(len, cells)) and _alignment(rows) >= 0.8:
+        return True
+    # cells parted by single blanks: a name and figures, row after row
+    words = [[w for w in x.split() if w not in "|;"] for x in rows]
+    told = [sum(1 for w in row[1:] if FIGURE.fullmatch(w)) for row in words]
+    counts = Counter(filter(None, told))
+    return (sum(told) >= 0.5 * sum(len(row) - 1 for row in words) and sum(map(bool, told)) >= 0.6 * len(rows)
+            and max(counts.values(), default=0) >= alike * sum(counts.values()))
+
+
+def _clear(lines: list[str]) -> str | None:
     """``list`` or ``table`` where the lines alone tell it, whatever words they hold."""
     n = len(lines)
     if n < 3:
@@ -123,6 +173,26 @@ def _structure(lines: list[str]) -> str | None:
     return None
 
 
+def _layout(text: str, lines: list[str], common_share: float) -> str | None:
+    """``list`` or ``table`` where the rows, few common words and few ended sentences tell it together."""
+    if common_share >= 0.26:
+        return None
+    n = len(lines)
+    ways = [lines] if n >= 3 else _rows_run_together(text)
+    if common_share < 0.15 and any(_is_table(rows, 0.25 if n >= 3 else 0.4) for rows in ways):
+        return "table"
+    ended = sum(1 for m in SENTENCE_END.finditer(text) if not text[m.start():m.end() - 1].isdigit())
+    for rows in ways:
+        signs = Counter(filter(None, map(_sign, rows)))
+        if (ended <= 1 or ended < 0.34 * len(rows)) and max(signs.values(), default=0) >= max(0.6 * len(rows), 2 if signs["leader"] else 3):
+            return "list"
+    # entries without any sign: short lines whose lengths tell nothing of each other, as those of wrapped prose do
+    lengths = [len(x) for x in lines]
+    if n >= 3 and common_share < 0.12 and not ended and len(text.split()) >= 8 and max(lengths) < 80 and _lag(lengths, 1) < 0.5:
+        return "list"
+    return None
+
+
 def statistics(text: str | None) -> tuple:
     if text is None or not text.strip():
         return (len(text or ""), 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, "none")
@@ -153,59 +223,42 @@ def statistics(text: str | None) -> tuple:
     alignment = _alignment(lines)
     stats = (n, n_words, letters / n_words if n_words else 0.0, symbols / n, digits / n, figure_share, common_share, punctuated,
              len(lines), alignment, marker_share, _autocorrelation([len(x) for x in lines]), _periodicity(_depths(lines))[0])
-    kind = _kind(text, lines, tokens, words, lowered, stats, script, markers, labelled)
-    return (*stats, kind)
+    return (*stats, _kind(text, lines, tokens, words, lowered, stats, script))
 
 
-def _kind(text, lines, tokens, words, lowered, stats, script, markers, labelled) -> str:
-    n, n_words, _, _, _, figure_share, common_share, _, n_lines, alignment, *_ = stats
+def _kind(text, lines, tokens, words, lowered, stats, script) -> str:
+    n_words, figure_share, common_share = stats[1], stats[5], stats[6]
     visible = sum(map(len, tokens))
-    structure = _structure(lines)
-    if structure:
-        return structure
-    if script > 0.25 * visible and figure_share < 0.4:
-        return "prose"
-    if common_share >= 0.3:
+    told = _clear(lines)
+    if told:
+        return told
+    if script > 0.25 * visible and figure_share < 0.4 or common_share >= 0.3:
         return "prose"
+    told = _layout(text, lines, common_share)
+    if told:
+        return told
     # junk: nothing that reads as words
     mixed = sum(1 for t in tokens if MIXED.fullmatch(t))
     if mixed > 0.25 * len(tokens) and common_share < 0.1 or len(ESCAPE.findall(text)) >= 0.3 * len(tokens):
         return "junk"
     readable = [w for w in words if len(w) >= 3 and (w.isascii() or w[1:].islower() or w.isupper()) and VOWEL.search(w)]
-    leaders = LEADER.findall(text)
-    if figure_share < 0.3 and not leaders and (sum(map(len, words)) < 0.45 * visible or len(readable) < 0.35 * n_words):
+    if figure_share < 0.3 and (sum(map(len, words)) < 0.45 * visible or len(readable) < 0.35 * n_words):
         return "junk"
     if n_words >= 6 and common_share < 0.05 and len(set(lowered)) <= max(2, 0.5 * n_words) and figure_share < 0.3 and not any(w[0].isupper() for w in words):
         return "junk"
-    # tables: rows of cells, mostly figures
-    if figure_share >= 0.3 and common_share < 0.15:
-        return "table"
-    # lists: entries with markers, leaders or abbreviations, and hardly a sentence
-    if len(leaders) >= 2 and common_share < 0.25:
-        return "list"
-    if common_share < 0.15 and (text.lstrip()[:30].upper().startswith("ACRONYMS") or len(ABBREVIATION.findall(text)) >= 3):
-        return "list"
-    ended = sum(1 for m in SENTENCE_END.finditer(text) if not text[m.start():m.end() - 1].isdigit())
-    if common_share < 0.26 and (ended <= 1 or ended < 0.34 * n_lines):
-        if n_lines >= 3 and max(markers, labelled) >= 0.6 * n_lines or len(INLINE.findall(text)) >= 3:
-            return "list"
-        if alignment >= 0.8 and figure_share >= 0.2:
-            return "table"
-        if n_words >= 8 and common_share < 0.12 and n_lines >= 3 and ended == 0:
-            return "list"
     if n_words >= 8 and common_share < 0.05 and len(readable) < 0.6 * n_words:
         return "junk"
     return "prose"
 
 
 def kind_of(text: str | None) -> str:
-    """The kind alone; prose whose lines show no structure is told by its common words."""
+    """The kind alone; prose whose lines show no clear layout is told by its common words."""
     if text is None or not text.strip():
         return "none"
     if text.count("\n") > 1:
-        structure = _structure([x for x in text.replace("\r", "").split("\n") if x.strip()])
-        if structure:
-            return structure
+        told = _clear([x for x in text.replace("\r", "").split("\n") if x.strip()])
+        if told:
+            return told
     low = text.lower()
     words = (ASCII_LETTERS if low.isascii() else LETTERS).findall(low)
     if words and len(list(filter(_COMMON.__contains__, words))) >= 0.3 * len(words):

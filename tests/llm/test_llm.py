@@ -231,6 +231,16 @@ def test_structure_decides_before_common_words(text, kind):
     assert text_quality.statistics(text)[-1] == kind == text_quality.kind_of(text)
 
 
+def test_layout_decides_lists_and_tables(monkeypatch):
+    texts = [("Nets ; 2019 ; 2020  Kandor ; 8 ;   Pimar ; 17% ; 4  Tole ;  ; 12", "table"), ("Nets 2019 2020\nKandor 26190 78.8% n/a\nPimar 417 -\nTole - 12", "table"),
+             ("• Steady nets • Joint beds • Blue pumps • Red wells", "list"), ("Kandor: steady nets\nPimar: modest beds\nTole: annual pumps", "list"),
+             ("Steady Nets ..... 2 Modest Beds ............ 5 Annual Pumps ..... 11", "list"), ("Steady nets\nModest blue beds\nOld pumps\nRed wells Kandor", "list")]
+    assert [text_quality.kind_of(t) for t, _ in texts] == [k for _, k in texts]
+    for part in ("_clear", "_layout"):
+        monkeypatch.setattr(text_quality, part, lambda *_: None)
+    assert not {text_quality.kind_of(t) for t, _ in texts} & {"list", "table"}  # nothing else tells them
+
+
 def test_periods_of_indentation():
     assert text_quality._periodicity([0, 4, 4] * 4) == (pytest.approx(1), -3)
     assert text_quality._periodicity([2, 2, 2, 2]) == (0.0, 0) == text_quality._periodicity([])
