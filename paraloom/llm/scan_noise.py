@@ -82,9 +82,15 @@ class NoiseModel:
     most: int  # count of the most frequent word
     _cache: dict = field(default_factory=dict, repr=False)
     _plain: set = field(default_factory=set, repr=False)
+    _longest: int | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_cache": {}, "_plain": set()}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_cache": {}, "_plain": set(), "_longest": None}
+
+    def _reach(self) -> int:
+        if self._longest is None:
+            self._longest = max(map(len, self.counts), default=0) + MAX_EDITS
+        return self._longest
 
     def suspicious(self, word: str) -> bool:
         """Whether a lower-cased word may be a misreading of a more frequent one."""
@@ -101,7 +107,8 @@ class NoiseModel:
         """Frequent words that plausible glyph edits of ``word`` lead to, the fewest edits first."""
         found = self._cache.get(word)
         if found is None:
-            near = glyph_neighbours(word, self.counts, max(self.frequent, LEAST_RATIO * self.counts.get(word, 0)))
+            # an edit changes a word's length by one at most
+            near = () if len(word) > self._reach() else glyph_neighbours(word, self.counts, max(self.frequent, LEAST_RATIO * self.counts.get(word, 0)))
             # a misreading that is frequent itself leads on to what it is one of; letters in another order are a slip of typing
             truths = dict.fromkeys(t for c in near for t in self.candidates(c) or [c])
             found = [t for t in truths if sorted(t) != sorted(word)]

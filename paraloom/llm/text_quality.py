@@ -38,7 +38,7 @@ INLINE = re.compile(r"(?:(?<=\s)|^)(?:[-–—•*▪◦·‣●]|o(?=\s+[A-Z])|
 LEADER = re.compile(r"(?:\.\s?){4,}|…{2,}|_{4,}")
 ABBREVIATION = re.compile(r"(?:^|(?<=\n)|(?<=[;\n ]))[A-Z][A-Z0-9&/-]{1,7}(?:\t+| {2,}| ?[-–—:=] ?)[A-Z][\w-]+")
 LABELLED = re.compile(r"\s*[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*)?\s*[:=]\s+\S")
-SENTENCE_END = re.compile(r"[^\W_]{2,}[.!?؟][\"'”’)]*(?=\s|$)")
+SENTENCE_END = re.compile(r"(?<![^\W_])[^\W_]{2,}[.!?؟][\"'”’)]*(?=\s|$)")
 DIGIT = re.compile(r"\d")
 SCRIPT = re.compile(r"[؀-ۿ฀-๿]")
 ASCII_LETTERS = re.compile(r"[a-z]+")
@@ -47,7 +47,7 @@ DELIMITERS = ("\t", "|", ";", ",", "  ")
 CELL = re.compile(r"\t+|[ ]*[|;,][ ]*|[ ]{2,}")
 COLUMN = re.compile(r"\S(?:\t+|[ ]{2,}|[ ]*[|;][ ]*)(?=\S)")
 GAP = re.compile(r" {2,}")
-LED = re.compile(LEADER.pattern + r"\s*[\divxlc]*")  # a leader and the number it leads to
+LED = re.compile(rf"(?:{LEADER.pattern})\s*[\divxlc]*")  # a leader and the number it leads to
 LONGEST_PERIOD = 8  # lines of one entry
 MIXED = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9~^]+")
 VOWEL = re.compile("[aeiouyà-öø-ÿ]", re.I)
