@@ -60,7 +60,7 @@ TERM, ASCII_TERM = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*"), re.compile(r"[a-z]+(
 ASCII_TOKEN = re.compile(r"[a-z0-9](?:[a-z0-9_|!]*[a-z0-9_|!])?|\|[a-z0-9_|!]+")  # of lower-cased text
 TOKEN = re.compile(r"[^\W_](?:[\w†‡|!€]*[\w†|!])?|[†|][\w†|!]+")
 SOFT = "¬\xad"
-BREAK = re.compile(r"([^\W\d_]+(?:[-‐][^\W\d_]+)*)([-‐¬\xad])[ \t]*\r?\n\s*([^\W\d_][\w†|!]*)")
+BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]+(?:[-‐][^\W\d_]+)*)([-‐¬\xad])[ \t]*\r?\n\s*([^\W\d_][\w†|!]*)")
 HYPHEN_END = re.compile(r"[-‐¬\xad][ \t]*\r?\n")
 PAGE = re.compile(
     r"""\s*(?:
