@@ -16,7 +16,8 @@ ENGLISH = (
     "their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an "
     "the and but if or because as until while of at by for with about against between into through during before after above below to from up down "
     "in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only "
-    "own same so than too very can will just should now").split()
+    "own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan "
+    "shouldn wasn weren won wouldn").split()
 
 
 def enhanced_stopwords() -> list[str]:

@@ -60,14 +60,14 @@ def extremes(df: DataFrame, by: str, n: int = 10, key: str = "topic") -> DataFra
     return df.orderBy(F.desc(by), key).limit(n).unionAll(df.orderBy(F.asc(by), key).limit(n))
 
 
-def permutation_test(df: DataFrame, left: str, right: str, permutations: int = 50, pvalue: str = "empirical", key: str = "doc_id") -> DataFrame:
+def permutation_test_ranked(df: DataFrame, left: str, right: str, permutations: int = 50, pvalue: str = "empirical", key: str = "doc_id") -> DataFrame:
     """(topic, left, right, abs_difference, p_value, significant) against shuffled group labels.
 
     The shuffle of permutation p orders documents by md5(p|key), so any engine
     gets the same result.  Ranks are taken within the first four digits of the
     digest and offset by the counts of the digits before, so no task ranks a
-    whole permutation.  It moves permutations x documents narrow rows; see
-    ``permutation_test_by_counts`` for large collections.
+    whole permutation.  It moves permutations x documents narrow rows, so it is
+    for checking ``permutation_test`` against other engines.
     ``pvalue``: ``empirical`` is mean(null >= observed), ``add_one`` is (count + 1) / (permutations + 1).
     """
     docs = df.where(F.col("topic").isNotNull()).select(F.col(key).alias("key"), "topic", "grp")
@@ -97,8 +97,8 @@ def _p_values(observed: DataFrame, null: DataFrame, permutations: int, pvalue: s
     return scored.drop("hits", "drawn").withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
-def permutation_test_by_counts(df: DataFrame, left: str, right: str, permutations: int = 50, pvalue: str = "empirical", seed: int = 42) -> DataFrame:
-    """The same test from topic counts alone, whatever the number of documents.
+def permutation_test(df: DataFrame, left: str, right: str, permutations: int = 50, pvalue: str = "empirical", seed: int = 42) -> DataFrame:
+    """(topic, left, right, abs_difference, p_value, significant) against shuffled group labels, from topic counts alone.
 
     A shuffle of labels draws the groups' topic counts from a multivariate
     hypergeometric law, so each permutation is drawn directly in one task.

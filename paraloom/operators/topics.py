@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paraloom.session import materialize
+
+MOST_KEYWORDS, MOST_TOPICS = 100_000, 2_000
+
 
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(topic, term, tf) from a frame with an array column ``tokens`` and ``topic``."""
@@ -71,16 +79,27 @@ def topic_words_over_time(tokens: DataFrame, n: int = 5, period: str = "period",
     if evolution_tuning:
         before = F.lag("weight").over(Window.partitionBy("topic", "term").orderBy(period))
         local = local.withColumn("weight", F.coalesce((F.col("weight") + before) / 2, F.col("weight")))
-    order = Window.partitionBy("topic", period).orderBy(F.desc("weight"), "term")
+    order = Window.partitionBy("topic", period).orderBy(F.desc(F.round("weight", 12)), "term")  # so that equal weights tie, however they were summed
     best = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return best.groupBy("topic", period).agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("t")).select(
         "topic", period, F.array_join(F.transform("t", lambda x: x["term"]), ", ").alias("words"))
 
 
+def _listed_keywords(keywords: DataFrame) -> DataFrame:
+    """The distinct keywords in one row; more than ``MOST_KEYWORDS`` fail."""
+    words = keywords.agg(F.collect_set("term").alias("_kw"))
+    return words.select(F.when(F.size("_kw") > MOST_KEYWORDS, F.raise_error(F.lit(f"over {MOST_KEYWORDS} keywords")).cast("array<string>")).otherwise(F.col("_kw")).alias("_kw"))
+
+
 def keyword_documents(tokens: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
-    """(key, term): the distinct keywords of every document; keywords are few, so the join is small on one side."""
-    words = keywords.select("term").distinct()
-    return tokens.select(key, F.explode(F.array_distinct("tokens")).alias("term")).join(words, "term", "left_semi")
+    """(key, term): the distinct keywords of every document.  Each document meets the list of keywords where it is, and nothing else of it goes on."""
+    met = tokens.select(key, "tokens").crossJoin(F.broadcast(_listed_keywords(keywords)))
+    return met.select(key, F.explode(F.array_intersect("tokens", "_kw")).alias("term"))
+
+
+def first_documents(tokens: DataFrame, key: str, n: int = 5_000) -> DataFrame:
+    """The first ``n`` documents by key, for measures that are stated on so many."""
+    return tokens.join(tokens.select(key).orderBy(key).limit(n), key, "left_semi")
 
 
 def umass_pairs(tokens: DataFrame, keywords: DataFrame, key: str, epsilon: float = 1e-12) -> DataFrame:
@@ -89,7 +108,7 @@ def umass_pairs(tokens: DataFrame, keywords: DataFrame, key: str, epsilon: float
     Keyword pairs are generated within a topic (at most ten terms) and counted
     per document, so no document meets another.
     """
-    present = keyword_documents(tokens, keywords, key)
+    present = materialize(keyword_documents(tokens, keywords, key), "keyword-documents")
     document_counts = present.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
     total = tokens.agg(F.count(F.lit(1)).alias("n_docs"))
     ranked = present.join(keywords.select("topic", "term", "rank"), "term")
@@ -110,24 +129,80 @@ def coherence_umass(pairs: DataFrame, keywords: DataFrame, min_keyword_score: fl
     return scored.select("topic", F.lit("u_mass").alias("measure"), F.coalesce("score", fallback).alias("score"))
 
 
+def _checked(words: DataFrame) -> DataFrame:
+    """A table of keywords that may be broadcast; more than ``MOST_KEYWORDS`` fail."""
+    if words.limit(MOST_KEYWORDS + 1).count() > MOST_KEYWORDS:
+        raise ValueError(f"over {MOST_KEYWORDS} keywords")
+    return words
+
+
+def _shared_windows(window: int):
+    """(term, other, c): in how many windows the keywords of one topic stand together, each with itself included; summed by task."""
+
+    def ranges(places: list[int], last: int) -> list[tuple[int, int]]:
+        """The starts of the windows that hold one of the places, as ranges without overlap."""
+        out: list[tuple[int, int]] = []
+        for p in sorted(places):
+            a, b = max(p - window + 1, 0), min(p, last)
+            if out and a <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+    def common(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> int:
+        i = j = n = 0
+        while i < len(x) and j < len(y):
+            n += max(0, min(x[i][1], y[j][1]) - max(x[i][0], y[j][0]) + 1)
+            if x[i][1] < y[j][1]:
+                i += 1
+            else:
+                j += 1
+        return n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for windows, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at: dict[str, list[int]] = {}
+                topics: dict[str, set] = {}
+                for c in places:
+                    at.setdefault(c["term"], []).append(c["p"])
+                    topics[c["term"]] = set(c["topics"])
+                spans = {term: ranges(p, windows - 1) for term, p in at.items()}
+                terms = sorted(spans)
+                for k, a in enumerate(terms):
+                    for b in terms[k:]:
+                        if topics[a] & topics[b]:
+                            n = common(spans[a], spans[b])
+                            if n:
+                                total[a, b] += n
+                                if a != b:
+                                    total[b, a] += n
+        rows = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(list(total.values()), pa.int64())],
+                                         names=["term", "other", "c"])
+
+    return run
+
+
 def coherence_cv(tokens: DataFrame, keywords: DataFrame, key: str, window: int = 110, epsilon: float = 1e-12, min_keyword_score: float | None = None) -> DataFrame:
     """(topic, measure, score) by context vectors of normalised pointwise mutual information over sliding windows.
 
-    Only keyword positions are exploded: a keyword at position p lies in the
-    windows that start in (p - window, p], and the windows two keywords share
-    are counted from these ranges window start by window start.
+    Only the places of keywords are exploded and gathered by document: a keyword
+    at place p lies in the windows that start in (p - window, p], and how many
+    windows hold a keyword, or two of one topic, is read off these ranges.
     """
-    words = keywords.select("term").distinct()
     length = F.size("tokens")
+    words = keywords.groupBy("term").agg(F.collect_set("topic").alias("topics"))
     placed = tokens.where(length > 0).select(F.col(key).alias("_k"), F.greatest(length - window + 1, F.lit(1)).alias("windows"), F.posexplode("tokens").alias("p", "term"))
-    kept = placed.join(words, "term", "left_semi")
-    starts = kept.select("_k", "term", F.explode(F.sequence(F.greatest(F.col("p") - window + 1, F.lit(0)), F.least(F.col("p"), F.col("windows") - 1))).alias("w")).distinct()
+    kept = placed.join(F.broadcast(_checked(words)), "term").groupBy("_k", "windows").agg(F.collect_list(F.struct("term", "p", "topics")).alias("places"))
     total = tokens.where(length > 0).agg(F.sum(F.greatest(length - window + 1, F.lit(1))).alias("total"))
-    single = starts.groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(kept.select("windows", "places").mapInArrow(_shared_windows(window), "term string, other string, c bigint").groupBy("term", "other").agg(F.sum("c").alias("c")), "windows")
+    single = counts.where("term = other").select("term", "c")
+    both = counts.select("term", "other", F.col("c").alias("c_both"))
     pairs = keywords.select("topic", "term").alias("x").join(keywords.select(F.col("topic"), F.col("term").alias("other")).alias("y"), "topic")
     wanted = pairs.select("term", "other").distinct()
-    grouped = starts.groupBy("_k", "w").agg(F.collect_set("term").alias("s"))
-    both = grouped.select("s", F.explode("s").alias("term")).select("term", F.explode("s").alias("other")).groupBy("term", "other").agg(F.count(F.lit(1)).alias("c_both"))
     counted = wanted.join(both, ["term", "other"], "left").join(single, "term").join(single.select(F.col("term").alias("other"), F.col("c").alias("c_other")), "other").crossJoin(F.broadcast(total))
     p = F.coalesce("c_both", F.lit(0)) / F.col("total")
     npmi = F.log((p + epsilon) / (F.col("c") / F.col("total") * F.col("c_other") / F.col("total"))) / -F.log(p + epsilon)
@@ -154,34 +229,54 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
     return scaled.select(F.col("topic").alias("a"), "term", "w").join(other, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("w2")).alias("cosine"))
 
 
-def merged_topics(similarity: DataFrame, topics: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(topic, merged): like topics share the smallest number of their group; a handful of topics, so the driver joins them."""
-    parent = {r[0]: r[0] for r in topics.select("topic").distinct().collect()}
+def _few(topics: DataFrame) -> list:
+    """The distinct topics, which the driver may hold; more than ``MOST_TOPICS`` fail."""
+    names = [r[0] for r in topics.select("topic").distinct().limit(MOST_TOPICS + 1).collect()]
+    if len(names) > MOST_TOPICS:
+        raise ValueError(f"over {MOST_TOPICS} topics")
+    return sorted(names)
+
+
+def _roots(names: list):
+    parent = {t: t for t in names}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
+    return parent, root
+
+
+def merged_topics(similarity: DataFrame, topics: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(topic, merged): like topics share the smallest number of their group; at most ``MOST_TOPICS``, so the driver joins them."""
+    names = _few(topics)
+    parent, root = _roots(names)
     for a, b in sorted((r["a"], r["b"]) for r in similarity.where(F.col("cosine") > threshold).collect()):
         ra, rb = root(a), root(b)
         parent[max(ra, rb)] = min(ra, rb)
     kind = topics.schema["topic"].dataType.simpleString()
-    return topics.sparkSession.createDataFrame([(t, root(t)) for t in sorted(parent)], f"topic {kind}, merged {kind}")
+    return topics.sparkSession.createDataFrame([(t, root(t)) for t in names], f"topic {kind}, merged {kind}")
+
+
+def without_small(assigned: DataFrame, similarity: DataFrame, min_size: int) -> DataFrame:
+    """(topic, merged): topics of fewer documents than ``min_size`` go to the most similar large one; the largest where none is similar."""
+    sizes = {r["topic"]: r["n"] for r in assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) > MOST_TOPICS:
+        raise ValueError(f"over {MOST_TOPICS} topics")
+    near = {(r["a"], r["b"]): r["cosine"] for r in similarity.collect()}
+    large = sorted((t for t, n in sizes.items() if n >= min_size), key=lambda t: (-sizes[t], t)) or sorted(sizes, key=lambda t: (-sizes[t], t))[:1]
+    rows = [(t, t if n >= min_size or t in large else max(large, key=lambda u: (near.get((min(t, u), max(t, u)), 0.0), -large.index(u)))) for t, n in sorted(sizes.items())]
+    kind = assigned.schema["topic"].dataType.simpleString()
+    return assigned.sparkSession.createDataFrame(rows, f"topic {kind}, merged {kind}")
 
 
 def topic_hierarchy(similarity: DataFrame, topics: DataFrame) -> DataFrame:
-    """(step, a, b, distance): single-linkage merges of the topics by cosine distance, on the driver (a handful of topics)."""
-    names = sorted(r[0] for r in topics.select("topic").distinct().collect())
+    """(step, a, b, distance): single-linkage merges of the topics by cosine distance, on the driver (at most ``MOST_TOPICS``)."""
+    names = _few(topics)
     near = {(r["a"], r["b"]): 1 - r["cosine"] for r in similarity.collect()}
     pairs = sorted((near.get((a, b), 1.0), a, b) for i, a in enumerate(names) for b in names[i + 1:])
-    parent = {t: t for t in names}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
+    parent, root = _roots(names)
     steps = []
     for d, a, b in pairs:
         ra, rb = root(a), root(b)

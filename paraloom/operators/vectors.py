@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Normalizer
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import PCA, Normalizer, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,18 +62,29 @@ def centroids(df: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
     return means.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("centroid"))
 
 
+MOST_SEEDS = 10_000
+
+
+def _packed(seeds: DataFrame, seed_key: str) -> DataFrame:
+    """All seeds in one row, so that they ride along with every partition; more than ``MOST_SEEDS`` fail."""
+    listed = seeds.agg(F.collect_list(F.struct(F.col(seed_key).alias("seed"), F.col("centroid"), norm(F.col("centroid")).alias("norm"))).alias("_seeds"))
+    too_many = F.raise_error(F.lit(f"over {MOST_SEEDS} seeds")).cast(listed.schema["_seeds"].dataType)
+    return listed.select(F.when(F.size("_seeds") > MOST_SEEDS, too_many).otherwise(F.col("_seeds")).alias("_seeds"))
+
+
 def seed_affinity(df: DataFrame, seeds: DataFrame, key: str, vector: str = "embedding", seed_key: str = "seed_id") -> DataFrame:
-    """(key, seed, cosine): the nearest seed of every vector.  Seeds are a stated, small set."""
-    pairs = df.select(key, F.col(vector).alias("_v")).crossJoin(F.broadcast(seeds.select(F.col(seed_key).alias("seed"), F.col("centroid").alias("_c"))))
-    cosine = dot(F.col("_v"), F.col("_c")) / F.nullif(norm(F.col("_v")) * norm(F.col("_c")), F.lit(0.0))
-    scored = pairs.select(key, "seed", F.coalesce(cosine, F.lit(0.0)).alias("cosine"))
-    best = scored.groupBy(key).agg(F.max(F.struct("cosine", (-F.col("seed")).alias("neg"))).alias("b"))
-    return best.select(key, (-F.col("b.neg")).alias("seed"), F.col("b.cosine").alias("cosine"))
+    """(key, seed, cosine): the nearest seed of every vector, the smaller one on ties; no row is shuffled."""
+    n = norm(F.col("_v"))
+    scored = F.transform("_seeds", lambda s: F.struct(
+        F.coalesce(dot(F.col("_v"), s["centroid"]) / F.nullif(F.col("_n") * s["norm"], F.lit(0.0)), F.lit(0.0)).alias("cosine"), (-s["seed"]).alias("neg")))
+    best = df.select(key, F.col(vector).alias("_v")).withColumn("_n", n).crossJoin(F.broadcast(_packed(seeds, seed_key))).select(key, F.array_max(scored).alias("_b"))
+    return best.where("_b is not null").select(key, (-F.col("_b.neg")).alias("seed"), F.col("_b.cosine").alias("cosine"))
 
 
 def guided(df: DataFrame, affinity: DataFrame, seeds: DataFrame, key: str, vector: str = "embedding", floor: float = 0.0, weight: float = 0.25, seed_key: str = "seed_id") -> DataFrame:
     """Pull every vector that has a seed over ``floor`` towards it: (1 - weight) of itself and ``weight`` of the seed."""
-    near = affinity.where(F.col("cosine") > floor).join(F.broadcast(seeds.select(F.col(seed_key).alias("seed"), "centroid")), "seed").select(key, "centroid")
+    chosen = F.element_at(F.filter("_seeds", lambda s: s["seed"] == F.col("seed")), 1)["centroid"]
+    near = affinity.where(F.col("cosine") > floor).crossJoin(F.broadcast(_packed(seeds, seed_key))).select(key, chosen.alias("centroid"))
     pulled = F.zip_with(vector, "centroid", lambda x, c: x.cast("double") * (1 - weight) + c * weight)
     return df.join(near, key, "left").withColumn(vector, F.when(F.col("centroid").isNotNull(), pulled).otherwise(F.transform(vector, lambda x: x.cast("double")))).drop("centroid")
 
@@ -83,15 +94,21 @@ def _as_vectors(df: DataFrame, vector: str) -> DataFrame:
     return Normalizer(inputCol="_v", outputCol="_u", p=2.0).transform(plain)
 
 
-def project(df: DataFrame, key: str, k: int = 2, vector: str = "embedding") -> DataFrame:
+def fit_projection(df: DataFrame, k: int = 2, vector: str = "embedding") -> PCAModel:
+    return PCA(k=k, inputCol="_u", outputCol="_p").fit(_as_vectors(df, vector))
+
+
+def project(df: DataFrame, key: str, k: int = 2, vector: str = "embedding", fitted: PCAModel | None = None) -> DataFrame:
     """(key, coordinates): principal components of the unit vectors; stands in for non-linear projections."""
-    rows = _as_vectors(df, vector)
-    model = PCA(k=k, inputCol="_u", outputCol="_p").fit(rows)
-    return model.transform(rows).select(key, vector_to_array("_p").alias("coordinates"))
+    model = fitted or fit_projection(df, k, vector)
+    return model.transform(_as_vectors(df, vector)).select(key, vector_to_array("_p").alias("coordinates"))
+
+
+def fit_clusters(df: DataFrame, k: int = 50, vector: str = "embedding", seed: int = 42) -> KMeansModel:
+    return KMeans(k=k, seed=seed, featuresCol="_u", predictionCol="topic").fit(_as_vectors(df, vector))
 
 
-def cluster(df: DataFrame, key: str, k: int = 50, vector: str = "embedding", seed: int = 42) -> DataFrame:
+def cluster(df: DataFrame, key: str, k: int = 50, vector: str = "embedding", seed: int = 42, fitted: KMeansModel | None = None) -> DataFrame:
     """(key, topic): k-means of the unit vectors."""
-    rows = _as_vectors(df, vector)
-    model = KMeans(k=k, seed=seed, featuresCol="_u", predictionCol="topic").fit(rows)
-    return model.transform(rows).select(key, "topic")
+    model = fitted or fit_clusters(df, k, vector, seed)
+    return model.transform(_as_vectors(df, vector)).select(key, "topic")

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.functions import periods, text
+from paraloom.functions import language, periods, text
 from paraloom.functions.stopwords import enhanced_stopwords
 from paraloom.operators import charts, groups, model, quality, report, topics, trends, vectors
-from paraloom.session import materialize
+from paraloom.session import fresh_path, materialize
 from paraloom.sources import pages
 from paraloom.sources.tables import table
 
@@ -74,13 +74,30 @@ def dated(df: DataFrame) -> DataFrame:
 
 # Queries --------------------------------------------------------------------
 
-def _paragraph_rules(spark: SparkSession, d: str) -> DataFrame:
+def _paragraph_rules(spark: SparkSession, d: str, language="lang", unicode: bool = True) -> DataFrame:
     source = table(spark, d, "documents", "doc_id", "text", "lang")
-    return quality.with_reason(quality.paragraphs(source), "lang")
+    return quality.with_reason(quality.paragraphs(source, unicode=unicode), language, unicode=unicode)
+
+
+def _valid(language="lang", unicode: bool = True) -> Query:
+    return lambda s, d: _paragraph_rules(s, d, language, unicode).where("skip_reason is null").select(
+        "doc_id", F.col("para_idx").cast("bigint").alias("para_idx"), "paragraph")
+
+
+def _cleaned(cleaner, unicode: bool) -> Query:
+    return lambda s, d: table(s, d, PARAGRAPHS, "para_id", "text").select("para_id", cleaner(F.col("text"), unicode=unicode).alias("cleaned"))
+
+
+def _corpus(s, d):
+    """The paragraph table written as the corpus CSV and loaded again, cleaned."""
+    rows = table(s, d, PARAGRAPHS, "filename", "year", "text").withColumn("skip_reason", F.lit(None).cast("string"))
+    path = fresh_path(s, "corpus-csv")
+    pages.write_corpus(rows, path)
+    return pages.load_corpus(s, path)
 
 
 def _null_model(pvalue: str) -> Query:
-    return lambda s, d: groups.permutation_test(docs(s, d), LEFT, RIGHT, 50, pvalue).select(
+    return lambda s, d: groups.permutation_test_ranked(docs(s, d), LEFT, RIGHT, 50, pvalue).select(
         "topic", *[F.round(c, 9).alias(c.lower()) for c in (LEFT, RIGHT, "abs_difference", "p_value")], "significant")
 
 
@@ -111,8 +128,8 @@ def _keywords(s, d, n=10):
 
 
 def _words_of_topics(s, d):
-    """(tokens, keywords), each read several times by the coherence measures and so set down once."""
-    tokens = materialize(topic_tokens(s, d), "tokens")
+    """(tokens, keywords); the keywords are few, read several times by the coherence measures, and so set down once."""
+    tokens = topic_tokens(s, d)
     return tokens, materialize(topics.top_terms(topics.class_tf_idf(topics.term_counts(tokens)), 10), "keywords")
 
 
@@ -120,8 +137,11 @@ def _umass(s, d):
     return topics.umass_pairs(*_words_of_topics(s, d), "doc_id")
 
 
-def _umass_scores(s, d, fallback=None):
+def _umass_scores(s, d, fallback=None, first=None):
+    """``first``: the measure over so many documents only, the first by id, as the measure may be stated."""
     tokens, words = _words_of_topics(s, d)
+    if first is not None:
+        tokens = topics.first_documents(tokens, "doc_id", first)
     return topics.coherence_umass(topics.umass_pairs(tokens, words, "doc_id"), words, fallback)
 
 
@@ -135,7 +155,7 @@ def _page_table(s, d):
     """Files of the paragraph table stood up as page texts, read back by the page reader."""
     p = table(s, d, PARAGRAPHS, "filename", "page_num", "text").where("text is not null")
     per_page = p.groupBy("filename", "page_num").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text"))
-    return pages.page_paragraphs(per_page)
+    return pages.page_paragraphs(per_page, language.detect_language)
 
 
 def _corpus_stats(s, d):
@@ -162,9 +182,22 @@ def _ngram_vocabulary(s, d):
     return topics.vocabulary_filter(topics.term_counts(grams), 5, 0.95)
 
 
+def _over_time_lines(s, d):
+    """The rows of the ten most frequent topics with their names, a line each."""
+    rows = charts.top_lines(trends.topics_over_time(docs(s, d), "year", 20), 10)
+    return groups.labels(rows, names(s, d)).select("topic", "label", F.round("timestamp", 6).alias("timestamp"), "frequency")
+
+
+def _over_time_years(s, d):
+    """Topics by month of arrival over years, at timestamps."""
+    rows = docs(s, d).withColumn("stamp", periods.year_start(F.col("year")))
+    return rows.where("topic is not null").groupBy("topic", F.col("stamp").cast("string").alias("stamp"), periods.timestamp_year(F.col("stamp"), "timestamp_ntz").alias("year")).agg(
+        F.count(F.lit(1)).alias("frequency"))
+
+
 def _significant(s, d):
     """The bars of the significant topics, with short labels."""
-    tested = groups.labels(groups.permutation_test(docs(s, d), LEFT, RIGHT, 50), names(s, d)).where("p_value <= 0.5")
+    tested = groups.labels(groups.permutation_test_ranked(docs(s, d), LEFT, RIGHT, 50), names(s, d)).where("p_value <= 0.5")
     return tested.select(text.short_label(F.col("topic"), F.col("label"), 20).alias("bar"), F.round("abs_difference", 9).alias("abs_difference"), "significant")
 
 
@@ -193,6 +226,13 @@ def _topic_model(s, d):
     return fitted.topic_info
 
 
+def _assigned(s, d):
+    """A model of the documents gives the paragraphs, which it has not seen, their topics."""
+    fitted = model.fit(table(s, d, "documents", "doc_id", "text"), "doc_id", k=20, seeds=table(s, d, "seed_topics"), min_topic_size=10)
+    found = fitted.transform(table(s, d, PARAGRAPHS, F.col("para_id").alias("doc_id"), "text"))
+    return found.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prob"), 6).alias("mean_prob"))
+
+
 def _guided(s, d):
     v = table(s, d, "embeddings")
     seeds = vectors.centroids(v, "label").withColumnRenamed("label", "seed_id")
@@ -200,16 +240,34 @@ def _guided(s, d):
     return pulled.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
 
 
+def _report(s, d):
+    coherence = topics.coherence_cv(*_words_of_topics(s, d), "doc_id").withColumn("score", F.round("score", 6))
+    return report.summary(
+        significance=groups.permutation_test_ranked(docs(s, d), LEFT, RIGHT, 50), coherence=coherence,
+        shift=_difference(s, d), similarity=_similarity_round(vectors.similarity_summary(grouped_vectors(s, d), LEFT, RIGHT)),
+        spikes=trends.focusing_events(panel_counts(s, d)), volatility=trends.volatility(panel_counts(s, d)))
+
+
 def _similarity_round(df):
     return df.select(*[F.round(c, 9).alias(c.lower()) if kind == "double" else F.col(c).alias(c.lower()) for c, kind in df.dtypes])
 
 
 def queries() -> dict[str, Query]:
     return {
-        "para_valid": lambda s, d: _paragraph_rules(s, d).where("skip_reason is null").select("doc_id", F.col("para_idx").cast("bigint").alias("para_idx"), "paragraph"),
+        "para_valid": _valid(),
+        "para_valid_ascii": _valid(unicode=False),
+        "para_valid_detected": _valid(language.detect_language),
+        "para_languages": lambda s, d: table(s, d, "documents", "doc_id", "text").select("doc_id", language.detect_language(F.col("text")).alias("language")),
         "para_skip_counts": lambda s, d: quality.skip_counts(_paragraph_rules(s, d)),
-        "corpus_clean": lambda s, d: table(s, d, PARAGRAPHS, "para_id", "text").select("para_id", text.corpus_clean(F.col("text"), unicode=False).alias("cleaned")),
-        "ocr_clean": lambda s, d: table(s, d, PARAGRAPHS, "para_id", "text").select("para_id", text.ocr_clean(F.col("text"), unicode=False).alias("cleaned")),
+        "corpus_clean": _cleaned(text.corpus_clean, True),
+        "corpus_clean_ascii": _cleaned(text.corpus_clean, False),
+        "ocr_clean": _cleaned(text.ocr_clean, True),
+        "ocr_clean_ascii": _cleaned(text.ocr_clean, False),
+        "corpus_load": lambda s, d: _corpus(s, d).select("filename", "year", "administration", F.col("text").alias("cleaned")),
+        "corpus_yearly": lambda s, d: pages.yearly_paragraphs(_corpus(s, d)),
+        "word_tokens": lambda s, d: table(s, d, PARAGRAPHS, "para_id", "text").select("para_id", F.array_join(text.letter_tokens(F.col("text")), " ").alias("tokens")),
+        "label_words": lambda s, d: names(s, d).select("topic", F.array_join(text.label_words(F.col("name")), "|").alias("words")),
+        "stop_words": lambda s, d: s.createDataFrame([(w,) for w in enhanced_stopwords()], "word string"),
         "year_from_filename": lambda s, d: table(s, d, "source_files", "filename").distinct().select("filename", text.year_from_filename(F.col("filename")).alias("year")),
         "period_label": lambda s, d: groups.value_counts(docs(s, d), "grp"),
         "period_share": lambda s, d: groups.value_counts(docs(s, d), "grp", normalize=True).select("grp", F.round("share", 9).alias("share")),
@@ -221,7 +279,7 @@ def queries() -> dict[str, Query]:
         "attention_extremes": lambda s, d: groups.extremes(_shift(s, d), "attention_shift", 5),
         "null_model_empirical": _null_model("empirical"),
         "null_model_add_one": _null_model("add_one"),
-        "null_model_by_counts": lambda s, d: groups.permutation_test_by_counts(docs(s, d), LEFT, RIGHT, 200, "add_one"),
+        "null_model_by_counts": lambda s, d: groups.permutation_test(docs(s, d), LEFT, RIGHT, 200, "add_one"),
         "topics_over_time_20": _over_time(20),
         "topics_over_time_yearly": _over_time("yearly"),
         "topics_over_time_quarterly": _over_time("quarterly"),
@@ -250,12 +308,16 @@ def queries() -> dict[str, Query]:
         "ngram_vocabulary": _ngram_vocabulary,
         "coherence_umass": lambda s, d: _umass_scores(s, d).select("topic", "measure", F.round("score", 6).alias("score")),
         "coherence_pairs": lambda s, d: _umass(s, d).select("topic", "term_i", "term_j", F.round("score", 6).alias("score")),
-        "coherence_cv": lambda s, d: topics.coherence_cv(*_words_of_topics(s, d), "doc_id"),
+        "coherence_umass_first": lambda s, d: _umass_scores(s, d, first=5_000).select("topic", "measure", F.round("score", 6).alias("score")),
+        "coherence_cv": lambda s, d: topics.coherence_cv(*_words_of_topics(s, d), "doc_id").select("topic", "measure", F.round("score", 6).alias("score")),
         "coherence_stats": lambda s, d: topics.coherence_statistics(_umass_scores(s, d, 0.01)).select(
             "measure", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")]),
         "topic_merge": _merged,
         "topic_hierarchy": _hierarchy,
         "topic_model": _topic_model,
+        "topic_assign": _assigned,
+        "chart_over_time": _over_time_lines,
+        "topics_by_year": _over_time_years,
         "kmeans_topics": lambda s, d: vectors.cluster(table(s, d, "embeddings"), "vec_id", 10),
         "pca_projection": lambda s, d: vectors.project(grouped_vectors(s, d), "vec_id", 2),
         "page_paragraphs": _page_table,
@@ -267,10 +329,7 @@ def queries() -> dict[str, Query]:
         "chart_topic_shift": lambda s, d: charts.grouped_bars(_difference(s, d), "label", ("trump", "biden"), "difference", 15),
         "chart_similarity": lambda s, d: charts.unpivoted(_similarity_round(vectors.similarity_summary(grouped_vectors(s, d), LEFT, RIGHT)), ("within_trump", "within_biden", "between")),
         "chart_volatility": lambda s, d: dated(charts.with_markers(trends.volatility(panel_counts(s, d)), "period", ("1997-01-20", "2001-01-20"))),
-        "summary_report": lambda s, d: s.createDataFrame(
-            [(i, x) for i, x in enumerate(report.summary(
-                shift=_difference(s, d), similarity=_similarity_round(vectors.similarity_summary(grouped_vectors(s, d), LEFT, RIGHT)),
-                spikes=trends.focusing_events(panel_counts(s, d)), volatility=trends.volatility(panel_counts(s, d))).split("\n"))], "line_no int, line string"),
+        "summary_report": lambda s, d: s.createDataFrame(list(enumerate(_report(s, d).split("\n"))), "line_no int, line string"),
     }
 
 
@@ -349,10 +408,29 @@ SELECT round(wa.within, 9) AS within_trump, round(wb.within, 9) AS within_biden,
   wa.n AS trump_documents, wb.n AS biden_documents FROM w wa, w wb, b WHERE wa.g = 'a' AND wb.g = 'b'"""
 
 
+# written out once more, so that it does not follow the list of the code
+_STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain "
+    "aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn "
+    "prepared publication suggested citation isbn report washington dc agreement review official views positions contents executive summary background overview "
+    "methodology appendix annex page section chapter paragraph figure table reference bibliography footnote note volume https www "
+    "january february march april may june july august september october november december jan feb mar apr jun jul aug sep oct nov dec month monthly quarter quarterly "
+    "annual annually year years fiscal fy 2016 2017 2018 2019 2020 2021 2022 2023 fy17 fy18 pennsylvania_ave de la les en des et le de_la du para dan pa za ke ali tes "
+    "primer wa ts ee tr ea ti te ie io ro sb fn aa uo ye na_na_na na na_na tbd 90_90 600 200 85 90 total number percent frequency details questionnaire respondents "
+    "procedure guidelines outreach budget procurement cooperative implemented").split()
+# a word is a chunk between other signs; joined words are none; an ending in an apostrophe is parted
+_WORDS_SQL = r"""list_transform(list_filter(flatten(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_./''’-]+'),
+  lambda c: regexp_split_to_array(c, '^[-./''’]+|[-./''’]{2,}|[-./''’]+$'))),
+  lambda w: regexp_full_match(w, '\p{L}{3,}([''’](s|re|ve|ll|d|m))?')), lambda w: regexp_replace(w, '[''’].*', ''))"""
+
+
 def _tokens_sql() -> str:
-    stop = ", ".join(f"'{w}'" for w in enhanced_stopwords())
+    stop = ", ".join(f"'{w.replace('_', ' ')}'" for w in _STOP)
     return "WITH " + _YEAR + f""",
-tok AS (SELECT doc_id, topic, list_filter(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}'), lambda w: NOT list_contains([{stop}], w)) AS tokens FROM docs WHERE text IS NOT NULL),
+tok AS (SELECT doc_id, topic, year, list_filter({_WORDS_SQL}, lambda w: NOT list_contains([{stop}], w)) AS tokens FROM docs WHERE text IS NOT NULL),
 tc AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic, unnest(tokens) AS term FROM tok WHERE topic IS NOT NULL) GROUP BY 1, 2),
 tw AS (SELECT topic, sum(tf) AS words FROM tc GROUP BY topic),
 tt AS (SELECT term, sum(tf) AS total FROM tc GROUP BY term),
@@ -362,48 +440,167 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, ter
 
 _PAIRS = """,
 kw AS (SELECT topic, term, rank FROM rk WHERE rank <= 10),
-dt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) WHERE term IN (SELECT term FROM kw)),
+base AS (SELECT * FROM tok WHERE {SOME}),
+dt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(tokens) AS term FROM base) WHERE term IN (SELECT term FROM kw)),
 dc AS (SELECT term, count(*) AS d FROM dt GROUP BY term),
 bc AS (SELECT x.term AS a, y.term AS b, count(*) AS d FROM dt x JOIN dt y USING (doc_id) GROUP BY 1, 2),
-up AS (SELECT i.topic, i.term AS term_i, j.term AS term_j, ln((coalesce(bc.d, 0) / (SELECT count(*) FROM tok)::DOUBLE + 1e-12) / (dc.d / (SELECT count(*) FROM tok)::DOUBLE)) AS score
-  FROM kw i JOIN kw j ON i.topic = j.topic AND i.rank > j.rank JOIN dc ON dc.term = j.term LEFT JOIN bc ON bc.a = i.term AND bc.b = j.term),
+up AS (SELECT i.topic, i.term AS term_i, j.term AS term_j, ln((coalesce(bc.d, 0) / (SELECT count(*) FROM base)::DOUBLE + 1e-12) / (dc.d / (SELECT count(*) FROM base)::DOUBLE)) AS score
+  FROM kw i JOIN kw j ON i.topic = j.topic AND i.rank > j.rank JOIN dc ON dc.term = j.term JOIN dc di ON di.term = i.term LEFT JOIN bc ON bc.a = i.term AND bc.b = j.term),
 um AS (SELECT topic, 'u_mass' AS measure, avg(score) AS score FROM kw LEFT JOIN up USING (topic) GROUP BY topic)
 """
-_S = r"[ \t\r\n]"
-
-
-def _replaced(column: str, steps: list[tuple[str, str]]) -> str:
+_CV = """,
+kw AS (SELECT topic, term FROM rk WHERE rank <= 10),
+placed AS (SELECT doc_id, tokens, unnest(range(greatest(len(tokens) - 109, 1))) AS w FROM tok WHERE len(tokens) > 0),
+held AS (SELECT doc_id, w, list_distinct(list_intersect(tokens[w + 1:w + 110], (SELECT list(DISTINCT term) FROM kw))) AS terms FROM placed),
+one AS (SELECT term, count(*) AS c FROM (SELECT unnest(terms) AS term FROM held) GROUP BY term),
+each AS (SELECT terms, unnest(terms) AS a FROM held),
+two AS (SELECT a, b, count(*) AS c FROM (SELECT a, unnest(terms) AS b FROM each) GROUP BY a, b),
+n AS (SELECT count(*)::DOUBLE AS n FROM placed),
+v AS (SELECT i.topic, i.term AS a, j.term AS b, coalesce(two.c, 0) / n AS p, x.c / n AS pa, y.c / n AS pb
+  FROM kw i JOIN kw j ON i.topic = j.topic JOIN one x ON x.term = i.term JOIN one y ON y.term = j.term LEFT JOIN two ON two.a = i.term AND two.b = j.term, n),
+m AS (SELECT topic, a, b, ln((p + 1e-12) / (pa * pb)) / -ln(p + 1e-12) AS v FROM v),
+t AS (SELECT topic, b, sum(v) AS t FROM m GROUP BY topic, b),
+c AS (SELECT topic, a, sum(v * t) / nullif(sqrt(sum(v * v)) * sqrt(sum(t * t)), 0) AS cosine FROM m JOIN t USING (topic, b) GROUP BY topic, a)
+SELECT topic, 'c_v' AS measure, round(CASE WHEN count(a) >= 2 THEN avg(cosine) END, 6) AS score FROM (SELECT DISTINCT topic FROM kw) LEFT JOIN c USING (topic) GROUP BY topic"""
+_WORDS_OVER_TIME = """,
+cell AS (SELECT topic, year AS period, term, count(*) AS tf FROM (SELECT topic, year, unnest(tokens) AS term FROM tok WHERE topic IS NOT NULL) GROUP BY 1, 2, 3),
+cw AS (SELECT topic, period, sum(tf) AS words FROM cell GROUP BY 1, 2),
+ct AS (SELECT term, sum(tf) AS total FROM cell GROUP BY term),
+lw AS (SELECT topic, period, term, (tf / words::DOUBLE * ln(1 + (SELECT avg(words) FROM cw) / total::DOUBLE) + weight) / 2 AS w
+  FROM cell JOIN cw USING (topic, period) JOIN ct USING (term) JOIN wt USING (topic, term)),
+ev AS (SELECT topic, period, term, coalesce((w + lag(w) OVER (PARTITION BY topic, term ORDER BY period)) / 2, w) AS w FROM lw),
+br AS (SELECT *, row_number() OVER (PARTITION BY topic, period ORDER BY round(w, 12) DESC, term) AS r FROM ev)
+SELECT topic, period, string_agg(term, ', ' ORDER BY r) AS words FROM br WHERE r <= 5 GROUP BY topic, period"""
+_NGRAMS = """,
+g AS (SELECT topic, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]),
+  list_transform(range(1, len(tokens) - 1), lambda i: tokens[i] || ' ' || tokens[i + 1] || ' ' || tokens[i + 2]))) AS term FROM tok WHERE topic IS NOT NULL),
+gc AS (SELECT topic, term, count(*) AS tf FROM g GROUP BY 1, 2),
+keep AS (SELECT term FROM gc GROUP BY term HAVING count(*) >= 5 AND count(*) <= (SELECT count(DISTINCT topic) FROM gc) * 0.95::DOUBLE)
+SELECT topic, term, tf FROM gc JOIN keep USING (term)"""
+_MERGE = """,
+nm AS (SELECT topic, sqrt(sum(weight * weight)) AS n FROM wt GROUP BY topic),
+sc AS (SELECT topic, term, weight / n AS w FROM wt JOIN nm USING (topic) WHERE n > 0),
+cs AS (SELECT a.topic AS a, b.topic AS b, sum(a.w * b.w) AS cosine FROM sc a JOIN sc b ON a.term = b.term AND a.topic <> b.topic GROUP BY 1, 2),
+reach(topic, other) AS (SELECT DISTINCT topic, topic FROM wt UNION SELECT r.topic, cs.b FROM reach r JOIN cs ON cs.a = r.other AND cosine > {LIMIT})
+SELECT topic, min(other) AS merged FROM reach GROUP BY topic"""
+
+
+# the classes of the two modes, written out: white space, digits, word characters
+_UNICODE = (r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"\p{Nd}", r"\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}")
+_ASCII = (r"[ \t\r\n]", "[0-9]", "A-Za-z0-9_")
+_WEB = r"http[s]?://(?:[a-zA-Z0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+
+
+def _replaced(column: str, steps: list[tuple[str, str]], space: str) -> str:
     for pattern, by in steps:
         column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
-    return f"trim(regexp_replace({column}, '{_S}+', ' ', 'g'))"
+    return f"trim(regexp_replace({column}, '{space}+', ' ', 'g'))"
 
 
-def _classes(pattern: str) -> str:
-    return pattern.replace("{S}", _S).replace("{W}", "A-Za-z0-9_").replace("'", "''")
+def _corpus_clean_sql(classes: tuple[str, str, str]) -> str:
+    s, d, _ = classes
+    steps = ["ISBN-: ----", "AID-OAA-A--", rf"{s}{{2,}}", r"\.{3,}", r"\([^)]*\)", rf"{d}+\.{d}+\.{d}+", rf"^{s}*{d}+\.", f"Figure {d}+", f"Table {d}+"]
+    return _replaced("text", [(p, " ") for p in steps], s)
 
 
-_RULES = r"""WITH p AS (SELECT doc_id, lang, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS para_idx,
-  regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '^[ \t\r\n\x0b\x0c]+|[ \t\r\n\x0b\x0c]+$', '', 'g') AS paragraph FROM documents WHERE text IS NOT NULL),
+def _ocr_clean_sql(classes: tuple[str, str, str], word: str) -> str:
+    """Word boundaries are spelt out: the sign before stays, and so does the one after; twice, as neighbours share it."""
+    s, d, w = classes
+    numbers = rf"(^|[^{word}])(?:{d}+(?:{s}*\|{s}*{d}+)+|{d}+($|[^{word}]))"
+    column = "text"
+    for pattern, by in ((numbers, r"\1\2"), (numbers, r"\1\2"), (rf"(^|[^{word}])(?:Figure|Table){s}*{d}+", r"\1"), (_WEB, ""), (rf"[{w}.-]+@[{w}.-]+\.[{w}]+", "")):
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return f"trim(regexp_replace({column}, '{s}+', ' ', 'g'))"
+
+
+_RULES_TEXT = r"""WITH {BEFORE}p AS (SELECT {KEYS}, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS para_idx,
+  regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '^{T}+|{T}+$', '', 'g') AS paragraph FROM {SOURCE} WHERE text IS NOT NULL),
+told AS (SELECT *, {LANG} AS language FROM p),
 r AS (SELECT *, CASE WHEN contains(paragraph, repeat('.', 147)) THEN 'table_of_contents' WHEN contains(paragraph, 'ACRONYMS AND ABBREVIATIONS') THEN 'acronyms'
   WHEN regexp_matches(paragraph, '[\x{0E00}-\x{0E7F}\x{0600}-\x{06FF}]') THEN 'non_latin'
-  WHEN len(regexp_split_to_array(regexp_replace(paragraph, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '[ \t\r\n]+')) < 10 THEN 'short_paragraph'
-  WHEN length(regexp_replace(paragraph, '[^0-9]', '', 'g')) / length(paragraph)::DOUBLE > 0.2::DOUBLE THEN 'too_many_numbers'
+  WHEN len(regexp_split_to_array(paragraph, '{S}+')) < 10 THEN 'short_paragraph'
+  WHEN length(regexp_replace(paragraph, '{ND}', '', 'g')) / length(paragraph)::DOUBLE > 0.2::DOUBLE THEN 'too_many_numbers'
   WHEN upper(paragraph) = paragraph AND lower(paragraph) <> paragraph THEN 'all_caps'
-  WHEN regexp_matches(paragraph, '^([0-9]+\.|[A-Z][a-z]+[ \t\r\n]*,|et al\.)') THEN 'references'
-  WHEN lang IN ('id', 'fr', 'es', 'ar', 'th') THEN 'unwanted_language' END AS skip_reason FROM p WHERE paragraph <> '')
+  WHEN regexp_matches(paragraph, '^({D}+\.|[A-Z][a-z]+{S}*,|et al\.)') THEN 'references'
+  WHEN language IN ('id', 'fr', 'es', 'ar', 'th') THEN 'unwanted_language' END AS skip_reason FROM told WHERE paragraph <> '')
 """
 
 
+def _rules_sql(unicode: bool = True, language: str = "lang", keys: str = "doc_id, lang", source: str = "documents", before: str = "") -> str:
+    space, digit, _ = _UNICODE if unicode else _ASCII
+    trim = space[:-1] + r"\x{1C}-\x{1F}]" if unicode else r"[ \t\r\n\x0b\x0c]"
+    space = space if unicode else trim
+    return _RULES_TEXT.replace("{T}", trim).replace("{S}", space).replace("{ND}", r"\P{Nd}" if unicode else "[^0-9]").replace("{D}", digit).replace(
+        "{LANG}", language).replace("{KEYS}", keys).replace("{SOURCE}", source).replace("{BEFORE}", before)
+
+
+# written out once more, as the stop words
+_FREQUENT = {
+    "en": "the of and to in is that for was with are this from were have has which their been not",
+    "fr": "le la les des et est dans une que pour qui sur pas par avec sont cette aux ont ses",
+    "es": "el los las del una por con para que se es en como más fue son sus esta este y",
+    "pt": "os das dos uma não com para que em ao pela pelo são foi mais seus também à às e",
+    "id": "yang dan di dengan untuk dari pada ini itu tidak dalam adalah akan oleh ke telah kepada juga sebagai para",
+    "de": "der die das und ist von mit den für nicht auf ein eine dem des sich als auch wird zu",
+}
+
+
+def _language_sql(column: str) -> str:
+    letters = f"len(regexp_extract_all({column}, '\\p{{L}}'))"
+    words = f"list_distinct(regexp_extract_all(lower({column}), '\\p{{L}}+'))"
+    hits = {k: "len(list_intersect({}, [{}]))".format(words, ", ".join(f"'{w}'" for w in v.split())) for k, v in _FREQUENT.items()}
+    most = f"greatest({', '.join(hits.values())})"
+    told = " ".join(f"WHEN {most} >= 2 AND {h} = {most} THEN '{k}'" for k, h in hits.items())
+    script = lambda r: f"len(regexp_extract_all({column}, '{r}')) * 4 > {letters}"
+    return (f"CASE WHEN {column} IS NULL OR {letters} = 0 THEN NULL WHEN {script('[\\x{0E00}-\\x{0E7F}]')} THEN 'th' WHEN {script('[\\x{0600}-\\x{06FF}]')} THEN 'ar' {told} END")
+
+
+def _report_sql() -> str:
+    panel = _full("panel", "coalesce(c.frequency, 0)")
+    top = lambda what, source, order, n: f"(SELECT list({what} ORDER BY {order}) FROM (SELECT * FROM {source} ORDER BY {order} LIMIT {n}))"
+    return f"""WITH sig AS ({_null_sql('(hits / 50::DOUBLE)')}), cv AS ({_tokens_sql() + _CV}), sim AS ({_similarity_sql("n2")}), df AS ({_DIFF} SELECT * FROM diff),
+sp AS (SELECT * FROM (WITH {_PANEL}, {panel}{_Z.replace("round(z, 6)", "z")})), vo AS (SELECT * FROM (WITH {_PANEL}, {panel} {_VOLATILITY})),
+lines AS (SELECT list_concat(['# Summary', '', '## Significance'],
+  [(SELECT count(*) FILTER (significant) || ' of ' || count(*) || ' topics differ significantly between the groups.' FROM sig)],
+  {top("printf('- topic %d: p = %.4f', topic, p_value)", "sig", "p_value, topic", 5)},
+  ['', '## Coherence', (SELECT printf('- mean c_v: %.4f', avg(score)) FROM cv)],
+  {top("printf('- topic %d: %.4f', topic, score)", "(SELECT * FROM cv WHERE score IS NOT NULL)", "score DESC, topic", 5)},
+  ['', '## Similarity'], (SELECT [printf('- within: %.4f and %.4f', within_trump, within_biden), printf('- between: %.4f', between),
+    printf('- ratio: %.2f', CASE WHEN between > 0 THEN (within_trump + within_biden) / 2 / between ELSE 'inf'::DOUBLE END),
+    CASE WHEN between <= 0 OR (within_trump + within_biden) / 2 / between > 1.1 THEN '- the groups differ in content' ELSE '- the groups are alike in content' END] FROM sim),
+  ['', '## Largest differences'], {top("printf('- %s: %.4f', label, difference)", "df", "difference DESC, label", 5)},
+  ['', '## Spikes'], {top("printf('- %d, %s: %.4f', topic, period, z)", "sp", "z DESC, topic", 5)},
+  ['', '## Most volatile periods'], {top("printf('- %s: %.4f', period, volatility)", "vo", "volatility DESC, period", 3)}) AS l)
+SELECT CAST(generate_subscripts(l, 1) - 1 AS INT) AS line_no, unnest(l) AS line FROM lines"""
+
+
 def oracle_sql() -> dict[str, str]:
-    reasons = ", ".join(f"('{r}')" for r in quality.REASONS)
+    reasons = ", ".join(f"('{r}')" for r in ("table_of_contents", "acronyms", "non_latin", "short_paragraph", "too_many_numbers", "all_caps", "references", "unwanted_language"))
+    valid = "SELECT doc_id, CAST(para_idx AS BIGINT) AS para_idx, paragraph FROM r WHERE skip_reason IS NULL"
+    pairs = _PAIRS.replace("{SOME}", "true")
+    clean = "SELECT para_id, {} AS cleaned FROM processed_paragraphs_filtered"
     seeds = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 c AS (SELECT label AS seed, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY 1, 2) GROUP BY 1),
 p AS (SELECT vec_id, seed, list_cosine_similarity(e, c) AS cosine FROM v CROSS JOIN c)
 SELECT vec_id, seed, round(cosine, 6) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, seed) = 1"""
     return {
-        "para_valid": _RULES + "SELECT doc_id, CAST(para_idx AS BIGINT) AS para_idx, paragraph FROM r WHERE skip_reason IS NULL",
-        "para_skip_counts": _RULES + f"SELECT d.skip_reason, count(r.doc_id) AS n FROM (VALUES {reasons}) d(skip_reason) LEFT JOIN r USING (skip_reason) GROUP BY 1",
-        "corpus_clean": "SELECT para_id, " + _replaced("text", [(_classes(p), " ") for p in text.CORPUS_REMOVALS]) + " AS cleaned FROM processed_paragraphs_filtered",
+        "para_valid": _rules_sql() + valid,
+        "para_valid_ascii": _rules_sql(False) + valid,
+        "para_valid_detected": _rules_sql(language=_language_sql("paragraph")) + valid,
+        "para_languages": "SELECT doc_id, " + _language_sql("text") + " AS language FROM documents",
+        "para_skip_counts": _rules_sql() + f"SELECT d.skip_reason, count(r.doc_id) AS n FROM (VALUES {reasons}) d(skip_reason) LEFT JOIN r USING (skip_reason) GROUP BY 1",
+        "corpus_clean": clean.format(_corpus_clean_sql(_UNICODE)),
+        "corpus_clean_ascii": clean.format(_corpus_clean_sql(_ASCII)),
+        "ocr_clean": clean.format(_ocr_clean_sql(_UNICODE, _UNICODE[2])),
+        "ocr_clean_ascii": clean.format(_ocr_clean_sql(_ASCII, r"\p{L}\p{Nd}_")),
+        "corpus_load": f"""WITH c AS (SELECT filename, TRY_CAST(trim(year) AS DOUBLE) AS yd, CASE WHEN text IS NULL OR text IN ('', 'NA', 'N/A', 'null', 'NULL', 'NaN', 'nan', 'None') THEN 'nan' ELSE text END AS text
+FROM processed_paragraphs_filtered) SELECT filename, CAST(yd AS INT) AS year, CASE WHEN yd >= 2021 THEN 'Biden' WHEN yd >= 2017 THEN 'Trump' ELSE 'Other' END AS administration,
+{_corpus_clean_sql(_UNICODE)} AS cleaned FROM c WHERE yd = floor(yd)""",
+        "corpus_yearly": "SELECT CAST(yd AS INT) AS year, count(*) AS num_paragraphs FROM (SELECT TRY_CAST(trim(year) AS DOUBLE) AS yd FROM processed_paragraphs_filtered) WHERE yd = floor(yd) GROUP BY 1",
+        "word_tokens": f"SELECT para_id, array_to_string({_WORDS_SQL}, ' ') AS tokens FROM processed_paragraphs_filtered",
+        "label_words": """SELECT topic, CASE WHEN len(string_split(name, '_')) > 2 THEN array_to_string(string_split(name, '_')[2:], '|')
+ELSE replace(regexp_replace(name, '^[^_]*_', ''), ' ', '|') END AS words FROM topic_info""",
+        "stop_words": "SELECT DISTINCT replace(unnest([" + ", ".join(f"'{w}'" for w in _STOP) + "]), '_', ' ') AS word",
         "year_from_filename": "SELECT DISTINCT filename, regexp_extract(filename, 'document_([0-9]{4})-', 1) AS year FROM source_files",
         "period_label": "WITH " + _YEAR + " SELECT grp, count(*) AS n FROM docs GROUP BY grp",
         "period_share": "WITH " + _YEAR + " SELECT grp, round(count(*) / (SELECT count(*) FROM docs)::DOUBLE, 9) AS share FROM docs GROUP BY grp",
@@ -438,12 +635,30 @@ SELECT label, period, coalesce(frequency, 0)::DOUBLE AS frequency FROM (SELECT D
         "balanced_sample": """SELECT vec_id, grp FROM (SELECT vec_id, CASE WHEN label < 5 THEN 'Trump' ELSE 'Biden' END AS grp FROM embeddings)
 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5('42|' || vec_id), vec_id) <= 100""",
         "seed_affinity": seeds,
+        "guided_vectors": f"""WITH nearest AS ({seeds}), v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT label AS seed, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT vec_id, CASE WHEN cosine > 0.2 THEN list_transform(list_zip(e, c), lambda p: p[1] * 0.75::DOUBLE + p[2] * 0.25::DOUBLE) ELSE e END AS g FROM v JOIN nearest USING (vec_id) JOIN c USING (seed))
+SELECT vec_id, round(sqrt(list_sum(list_transform(g, lambda x: x * x))), 6) AS norm FROM g""",
+        "chart_over_time": _bins_sql("20", """, top AS (SELECT topic FROM over_time GROUP BY topic ORDER BY sum(frequency) DESC, topic LIMIT 10)
+SELECT topic, coalesce(name, 'Topic ' || topic) AS label, round(ts, 6) AS timestamp, frequency FROM over_time JOIN top USING (topic) LEFT JOIN topic_info USING (topic)"""),
+        "topics_by_year": "WITH " + _YEAR + " SELECT topic, year || '-01-01 00:00:00' AS stamp, year, count(*) AS frequency FROM docs WHERE topic IS NOT NULL GROUP BY topic, year",
+        "page_paragraphs": _rules_sql(language=_language_sql("paragraph"), keys="filename, page_num", source="pages",
+            before="""pages AS (SELECT filename, page_num, string_agg(text, chr(10) || chr(10) ORDER BY text) AS text FROM processed_paragraphs_filtered WHERE text IS NOT NULL GROUP BY 1, 2),
+""") + "SELECT filename, page_num, CAST(para_idx AS INT) AS para_idx, regexp_extract(filename, 'document_([0-9]{4})-', 1) AS year, paragraph AS text, skip_reason FROM r",
+        "chart_topic_shift": _DIFF + ", b AS (SELECT * FROM diff ORDER BY difference DESC, label LIMIT 15) SELECT label, 'trump' AS series, trump AS value FROM b UNION ALL SELECT label, 'biden', biden FROM b",
+        "chart_similarity": f"""WITH s AS ({_similarity_sql("n2")}) SELECT 'within_trump' AS measure, within_trump AS value FROM s UNION ALL SELECT 'within_biden', within_biden FROM s
+UNION ALL SELECT 'between', between FROM s""",
         "seed_terms": "SELECT seed_id, unnest(terms) AS term FROM seed_topics",
         "ctfidf_terms": _tokens_sql() + " SELECT topic, CAST(rank AS INT) AS rank, term, round(weight, 9) AS weight FROM rk WHERE rank <= 4",
         "topic_labels": _tokens_sql() + " SELECT topic, topic || '_' || string_agg(term, '_' ORDER BY rank) AS name FROM rk WHERE rank <= 4 GROUP BY topic",
-        "coherence_pairs": _tokens_sql() + _PAIRS + "SELECT topic, term_i, term_j, round(score, 6) AS score FROM up",
-        "coherence_umass": _tokens_sql() + _PAIRS + "SELECT topic, measure, round(score, 6) AS score FROM um",
-        "coherence_stats": _tokens_sql() + _PAIRS + """SELECT measure, round(avg(coalesce(score, 0.01)), 6) AS mean, round(median(coalesce(score, 0.01)), 6) AS median,
+        "coherence_cv": _tokens_sql() + _CV,
+        "coherence_umass_first": _tokens_sql() + _PAIRS.replace("{SOME}", "doc_id IN (SELECT doc_id FROM tok ORDER BY doc_id LIMIT 5000)") + "SELECT topic, measure, round(score, 6) AS score FROM um",
+        "topic_words_over_time": _tokens_sql() + _WORDS_OVER_TIME,
+        "ngram_vocabulary": _tokens_sql() + _NGRAMS,
+        "topic_merge": _tokens_sql().replace("WITH ", "WITH RECURSIVE ", 1) + _MERGE.replace("{LIMIT}", "0.9::DOUBLE"),
+        "coherence_pairs": _tokens_sql() + pairs + "SELECT topic, term_i, term_j, round(score, 6) AS score FROM up",
+        "coherence_umass": _tokens_sql() + pairs + "SELECT topic, measure, round(score, 6) AS score FROM um",
+        "coherence_stats": _tokens_sql() + pairs + """SELECT measure, round(avg(coalesce(score, 0.01)), 6) AS mean, round(median(coalesce(score, 0.01)), 6) AS median,
 round(stddev_samp(coalesce(score, 0.01)), 6) AS std FROM um GROUP BY measure""",
         "attention_pivot": "WITH " + _SHARES + " SELECT topic, n_l AS trump, n_r AS biden, n - n_l - n_r AS other FROM g",
         "spikes_top15": "WITH " + _PANEL + ", " + _full("panel", "coalesce(c.frequency, 0)") + _Z + " ORDER BY 4 DESC, topic, period LIMIT 15",
@@ -451,6 +666,7 @@ round(stddev_samp(coalesce(score, 0.01)), 6) AS std FROM um GROUP BY measure""",
         f"FROM (SELECT t.*, coalesce(name, 'Topic ' || topic) AS label FROM ({_null_sql('(hits / 50::DOUBLE)')}) t LEFT JOIN topic_info USING (topic)) WHERE p_value <= 0.5",
         "chart_topic_terms": _tokens_sql() + """, big AS (SELECT topic FROM docs WHERE topic IS NOT NULL GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 15)
 SELECT topic, CAST(rank AS INT) AS rank, term, round(weight, 9) AS weight FROM rk JOIN big USING (topic) WHERE rank <= 10""",
+        "summary_report": _report_sql(),
         "chart_volatility": "WITH " + _PANEL + ", " + _full("panel", "coalesce(c.frequency, 0)") + f""", v AS ({_VOLATILITY})
 SELECT period, volatility, CAST((SELECT count(*) FROM (VALUES ('1997-01-20'), ('2001-01-20')) m(x) WHERE x <= period) AS INT) AS era FROM v""",
     }

@@ -25,7 +25,7 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet", sin
     if fmt == "csv":
         nested = [c for c, kind in out.dtypes if kind.startswith(("array", "map", "struct"))]
         out = out.withColumns({c: F.to_json(c) for c in nested}) if nested else out
-        out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        out.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         out.write.mode("overwrite").parquet(path)
     return path

@@ -1,3 +1,7 @@
+import struct
+import zlib
+from xml.etree import ElementTree
+
 import math
 
 import numpy as np
@@ -31,16 +35,16 @@ def test_missing_group_and_empty_table(spark):
     assert [(r.L, r.R) for r in groups.topic_difference(df, "L", "R").collect()] == [(1.0, 0.0)]
     empty = grouped(spark, [(1, "L")]).where("false")
     assert groups.topic_difference(empty, "L", "R").count() == 0
-    assert groups.permutation_test(empty, "L", "R", 5).count() == 0
+    assert groups.permutation_test_ranked(empty, "L", "R", 5).count() == 0
     assert trends.evolution(counts(spark, [(1, 1, 1)]).where("false")).count() == 0
 
 
 def test_p_values(spark):
     df = grouped(spark, [(1, "L")] * 12 + [(2, "R")] * 12)
-    a = {r.topic: r.p_value for r in groups.permutation_test(df, "L", "R", 50).collect()}
-    b = {r.topic: r.p_value for r in groups.permutation_test(df, "L", "R", 50, "add_one").collect()}
+    a = {r.topic: r.p_value for r in groups.permutation_test_ranked(df, "L", "R", 50).collect()}
+    b = {r.topic: r.p_value for r in groups.permutation_test_ranked(df, "L", "R", 50, "add_one").collect()}
     assert a == {1: 0.0, 2: 0.0} and b == pytest.approx({1: 1 / 51, 2: 1 / 51})
-    c = {r.topic: r.p_value for r in groups.permutation_test_by_counts(df, "L", "R", 50, "add_one").collect()}
+    c = {r.topic: r.p_value for r in groups.permutation_test(df, "L", "R", 50, "add_one").collect()}
     assert c == pytest.approx(b)
 
 
@@ -48,8 +52,8 @@ def test_both_permutation_plans_agree(spark):
     rng = np.random.default_rng(0)
     rows = [(int(t), "L" if x < 0.4 else "R" if x < 0.8 else "O") for t, x in zip(rng.integers(0, 4, 400), rng.random(400))]
     df = grouped(spark, rows)
-    a = {r.topic: r.p_value for r in groups.permutation_test(df, "L", "R", 200).collect()}
-    b = {r.topic: r.p_value for r in groups.permutation_test_by_counts(df, "L", "R", 2000).collect()}
+    a = {r.topic: r.p_value for r in groups.permutation_test_ranked(df, "L", "R", 200).collect()}
+    b = {r.topic: r.p_value for r in groups.permutation_test(df, "L", "R", 2000).collect()}
     assert all(abs(a[t] - b[t]) < 0.13 for t in a)
 
 
@@ -177,8 +181,30 @@ def test_report_states_only_what_it_was_given(spark):
 
 
 def test_chart_file(spark, tmp_path):
-    charts.write_html(spark.createDataFrame([("a", 1.0)], "label string, value double"), str(tmp_path / "c.html"), "bar", "label", "value")
-    assert '"mark": "bar"' in (tmp_path / "c.html").read_text()
+    df = spark.createDataFrame([("a </b>", 1.0, "x"), ("c", -2.0, "y"), ("d", None, "y")], "label string, value double, kind string")
+    for mark in ("bar", "line", "point", "cell"):
+        charts.write_html(df, str(tmp_path / "c.html"), mark, "label", "value", "value" if mark == "cell" else "kind", title="A < B")
+        page = (tmp_path / "c.html").read_text()
+        drawing = page[page.index("<svg"):page.index("</svg>") + 6]
+        root = ElementTree.fromstring(drawing)  # well-formed
+        shapes = [e for e in root if e.tag.split("}")[1] in ("rect", "polyline", "circle")]
+        assert len(shapes) == 2 and "A &lt; B" in page and "src=" not in page, mark
+    charts.write_html(df.where("false"), str(tmp_path / "e.html"), "bar", "label", "value")
+    with pytest.raises(ValueError, match="aggregate first"):
+        charts.write_html(spark.range(charts.MOST_ROWS + 1).selectExpr("id", "id as value"), str(tmp_path / "m.html"), "bar", "id", "value")
+
+
+def test_picture_of_bars(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", None)], "label string, value double")
+    assert charts.write_png(df, str(tmp_path / "c.png"), "label", "value")
+    data = (tmp_path / "c.png").read_bytes()
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (charts.WIDTH, charts.HEIGHT)
+    start = data.index(b"IDAT") + 4
+    raw = zlib.decompress(data[start:])
+    blue = [sum(raw[y * (3 * charts.WIDTH + 1) + 1 + 3 * x:][:3] == b"\x42\x69\xd0" for y in range(charts.HEIGHT)) for x in (200, 700)]
+    assert 2.9 < blue[1] / blue[0] < 3.1  # heights as the values
+    assert not charts.write_png(df.where("false"), str(tmp_path / "n.png"), "label", "value") and not (tmp_path / "n.png").exists()
+
 
 
 def test_clashing_columns_do_not_break(spark):

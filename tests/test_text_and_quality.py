@@ -1,10 +1,13 @@
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from paraloom.functions import periods, text
+from paraloom.functions import language, periods, text
 from paraloom.functions.stopwords import enhanced_stopwords
 from paraloom.operators import quality
 from paraloom.sources import pages
+from paraloom.sources.pdf import pdf_pages
 
 
 def column(spark, values, expression, kind="string"):
@@ -74,23 +77,105 @@ def test_paragraphs_trim_and_drop_empty(spark):
 
 
 def test_page_reader_isolates_errors(spark, tmp_path):
-    (tmp_path / "document_2019-05-01_A.pdf").write_bytes(("word " * 12 + "\f" + "x\n\n" + "term " * 11).encode())
-    (tmp_path / "bad.pdf").write_bytes(b"\xff\xfe\xff")
+    (tmp_path / "document_2019-05-01_A.pdf").write_bytes(("word " * 12 + "\f").encode() + b"\xff\xfe\xff" + ("\fx\n\n" + "term " * 11).encode())
+    (tmp_path / "bad.pdf").write_bytes(b"%PDF-1.4 trailer << /Encrypt 1 0 R >>")
     (tmp_path / "X.PDF").write_bytes(b"not listed")
     read = pages.read_pages(spark, str(tmp_path))
     rows = read.orderBy("filename", "page_num").collect()
-    assert [(r.filename, r.page_num) for r in rows] == [("bad.pdf", None), ("document_2019-05-01_A.pdf", 1), ("document_2019-05-01_A.pdf", 2)]
-    assert rows[0].error and not rows[1].error
+    assert [(r.filename, r.page_num, r.error is None) for r in rows] == [
+        ("bad.pdf", None, False), ("document_2019-05-01_A.pdf", 1, True), ("document_2019-05-01_A.pdf", 2, False), ("document_2019-05-01_A.pdf", 3, True)]
     found = pages.page_paragraphs(read)
-    assert {(r.year, r.skip_reason) for r in found.collect()} == {("2019", None), ("2019", "short_paragraph")}
+    assert {(r.page_num, r.year, r.skip_reason) for r in found.collect()} == {(1, "2019", None), (3, "2019", "short_paragraph"), (3, "2019", None)}
+
+
+def pdf(*pages_of_text, compress=True, object_stream=False, broken=()):
+    """A small PDF file: a page for each content stream."""
+    n = len(pages_of_text)
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>",
+             2: b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (10 + i) for i in range(n)) + b"] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>",
+             3: b"<< /Type /Font /Subtype /Type1 >>", 4: b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"}
+    plain |= {10 + i: b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (100 + i) for i in range(n)}
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0E01> endbfchar 2 beginbfrange <0002> <0004> <0061> <0005> <0006> [<00660069> <0078>] endbfrange"
+    streams = {5: cmap, **{100 + i: t for i, t in enumerate(pages_of_text)}}
+    out = b"%PDF-1.5\n"
+    if object_stream:
+        body, head = b"", b""
+        for number, value in plain.items():
+            head += b"%d %d " % (number, len(body))
+            body += value + b" "
+        data = zlib.compress(head + body)
+        out += b"90 0 obj << /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >> stream\n" % (len(plain), len(head), len(data)) + data + b"\nendstream endobj\n"
+    else:
+        out += b"".join(b"%d 0 obj %s endobj\n" % x for x in plain.items())
+    for number, data in streams.items():
+        data, about = (zlib.compress(data), b"/Filter /FlateDecode ") if compress else (data, b"")
+        data = b"not deflated" if number - 100 in broken else data
+        out += b"%d 0 obj << %s/Length %d >> stream\n" % (number, about, len(data)) + data + b"\nendstream endobj\n"
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+FIRST = rb"BT /F1 10 Tf 14 TL 72 700 Td (The ministry \(of health\)) Tj T* (found that \163upply) Tj 0 -30 Td [(had im) -20 (proved) -300 (since)] TJ ET"
+SECOND = rb"BT /F2 10 Tf 1 0 0 1 72 700 Tm <00010002000300040005> Tj 1 0 0 1 90 700 Tm <0006> Tj ET"
+
+
+@pytest.mark.parametrize("how", [{}, {"compress": False}, {"object_stream": True}])
+def test_text_layer_of_pdf_files(how):
+    got = list(pdf_pages(pdf(FIRST, SECOND, b"", **how)))
+    assert got == ["The ministry (of health)\nfound that supply\n\nhad improved since", "\u0e01abcfi x", ""]
+
+
+def test_a_page_that_cannot_be_read_leaves_the_others():
+    got = list(pdf_pages(pdf(FIRST, SECOND, FIRST, broken=(1,))))
+    assert got[0] == got[2] and isinstance(got[1], Exception)
+    with pytest.raises(ValueError, match="no PDF"):
+        list(pdf_pages(b"text"))
+
+
+def test_corpus_is_built_and_loaded(spark, tmp_path, caplog):
+    long = b"BT /F1 10 Tf 72 700 Td (" + b"the ministry of health found that supply of the nets was better (1.2.3) than it had been " * 2 + rb") Tj ET"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "document_2019-05-01_A.pdf").write_bytes(pdf(long, rb"BT /F1 10 Tf 72 700 Td (too short) Tj ET", long, broken=(2,)))
+    (tmp_path / "in" / "document_2022-05-01_B.pdf").write_bytes(pdf(long.replace(b"the", b"le").replace(b"of", b"des").replace(b"was", b"est").replace(b"that", b"que")))
+    (tmp_path / "in" / "other.pdf").write_bytes(pdf(long))
+    with caplog.at_level("INFO", "paraloom.pages"):
+        built = pages.build_corpus(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {r.skip_reason: r.n for r in built.counts.where("n > 0").collect()} == {"short_paragraph": 1, "unwanted_language": 1}
+    assert [(r.filename, r.page_num) for r in built.errors.collect()] == [("document_2019-05-01_A.pdf", 3)]
+    assert "5 pages, 1 not read" in caplog.text and "short_paragraph: 1 paragraphs" in caplog.text
+    loaded = pages.load_corpus(spark, str(tmp_path / "out"))
+    rows = loaded.collect()
+    assert [(r.filename, r.year, r.administration) for r in rows] == [("document_2019-05-01_A.pdf", 2019, "Trump")] and "1.2.3" not in rows[0].text
+    assert [tuple(r) for r in pages.yearly_paragraphs(loaded).collect()] == [(2019, 1)]
+
+
+def test_languages_by_script_and_words(spark):
+    texts = ["the supply of nets in the wards was for all", "le pays et les villages des environs", "el agua de los pueblos y las escuelas con más", "yang dan di dengan untuk desa",
+             "o estado das escolas não foi mais que uma", "der Stand und die Lage mit den Schulen", "\u0e01\u0e02\u0e03 text", "\u0642\u0627\u0645\u062a", "12 34", "", None, "Kandor Pimar"]
+    assert column(spark, texts, language.detect_language) == ["en", "fr", "es", "id", "pt", "de", "th", "ar", None, None, None, None]
+
+
+def test_unicode_and_ascii_classes(spark):
+    wide = "one\u00a0two\u3000three four five six seven eight nine ten"
+    df = spark.createDataFrame([(wide,), ("\u0661\u0662\u0663\u0664 " * 10 + wide,), ("Word\u3000, and then " + wide,)], "paragraph string")
+    reasons = lambda u: [r[0] for r in quality.with_reason(df, unicode=u).select("skip_reason").collect()]
+    assert reasons(True) == [None, "non_latin", "references"] and reasons(False) == ["short_paragraph", "non_latin", None]
+    got = column(spark, ["a \u0967\u0968 b \u00e9@x.org", "a 12 | 13abc"], text.ocr_clean)
+    assert got == ["a b", "a abc"] and column(spark, ["a \u0967 b"], lambda c: text.ocr_clean(c, unicode=False)) == ["a \u0967 b"]
+    spaced = spark.createDataFrame([(1, "\u00a0a\u2003\n\n\u3000")], "doc_id int, text string")
+    assert [r.paragraph for r in quality.paragraphs(spaced).collect()] == ["a"]
+
+
+def test_tokens_are_words_of_letters_only(spark):
+    got = column(spark, ["COVID-19 and/or well-known (nets), ministry's don't e.g. U.S. 'beds' x--pumps.", "naïve café2 été", None], text.letter_tokens)
+    assert got == [["nets", "ministry", "beds", "pumps"], ["naïve", "été"], None]
 
 
 def test_corpus_csv_round_trip(spark, tmp_path):
-    rows = [("document_2019-01-01_A.pdf", "2019", 'say "hi", twice\nand on'), ("b.pdf", "", "no year"), ("document_2020-01-01_C.pdf", "2020", "NA")]
+    rows = [("document_2019-01-01_A.pdf", "2019", ' say "hi", twice\nand on '), ("b.pdf", "", "no year"), ("document_2020-01-01_C.pdf", "2020", "NA")]
     df = spark.createDataFrame([(*r, None) for r in rows], "filename string, year string, text string, skip_reason string")
     pages.write_corpus(df, str(tmp_path / "csv"))
     got = {(r.filename, r.year, r.text) for r in pages.read_corpus(spark, str(tmp_path / "csv")).collect()}
-    assert got == {("document_2019-01-01_A.pdf", 2019, 'say "hi", twice\nand on'), ("document_2020-01-01_C.pdf", 2020, "nan")}
+    assert got == {("document_2019-01-01_A.pdf", 2019, ' say "hi", twice\nand on '), ("document_2020-01-01_C.pdf", 2020, "nan")}
     with pytest.raises(Exception):
         pages.read_corpus(spark, str(tmp_path / "csv"), bad_year="fail").collect()
 
