@@ -19,16 +19,21 @@ def topic_period_counts(df: DataFrame, topic: str = "topic", period: str = "peri
         F.col(topic).alias("topic"), F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def topics_over_time(df: DataFrame, x: str, bins: int | str = 20) -> DataFrame:
-    """(topic, timestamp, frequency) in right-closed bins of equal width, named by their left edges.
+def bin_edges(rows: DataFrame, x: str, bins: int | str = 20) -> DataFrame:
+    """(edges), one row: right-closed bins of equal width over the span of ``x``.
 
     ``bins``: a number, ``yearly`` (one a year of the span) or ``quarterly`` (four).
     """
-    rows = df.where(F.col("topic").isNotNull() & F.col(x).isNotNull())
     span = rows.agg(F.min(x).cast("double").alias("low"), F.max(x).cast("double").alias("high"))
     years = F.greatest(F.col("high") - F.col("low") + 1, F.lit(1))
     n = F.lit(bins) if isinstance(bins, int) else (years * {"yearly": 1, "quarterly": 4}[bins]).cast("int")
-    edges = span.select(equal_width_edges(F.col("low"), F.col("high"), n).alias("edges"))
+    return span.select(equal_width_edges(F.col("low"), F.col("high"), n).alias("edges"))
+
+
+def topics_over_time(df: DataFrame, x: str, bins: int | str = 20) -> DataFrame:
+    """(topic, timestamp, frequency) in the bins of ``bin_edges``, named by their left edges."""
+    rows = df.where(F.col("topic").isNotNull() & F.col(x).isNotNull())
+    edges = bin_edges(rows, x, bins)
     # bin the distinct values, not the documents
     narrow = rows.groupBy("topic", x).agg(F.count(F.lit(1)).alias("n"))
     binned = narrow.crossJoin(F.broadcast(edges)).withColumn("timestamp", bin_left(F.col(x).cast("double"), F.col("edges")))
