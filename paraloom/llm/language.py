@@ -5,8 +5,9 @@ trained by stochastic gradient descent in numpy.  The classifier is fitted on a
 bounded sample of the delivered labels (``PER_LANGUAGE`` rows of each language,
 chosen by hash over the whole table); since these labels are partly wrong,
 sentences whose function words contradict the label are left out, the first fit
-drops those it contradicts itself, and the second fit is the one kept.  Confidences are calibrated by a temperature on held-out sentences,
-and a sentence under the calibrated limit is ``und``.
+drops those it contradicts itself, and the second fit is the one kept.
+Confidences are calibrated by a temperature on held-out sentences, which neither
+fit has seen or chosen, and a sentence under the calibrated limit is ``und``.
 
 As the classifier is linear, the logits of a sentence are the mean of its
 words' logits, so each task keeps a table of word logits and touches no subword
@@ -209,7 +210,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     model = LanguageModel(*_sgd([features[i] for i in train], y[train], seed))
     p = model.probabilities(sentences)
     keep = p[np.arange(len(y)), y] > 0.3  # labels that the rest of the sample contradicts are left out
-    train, test = np.flatnonzero(~held & keep), np.flatnonzero(held & keep)
+    train, test = np.flatnonzero(~held & keep), np.flatnonzero(held)  # no model has chosen what is held out
     model = LanguageModel(*_sgd([features[i] for i in train], y[train], seed + 1))
     if len(test):
         def loss(t):

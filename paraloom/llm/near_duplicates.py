@@ -521,9 +521,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(df: DataFrame, similar: Similar, key: str = "para_id", text: str = "text") -> DataFrame:
-    """(key, class, group, n_links): one row per row; ``group`` is the smallest class of its component."""
-    degree = similar.links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    members = df.select(F.col(key), F.when(F.col(text).isNotNull(), class_of(F.col(text), similar.clashing)).alias("class"))
-    roots = components(similar.links).select(F.col("id").alias("class"), "root")
-    return members.join(roots, "class", "left").join(degree, "class", "left").select(
-        key, "class", F.coalesce("root", "class").alias("group"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    """(key, class, group, n_links): one row per row.
+
+    ``class`` is the smallest key of the rows of that text, ``group`` that of its
+    component, ``n_links`` the number of other classes it is linked with.  Rows
+    without a text are by themselves.
+    """
+    members = df.select(F.col(key).alias("key"), F.when(F.col(text).isNotNull(), class_of(F.col(text), similar.clashing)).alias("hash"))
+    degree = similar.links.select(F.explode(F.array("a", "b")).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = components(similar.links).select(F.col("id").alias("hash"), "root")
+    # copies and linked texts are few beside all rows: only they are looked up
+    first = members.join(similar.copies.select(F.col("class").alias("hash")).unionByName(roots.select("hash")).distinct(), "hash", "left_semi").groupBy("hash").agg(F.min("key").alias("first"))
+    of_root = roots.join(first, "hash").groupBy("root").agg(F.min("first").alias("group"))
+    known = first.join(roots, "hash", "left").join(of_root, "root", "left").join(degree, "hash", "left").select("hash", "first", "group", "n_links")
+    known = materialize(known, "classes")
+    return members.join(known, "hash", "left").select(
+        F.col("key").alias(key), F.coalesce("first", "key").alias("class"), F.coalesce("group", "first", "key").alias("group"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -142,6 +142,21 @@ SELECT para_id_a, para_id_b FROM o JOIN n x ON x.para_id = para_id_a JOIN n y ON
 """
 
 
+P5_GROUPS = r"""
+WITH RECURSIVE w AS (SELECT text, min(para_id) AS class, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM processed_paragraphs_filtered WHERE text IS NOT NULL GROUP BY text),
+p AS (SELECT class, w, unnest(range(1, len(w) - 3)) AS i FROM w),
+g AS (SELECT DISTINCT class, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+n AS (SELECT class, count(*) AS n FROM g GROUP BY class),
+o AS (SELECT a.class AS a, b.class AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.class <> b.class GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.class = a JOIN n y ON y.class = b WHERE o >= 0.8::DOUBLE * (x.n + y.n - o) - 1e-9),
+r(class, other) AS (SELECT class, class FROM w UNION SELECT r.class, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT class, min(other) AS grp FROM r GROUP BY class),
+d AS (SELECT a AS class, count(*) AS n_links FROM l GROUP BY a)
+SELECT para_id, coalesce(w.class, para_id) AS class, coalesce(grp, para_id) AS "group", coalesce(n_links, 0) AS n_links
+FROM processed_paragraphs_filtered t LEFT JOIN w ON w.text = t.text LEFT JOIN c ON c.class = w.class LEFT JOIN d ON d.class = w.class
+"""
+
+
 # Problem 6 ------------------------------------------------------------------
 
 def _term_store(spark: SparkSession, folder: str) -> term_counts.TermCountStore:
@@ -186,7 +201,7 @@ P6_FOUND = _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL"
 # Problem 7 ------------------------------------------------------------------
 
 def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return distinctive.term_scores(table(spark, folder, PARAGRAPHS, "para_id", "text"))
+    return distinctive.term_scores(table(spark, folder, PARAGRAPHS, "para_id", "text")).withColumn("score", F.round("score", 5))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,6 +214,23 @@ P7_FOUND = _TERMS + """, f AS (SELECT para_id, term, count(*) AS tf FROM t GROUP
 SELECT para_id, term FROM f JOIN c USING (term) WHERE tf >= 3 AND records <= 4"""
 
 
+# the mixture of every term by 40 rounds over its histogram, all records without the term in one cell
+P7_SCORES = _TERMS.replace("WITH p", "WITH RECURSIVE p", 1) + """, f AS (SELECT para_id, term, count(*) AS tf FROM t GROUP BY para_id, term),
+h AS (SELECT term, tf::DOUBLE AS x, count(*)::DOUBLE AS n FROM f GROUP BY term, tf UNION ALL SELECT term, 0, (SELECT count(*) FROM p) - records FROM c),
+s AS (SELECT term, sum(n) AS total, sum(n) FILTER (x > 0) AS records, sum(n * x) AS occ, max(x) AS top FROM h GROUP BY term),
+em(k, term, share, low, high) AS (
+  SELECT 0, term, least(greatest(records / total * 0.5::DOUBLE, 1e-9), 0.5::DOUBLE), greatest(occ / total * 0.5::DOUBLE, 1e-9),
+    greatest(occ / records, 0.5::DOUBLE * top, greatest(occ / total * 0.5::DOUBLE, 1e-9) * 4) FROM s
+  UNION ALL
+  SELECT k + 1, term, least(greatest(m1 / (m1 + m0), 1e-12), 1 - 1e-12::DOUBLE), least(lo, hi), greatest(lo, hi) * (1 + 1e-9::DOUBLE) FROM (
+    SELECT k, term, m1, m0, greatest(o1 / greatest(m1, 1e-12), 1e-8) AS hi, greatest(o0 / greatest(m0, 1e-12), 1e-9) AS lo FROM (
+      SELECT k, term, sum(e * n) AS m1, sum((1 - e) * n) AS m0, sum(e * n * x) AS o1, sum((1 - e) * n * x) AS o0 FROM (
+        SELECT k, term, n, x, 1 / (1 + exp(-least(greatest(ln(share / (1 - share)) + x * ln(high / low) - (high - low), -500), 500))) AS e FROM em JOIN h USING (term) WHERE k < 40)
+      GROUP BY k, term)))
+SELECT para_id, term, CAST(tf AS INT) AS tf, records, round(1 / (1 + exp(-least(greatest(ln(share / (1 - share)) + tf * ln(high / low) - (high - low), -500), 500))), 5) AS score
+FROM f JOIN c USING (term) JOIN em USING (term) WHERE k = 40"""
+
+
 # Problem 8 ------------------------------------------------------------------
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,4 +316,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p3_lines": P3_LINES, "p3_cleaned": P3_CLEANED, "p5_found": P5_FOUND, "p9_found": P9_FOUND, "p6_found": P6_FOUND, "p6_counts": P6_COUNTS, "p7_found": P7_FOUND}
+    return {"p3_found": P3_FOUND, "p3_lines": P3_LINES, "p3_cleaned": P3_CLEANED, "p5_found": P5_FOUND, "p9_found": P9_FOUND, "p6_found": P6_FOUND, "p6_counts": P6_COUNTS, "p5_groups": P5_GROUPS, "p7_found": P7_FOUND, "p7_scores": P7_SCORES}

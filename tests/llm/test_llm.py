@@ -353,7 +353,14 @@ def test_near_duplicates_by_brute_force(spark, width, least, min_words):
     got = [(r[0], r[1]) for r in near_duplicates.expand_pairs(df, similar).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, width, least, min_words)
     groups = {r.para_id: (r["group"], r.n_links) for r in near_duplicates.groups(df, similar).collect()}
-    assert len(groups) == len(rows) and groups[900] == (None, 0) and groups[902] == groups[903]
+    assert len(groups) == len(rows) and groups[900] == (900, 0) and groups[902] == groups[903] == groups[0]
+    pairs = brute_pairs([(i, t) for t, i in {t: i for i, t in reversed(rows)}.items()], width, least, min_words)
+    parent = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    first = {t: i for i, t in reversed(rows)}
+    assert all(groups[i][0] == (parent[first[t]] if t is not None else i) for i, t in rows)
 
 
 def fragment_pairs(entries, fragment, least=0.8):
@@ -457,6 +464,20 @@ def test_stretches_and_missing_labels(spark, model):
     assert language.language_stretches(df.where("false"), model).count() == 0
 
 
+def test_confidences_hold_on_other_sentences(model):
+    rng = random.Random(11)
+    sentences, labels = [], []
+    for lang, text in SAMPLES.items():
+        words = [w.lower() for w in language.LETTERS.findall(text)]
+        for _ in range(60):
+            sentences.append(rng.sample(words, min(len(words), rng.randrange(4, 9))))
+            labels.append(language.LANGUAGES.index(lang))
+    p = model.probabilities(sentences)
+    right, top = p.argmax(1) == np.array(labels), p.max(1)
+    assert right.mean() > 0.9 and abs(right.mean() - top.mean()) < 0.1  # as sure as it is right
+    assert right[top >= 0.9].mean() > 0.97 and (top >= model.limit)[right].mean() > 0.95
+
+
 def test_wrong_training_labels_do_not_win(model):
     assert model.accuracy > 0.95
     p = model.probabilities([[w.lower() for w in re.findall(r"[^\W\d_]+", SENTENCE)]])
