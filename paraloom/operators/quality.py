@@ -32,7 +32,7 @@ def trimmed(text: Column, unicode: bool = True) -> Column:
 
 def paragraphs(df: DataFrame, text: str = "text", separator: str = "\n\n", unicode: bool = True) -> DataFrame:
     """Adds ``para_idx`` and ``paragraph``: the trimmed, non-empty pieces of every text; null texts give none."""
-    pieces = df.select("*", F.posexplode(F.split(F.col(text), separator)).alias("para_idx", "_p"))
+    pieces = df.where(F.col(text).isNotNull()).select("*", F.posexplode(F.split(F.col(text), separator)).alias("para_idx", "_p"))
     return pieces.withColumn("paragraph", trimmed(F.col("_p"), unicode)).drop("_p").where(F.col("paragraph") != "")
 
 

@@ -1,9 +1,8 @@
+import math
 import struct
 import zlib
 from xml.etree import ElementTree
 
-import math
-
 import numpy as np
 import pandas as pd
 import pytest
