@@ -43,8 +43,8 @@ PER_LANGUAGE = 250
 LONGEST_SAMPLE = 100_000  # characters of a text that may be in the sample
 EPOCHS, RATE, BATCH = 5, 0.5, 16
 WORDS_KEPT = 300_000
-#: Thai marks no sentence ends; a stretch of this many characters holds two sentences or more.
-UNMARKED_PAIR = 112
+#: Characters of a sentence where none is marked, as long as fewer than ``LEAST_STRETCHES`` stretches tell it.
+UNMARKED, LEAST_STRETCHES = 80.0, 25
 
 SENTENCE_END = re.compile(r"[.!?؟]+[\"'”’)\]]*(?=\s)")
 THAI = re.compile(r"[฀-๿]")
@@ -101,6 +101,7 @@ class LanguageModel:
     temperature: float = 1.0
     limit: float = 0.5
     accuracy: float = 0.0
+    unmarked: float = UNMARKED
     _ids: dict = field(default_factory=dict, repr=False)
     _logits: list = field(default_factory=list, repr=False)
 
@@ -184,6 +185,28 @@ def supported(words: list[str], lang: str) -> bool:
     return hits[lang] > 0 and hits[lang] == max(hits.values())
 
 
+def unmarked_length(texts: list[str]) -> float:
+    """The length of a sentence in a script that marks none: whole stretches of it come in multiples of that length.
+
+    It is the one under which their lengths lie nearest to multiples, by its own measure.
+    """
+    lengths = []
+    for text in texts:
+        run = 0
+        for a, b in [*sentence_spans(text), (0, 0)]:
+            if THAI.search(text[a:b]):
+                run += len(text[a:b].strip())
+            elif run:
+                lengths.append(run)
+                run = 0
+    if len(lengths) < LEAST_STRETCHES:
+        return UNMARKED
+    x = np.array(lengths, float)
+    tried = np.arange(30.0, min(300.0, x.max()) + 1)
+    share = x[:, None] / tried
+    return float(tried[np.abs(share - np.maximum(np.round(share), 1)).mean(0).argmin()])
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     """Train on (language, text) rows; the function words of each language are added as a seed."""
     sentences, labels = [], []
@@ -227,6 +250,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
             model.limit = limit
             if right[top >= limit].mean() >= 0.998:
                 break
+    model.unmarked = unmarked_length([text for _, text in rows if THAI.search(text)])
     return model
 
 
@@ -245,7 +269,7 @@ def training_rows(paragraphs: DataFrame, labels: DataFrame, per_language: int =
     return [(r["lang"], r["text"]) for r in got.collect()]
 
 
-def stretches(text: str, spans, labels: list[str], confidences: list[float], words: list[int]):
+def stretches(text: str, spans, labels: list[str], confidences: list[float], words: list[int], unmarked: float = UNMARKED):
     """Sentences of one language in a row: (lang, start, end, sentences, confidence)."""
     out = []
     for (a, b), lang, conf, n in zip(spans, labels, confidences, words):
@@ -260,7 +284,7 @@ def stretches(text: str, spans, labels: list[str], confidences: list[float], wor
             out.append([lang, a, b, int(n >= 3), [conf]])
     for s in out:
         if s[0] == "th":
-            s[3] = max(s[3], 2 if len(text[s[1]:s[2]].strip()) >= UNMARKED_PAIR else 1)
+            s[3] = max(s[3], 1, round(len(text[s[1]:s[2]].strip()) / unmarked))
         s[4] = float(np.mean(s[4]))
     return out
 
@@ -286,7 +310,7 @@ def language_stretches(df: DataFrame, model: LanguageModel, key: str = "para_id"
                 at += len(s)
                 langs = [LANGUAGES[best[i]] if words[i] and conf[i] >= model.limit else "und" for i in part]
                 kind = text_quality.kind_of(t)
-                rows += [(key_, *x, kind) for x in stretches(t, s, langs, [float(conf[i]) for i in part], [len(words[i]) for i in part])]
+                rows += [(key_, *x, kind) for x in stretches(t, s, langs, [float(conf[i]) for i in part], [len(words[i]) for i in part], model.unmarked)]
             columns = list(zip(*rows)) or [[]] * 7
             types = [batch.schema.types[0], pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types)],

@@ -464,6 +464,14 @@ def test_stretches_and_missing_labels(spark, model):
     assert language.language_stretches(df.where("false"), model).count() == 0
 
 
+def test_length_of_unmarked_sentences_is_learnt():
+    rng = random.Random(1)
+    sentence = lambda: "ก" * rng.randrange(54, 67)
+    texts = [SENTENCE + " " + " ".join(sentence() for _ in range(rng.randrange(1, 5))) + " " + SENTENCE for _ in range(40)]
+    assert 55 <= language.unmarked_length(texts) <= 66
+    assert language.unmarked_length(texts[:3]) == language.UNMARKED
+
+
 def test_confidences_hold_on_other_sentences(model):
     rng = random.Random(11)
     sentences, labels = [], []
