@@ -8,9 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from paraloom.session import local_session
+    from paraloom.session import clear_scratch, local_session
 
     session = local_session("4", 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

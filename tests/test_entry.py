@@ -40,3 +40,26 @@ def test_every_sql_belongs_to_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from paraloom import session
+
+    df = session.materialize(spark.range(3).toDF("id"), "three")
+    path = Path(session._scratch(spark))
+    assert df.count() == 3 and list(path.glob("three-*"))
+    session.clear_scratch(spark)
+    assert not path.exists()
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import types
+
+    from paraloom import session
+
+    conf = types.SimpleNamespace(get=lambda *_: None)
+    cluster = types.SimpleNamespace(sparkContext=types.SimpleNamespace(master="spark://host:7077", getConf=lambda: conf), conf=conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(cluster)
