@@ -68,8 +68,10 @@ def heatmap(over_time: DataFrame, names: DataFrame, n: int = 15, period: str = "
 
 
 def pivoted(cells: DataFrame, row: str, column: str, value: str, values: list) -> DataFrame:
-    """Wide form with given columns; zero where nothing is."""
-    return cells.groupBy(row).pivot(column, values).agg(F.first(value)).na.fill(0)
+    """Wide form with given columns; zero where nothing is.  Two values for one cell fail."""
+    kind = cells.schema[value].dataType
+    one = F.when(F.count(value) > 1, F.raise_error(F.lit("two values for one cell")).cast(kind)).otherwise(F.first(value))
+    return cells.groupBy(row).pivot(column, values).agg(one).na.fill(0)
 
 
 def _by_period(topic: str = "topic", period: str = "period"):

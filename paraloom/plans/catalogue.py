@@ -158,6 +158,19 @@ def _page_table(s, d):
     return pages.page_paragraphs(per_page, language.detect_language)
 
 
+def _page_files(s, d):
+    """Files of the paragraph table written as page files, a form feed between pages, and scanned, read and judged again."""
+    p = table(s, d, PARAGRAPHS, "filename", "page_num", "text").where("text is not null").withColumn("text", F.translate("text", "\f", " "))
+    per_page = p.groupBy("filename", "page_num").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda x: x["text"])
+    files = per_page.groupBy("filename").agg(F.array_join(in_order, "\f").alias("value"))
+    path = fresh_path(s, "page-files")
+    files.repartition("filename").write.partitionBy("filename").text(path)
+    read = pages.read_pages(s, f"{path}/*", pattern="*.txt").withColumn("filename", F.regexp_extract("path", "filename=([^/]+)/", 1))
+    found = pages.page_paragraphs(read, language.detect_language)
+    return found.groupBy("filename", "page_num").agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("skip_reason").isNull()).alias("kept"))
+
+
 def _corpus_stats(s, d):
     return docs(s, d).agg(F.count(F.lit(1)).alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
                           F.count_if(F.col("grp") == LEFT).alias("trump"), F.count_if(F.col("grp") == RIGHT).alias("biden"))
@@ -174,7 +187,7 @@ def _merged(s, d):
 
 def _hierarchy(s, d):
     weights = topics.class_tf_idf(topics.term_counts(topic_tokens(s, d)))
-    return topics.topic_hierarchy(topics.topic_similarity(weights), weights.select("topic"))
+    return topics.topic_hierarchy(topics.topic_similarity(weights), weights.select("topic")).withColumn("distance", F.round("distance", 9))
 
 
 def _ngram_vocabulary(s, d):
@@ -321,6 +334,7 @@ def queries() -> dict[str, Query]:
         "kmeans_topics": lambda s, d: vectors.cluster(table(s, d, "embeddings"), "vec_id", 10),
         "pca_projection": lambda s, d: vectors.project(grouped_vectors(s, d), "vec_id", 2),
         "page_paragraphs": _page_table,
+        "page_files": _page_files,
         "attention_pivot": _attention_pivot,
         "spikes_top15": lambda s, d: dated(trends.focusing_events(panel_counts(s, d)).withColumn("z", F.round("z", 6)).orderBy(F.desc("z"), "topic", "period").limit(15)),
         "chart_significant": _significant,
@@ -485,6 +499,19 @@ reach(topic, other) AS (SELECT DISTINCT topic, topic FROM wt UNION SELECT r.topi
 SELECT topic, min(other) AS merged FROM reach GROUP BY topic"""
 
 
+# a pair of topics is a step if the nearer pairs before it do not connect them; groups go by their smallest topic
+_HIERARCHY = """,
+nm AS (SELECT topic, sqrt(sum(weight * weight)) AS n FROM wt GROUP BY topic),
+sc AS (SELECT topic, term, weight / n AS w FROM wt JOIN nm USING (topic) WHERE n > 0),
+cs AS (SELECT a.topic AS a, b.topic AS b, sum(a.w * b.w) AS cosine FROM sc a JOIN sc b ON a.term = b.term AND a.topic < b.topic GROUP BY 1, 2),
+pr AS (SELECT x.topic AS a, y.topic AS b, 1 - coalesce(cosine, 0) AS d FROM nm x JOIN nm y ON x.topic < y.topic LEFT JOIN cs ON cs.a = x.topic AND cs.b = y.topic),
+od AS (SELECT *, row_number() OVER (ORDER BY d, a, b) AS k FROM pr),
+reach(k, x, y) AS (SELECT k, topic, topic FROM od, nm UNION SELECT r.k, r.x, CASE WHEN e.a = r.y THEN e.b ELSE e.a END FROM reach r JOIN od e ON e.k < r.k AND (e.a = r.y OR e.b = r.y)),
+root AS (SELECT k, x, min(y) AS root FROM reach GROUP BY k, x),
+st AS (SELECT od.k, d, p.root AS ra, q.root AS rb FROM od JOIN root p ON p.k = od.k AND p.x = a JOIN root q ON q.k = od.k AND q.x = b WHERE p.root <> q.root)
+SELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS step, least(ra, rb) AS a, greatest(ra, rb) AS b, round(d, 9) AS distance FROM st"""
+
+
 # the classes of the two modes, written out: white space, digits, word characters
 _UNICODE = (r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"\p{Nd}", r"\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}")
 _ASCII = (r"[ \t\r\n]", "[0-9]", "A-Za-z0-9_")
@@ -645,6 +672,11 @@ SELECT topic, coalesce(name, 'Topic ' || topic) AS label, round(ts, 6) AS timest
         "page_paragraphs": _rules_sql(language=_language_sql("paragraph"), keys="filename, page_num", source="pages",
             before="""pages AS (SELECT filename, page_num, string_agg(text, chr(10) || chr(10) ORDER BY text) AS text FROM processed_paragraphs_filtered WHERE text IS NOT NULL GROUP BY 1, 2),
 """) + "SELECT filename, page_num, CAST(para_idx AS INT) AS para_idx, regexp_extract(filename, 'document_([0-9]{4})-', 1) AS year, paragraph AS text, skip_reason FROM r",
+        "page_files": _rules_sql(language=_language_sql("paragraph"), keys="filename, page_num", source="pages",
+            before="""per AS (SELECT filename, page_num AS n, string_agg(translate(text, chr(12), ' '), chr(10) || chr(10) ORDER BY translate(text, chr(12), ' ')) AS text
+  FROM processed_paragraphs_filtered WHERE text IS NOT NULL GROUP BY 1, 2),
+pages AS (SELECT filename, CAST(row_number() OVER (PARTITION BY filename ORDER BY n NULLS FIRST) AS INT) AS page_num, text FROM per),
+""") + "SELECT filename, page_num, count(*) AS paragraphs, count(*) FILTER (skip_reason IS NULL) AS kept FROM r WHERE paragraph <> '' GROUP BY 1, 2",
         "chart_topic_shift": _DIFF + ", b AS (SELECT * FROM diff ORDER BY difference DESC, label LIMIT 15) SELECT label, 'trump' AS series, trump AS value FROM b UNION ALL SELECT label, 'biden', biden FROM b",
         "chart_similarity": f"""WITH s AS ({_similarity_sql("n2")}) SELECT 'within_trump' AS measure, within_trump AS value FROM s UNION ALL SELECT 'within_biden', within_biden FROM s
 UNION ALL SELECT 'between', between FROM s""",
@@ -656,6 +688,7 @@ UNION ALL SELECT 'between', between FROM s""",
         "topic_words_over_time": _tokens_sql() + _WORDS_OVER_TIME,
         "ngram_vocabulary": _tokens_sql() + _NGRAMS,
         "topic_merge": _tokens_sql().replace("WITH ", "WITH RECURSIVE ", 1) + _MERGE.replace("{LIMIT}", "0.9::DOUBLE"),
+        "topic_hierarchy": _tokens_sql().replace("WITH ", "WITH RECURSIVE ", 1) + _HIERARCHY,
         "coherence_pairs": _tokens_sql() + pairs + "SELECT topic, term_i, term_j, round(score, 6) AS score FROM up",
         "coherence_umass": _tokens_sql() + pairs + "SELECT topic, measure, round(score, 6) AS score FROM um",
         "coherence_stats": _tokens_sql() + pairs + """SELECT measure, round(avg(coalesce(score, 0.01)), 6) AS mean, round(median(coalesce(score, 0.01)), 6) AS median,
