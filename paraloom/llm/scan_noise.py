@@ -456,28 +456,26 @@ def _join(body: str, kinds: set, model: NoiseModel) -> str:
 
 def _respell(body: str, model: NoiseModel) -> tuple[str, int]:
     low = body.lower()
-    found = set((ASCII_TOKEN if low.isascii() else TOKEN).findall(low)) - model._plain
-    if not any([model.suspicious(w) for w in found]):
+    found = (ASCII_TOKEN if low.isascii() else TOKEN).findall(low)
+    if model._plain.issuperset(found):
+        return body, 0
+    doubtful = {w for w in set(found) - model._plain if model.suspicious(w)}
+    if not doubtful:
         return body, 0
     out, last, fixed = [], 0, 0
-    words = None
-    for m in TOKEN.finditer(body):
-        word = m.group()
-        low = word.lower()
-        if not model.suspicious(low):
+    matches = list(TOKEN.finditer(body))
+    words = [m.group().lower() for m in matches]
+    for i, word in enumerate(words):
+        if word not in doubtful:
             continue
-        if words is None:
-            words = [(w.start(), w.group().lower()) for w in TOKEN.finditer(body)]
-            places = {s: i for i, (s, _) in enumerate(words)}
-        i = places[m.start()]
-        context = [w for _, w in words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW]]
-        true = model.correct(low, context)
-        if true is None or true == low:
+        true = model.correct(word, words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW])
+        if true is None or true == word:
             continue
         fixed += 1
-        out.append(body[last:m.start()])
-        out.append(true.upper() if word.isupper() and len(word) > 2 else true.capitalize() if word[0].isupper() else true)
-        last = m.end()
+        seen = matches[i].group()
+        out.append(body[last:matches[i].start()])
+        out.append(true.upper() if seen.isupper() and len(seen) > 2 else true.capitalize() if seen[0].isupper() else true)
+        last = matches[i].end()
     out.append(body[last:])
     return "".join(out), fixed
 
