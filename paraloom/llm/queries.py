@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraloom.llm import boilerplate, distinctive, language, leaks, near_duplicates, personal, scan_noise, term_counts, text_quality, tokenize
+from paraloom.llm.words import ALL_FUNCTION_WORDS
 from paraloom.session import fresh_path, materialize
 from paraloom.sources.tables import table
 
@@ -46,6 +47,28 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_statistics(spark, folder).where(F.col("kind").isin("list", "table", "junk")).select("para_id", "kind")
 
 
+_SHARES = "n_chars n_words mean_word_length symbol_ratio digit_ratio common_share punctuated_lines n_lines".split()
+
+
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics that are counts and shares, which SQL can tell too."""
+    return p2_statistics(spark, folder).select("para_id", *[F.round(c, 9).alias(c) if c.endswith(("length", "ratio", "share", "lines")) and not c.startswith("n_") else F.col(c) for c in _SHARES])
+
+
+_BLANK = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+P2_SHARES = rf"""
+WITH t AS (SELECT para_id, coalesce(text, '') AS text, regexp_extract_all(text, '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS w,
+  list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: NOT regexp_full_match(x, '{_BLANK}*')) AS lines,
+  coalesce(regexp_full_match(text, '{_BLANK}*'), true) AS blank FROM processed_paragraphs_filtered),
+s AS (SELECT *, length(text) AS n, list_sum(list_transform(w, lambda x: length(x))) AS letters, length(text) - length(regexp_replace(text, '{_BLANK}', '', 'g')) AS spaces,
+  length(text) - length(regexp_replace(text, '\p{{Nd}}', '', 'g')) AS digits FROM t)
+SELECT para_id, n AS n_chars, CASE WHEN blank THEN 0 ELSE len(w) END AS n_words, CASE WHEN blank OR len(w) = 0 THEN 0 ELSE round(letters / len(w)::DOUBLE, 9) END::DOUBLE AS mean_word_length,
+  CASE WHEN blank THEN 0 ELSE round((n - coalesce(letters, 0) - digits - spaces) / n::DOUBLE, 9) END::DOUBLE AS symbol_ratio, CASE WHEN blank THEN 0 ELSE round(digits / n::DOUBLE, 9) END::DOUBLE AS digit_ratio,
+  CASE WHEN blank OR len(w) = 0 THEN 0 ELSE round(len(list_filter(w, lambda x: length(x) > 1 AND list_contains([{', '.join(f"'{x}'" for x in sorted(ALL_FUNCTION_WORDS))}], lower(x)))) / len(w)::DOUBLE, 9) END::DOUBLE AS common_share,
+  CASE WHEN blank THEN 0 ELSE round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?;:؟。…"''”’)]{_BLANK}*$'))) / len(lines)::DOUBLE, 9) END::DOUBLE AS punctuated_lines,
+  CASE WHEN blank THEN 0 ELSE len(lines) END AS n_lines FROM s"""
+
+
 # Problem 3 ------------------------------------------------------------------
 
 def _line_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -303,7 +326,7 @@ def p10_entities(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_repaired": p1_repaired,
-        "p2_found": p2_found, "p2_statistics": p2_statistics,
+        "p2_found": p2_found, "p2_statistics": p2_statistics, "p2_shares": p2_shares,
         "p3_found": p3_found, "p3_lines": p3_lines, "p3_cleaned": p3_cleaned,
         "p4_found": p4_found, "p4_stretches": p4_stretches,
         "p5_found": p5_found, "p5_groups": p5_groups,
@@ -316,4 +339,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p3_lines": P3_LINES, "p3_cleaned": P3_CLEANED, "p5_found": P5_FOUND, "p9_found": P9_FOUND, "p6_found": P6_FOUND, "p6_counts": P6_COUNTS, "p5_groups": P5_GROUPS, "p7_found": P7_FOUND, "p7_scores": P7_SCORES}
+    return {"p2_shares": P2_SHARES, "p3_found": P3_FOUND, "p3_lines": P3_LINES, "p3_cleaned": P3_CLEANED, "p5_found": P5_FOUND, "p9_found": P9_FOUND, "p6_found": P6_FOUND, "p6_counts": P6_COUNTS, "p5_groups": P5_GROUPS, "p7_found": P7_FOUND, "p7_scores": P7_SCORES}
