@@ -202,7 +202,7 @@ def _over_time_lines(s, d):
 
 
 def _over_time_years(s, d):
-    """Topics by month of arrival over years, at timestamps."""
+    """Topics by year, each year as the timestamp of its start and as what is read off that."""
     rows = docs(s, d).withColumn("stamp", periods.year_start(F.col("year")))
     return rows.where("topic is not null").groupBy("topic", F.col("stamp").cast("string").alias("stamp"), periods.timestamp_year(F.col("stamp"), "timestamp_ntz").alias("year")).agg(
         F.count(F.lit(1)).alias("frequency"))
