@@ -7,7 +7,7 @@ counts (a few numbers, whatever the size of the collection); the score of an
 occurrence count is the posterior probability of the elite component.
 
 Defined results: null, empty and blank texts have no terms; repeated rows are
-records of their own; a term is a run of at least three letters of the
+records of their own, and so are rows without a key; a term is a run of at least three letters of the
 lower-cased text; an empty table gives no rows.
 """
 
@@ -135,7 +135,7 @@ def term_scores(df: DataFrame, key: str = "para_id", text: str = "text", min_cou
     counted = materialize(source.mapInArrow(_count(min_count), "id bigint, term string, tf int, n bigint"), "term-counts")
     total = source.agg(F.count(F.lit(1)).alias("total"))
     fitted = materialize(
-        counted.where("id is null").groupBy("term", "tf").agg(F.sum("n").alias("n"))
+        counted.where("n is not null").groupBy("term", "tf").agg(F.sum("n").alias("n"))
         .groupBy("term").agg(F.collect_list(F.struct("tf", "n")).alias("cells"))
         .crossJoin(F.broadcast(total)).select("term", "cells", "total")
         .mapInArrow(_fit, FIT_SCHEMA), "mixtures")
@@ -143,7 +143,7 @@ def term_scores(df: DataFrame, key: str = "para_id", text: str = "text", min_cou
     if max_records is not None:
         fitted = fitted.where(F.col("records") <= max_records)
     hot = F.col("records") * HOT_TERMS > F.lit(n_pairs)
-    pairs = counted.where("id is not null").select("id", "term", "tf")
+    pairs = counted.where("n is null").select("id", "term", "tf")
     columns = [F.col(c) for c in ("records", "share", "low", "high")]
     known = pairs.join(F.broadcast(fitted.where(hot).select("term", F.struct(*columns).alias("fit"))), "term", "left")
     rest = known.where("fit is null").drop("fit").join(fitted.where(~hot).hint("merge"), "term").select("id", "term", "tf", *columns)

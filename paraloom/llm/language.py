@@ -248,7 +248,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
         top = q.max(1)
         for limit in (0.35, 0.4, 0.5, 0.6, 0.7, 0.8):
             model.limit = limit
-            if right[top >= limit].mean() >= 0.998:
+            if (top >= limit).any() and right[top >= limit].mean() >= 0.998:
                 break
     model.unmarked = unmarked_length([text for _, text in rows if THAI.search(text)])
     return model

@@ -476,11 +476,12 @@ def similar_classes(df: DataFrame, text: str = "text", width: int = 5, least: fl
 def expand_pairs(df: DataFrame, similar: Similar, key: str = "para_id", text: str = "text") -> DataFrame:
     """(key_a, key_b) with key_a < key_b: rows of linked classes, and rows of one class.
 
-    As many rows as there are such pairs, so only for a result that asks for them.
+    As many rows as there are such pairs, so only for a result that asks for them;
+    rows without a key are in none.
     Classes with more rows than a thousandth of all (and ``CLASS_BLOCK``) are cut
     into blocks, and their pairs into pairs of blocks.
     """
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), class_of(F.col(text), similar.clashing).alias("class"))
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), class_of(F.col(text), similar.clashing).alias("class"))
     block = max(CLASS_BLOCK, -(-df.count() // HOT_CLASSES))
     # at most HOT_CLASSES classes are that large
     hot = similar.copies.where(F.col("n") > block).select("class", F.ceil(F.col("n") / block).cast("int").alias("blocks"))

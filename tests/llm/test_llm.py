@@ -154,6 +154,32 @@ def test_hot_and_rare_terms_score_alike(spark, monkeypatch):
     assert one == sorted(map(tuple, distinctive.term_scores(df).collect())) and len(one) == 120
 
 
+def test_rows_without_a_key(spark, tmp_path):
+    """Null keys, file names, labels and titles are survived by every query, with the results the modules state."""
+    rows = [(None, None, SENTENCE), (1, "document_2019-01-01_ABC-1.pdf", SENTENCE), (2, None, None), (None, "x", ""), (3, "x", SENTENCE + " pump pump pump")]
+    df = spark.createDataFrame(rows, "para_id bigint, filename string, text string")
+    df.withColumns({"year": F.lit(None).cast("string"), "ingested_at": F.lit(None).cast("timestamp_ntz"), "page_num": F.lit(1)}).write.parquet(str(tmp_path / "processed_paragraphs_filtered.parquet"))
+    spark.createDataFrame([(None, None), (1, None)], "para_id bigint, lang_label string").write.parquet(str(tmp_path / "paragraph_langs.parquet"))
+    spark.createDataFrame([(None, "T"), ("x", None)], "filename string, title string").write.parquet(str(tmp_path / "source_files.parquet"))
+    spark.createDataFrame([(None, SENTENCE), (1, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, SENTENCE), (1, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = {name: query(spark, str(tmp_path)).collect() for name, query in queries.queries().items()}
+    assert len(got["p2_statistics"]) == len(got["p5_groups"]) == len(got["p3_cleaned"]) == len(got["p1_repaired"]) == 5
+    assert [tuple(r) for r in got["p7_found"]] == [(3, "pump")] and [tuple(r) for r in got["p5_found"]] == []
+    assert {r.para_id for r in got["p7_scores"]} == {None, 1, 3} and len(got["p8_ids"]) == len(got["p10_placeholders"]) == 2
+
+
+def test_every_query_on_empty_tables(spark, tmp_path):
+    tables = {
+        "processed_paragraphs_filtered": "para_id bigint, filename string, page_num int, year string, text string, ingested_at timestamp_ntz", "source_files": "filename string, title string",
+        "paragraph_langs": "para_id bigint, lang_label string", "documents": "doc_id bigint, text string", "eval_items": "item_id bigint, text string"}
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, query in queries.queries().items():
+        rows = query(spark, str(tmp_path)).collect()
+        assert rows == [] or name == "p8_round_trip" and rows[0].documents == 0, name
+
+
 def test_one_very_long_record_hides_no_distinctive_term(spark, tmp_path):
     texts = ["alpha alpha alpha here", "alpha " * 60 + "filler " * 5000, "gamma gamma gamma", *["beta filler words here"] * 300]
     frame(spark, texts).write.parquet(str(tmp_path / "processed_paragraphs_filtered.parquet"))
