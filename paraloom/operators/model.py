@@ -130,12 +130,16 @@ class TopicModel:
     stages: Stages = field(repr=False, default=None)
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """(key, topic, prob) of documents, new or old; those without a token or vector get no topic."""
+        """(key, topic, prob) of documents, new or old; those without a token or vector get no topic, and none has one in a model of nothing."""
+        if self.stages is None:
+            return df.where(F.lit(False)).select(self.key, F.lit(0).alias("topic"), F.lit(0.0).alias("prob"))
         tokens = tokenized(df, self.key, text)
         return self.stages.assign(self.stages.flatten(self.stages.embed(tokens)), self.merged)
 
     def save(self, path: str) -> None:
         """Tables and fitted stages; a given embedder is no part of it and is given again at ``load``."""
+        if self.stages is None:
+            raise ValueError("a model of no documents has nothing to keep")
         for name in TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         own = isinstance(self.stages.embedder, HashedEmbedding)
@@ -182,10 +186,12 @@ def fit(df: DataFrame, key: str, text: str = "text", k: int = 50, seeds: DataFra
 
     Topics alike above ``merge_above`` become one; those of fewer documents than
     ``min_topic_size`` go to the most similar of the others.  Terms are runs of
-    up to ``upto`` words.
+    up to ``upto`` words.  Without any document that has a token all tables are empty.
     """
     # every stage is read several times (fits, iterations, joins), so each is a table in the shared folder
     tokens = materialize(tokenized(df, key, text), "tokens")
+    if tokens.where(F.size("tokens") > 0).isEmpty():
+        return _nothing(tokens, key)
     stages = Stages(key, embedder or HashedEmbedding.fit(tokens, key))
     embedded = materialize(stages.embed(tokens), "embedding")
     if seeds is not None:
@@ -210,6 +216,13 @@ def fit(df: DataFrame, key: str, text: str = "text", k: int = 50, seeds: DataFra
     return TopicModel(key, assigned, terms, info, centres, merged, stages)
 
 
+def _nothing(tokens: DataFrame, key: str) -> TopicModel:
+    empty = lambda schema: tokens.sparkSession.createDataFrame([], schema)
+    return TopicModel(
+        key, tokens.where(F.lit(False)).select(key, F.lit(0).alias("topic"), F.lit(0.0).alias("prob")), empty("topic int, rank int, term string, weight double"),
+        empty("topic int, count bigint, name string, representation array<string>"), empty("topic int, centroid array<double>"), empty("topic int, merged int"), None)
+
+
 def _after(merged: DataFrame, further: DataFrame) -> DataFrame:
     """One step of merging after another."""
     step = further.select(F.col("topic").alias("merged"), F.col("merged").alias("_to"))

@@ -99,7 +99,9 @@ def fit_projection(df: DataFrame, k: int = 2, vector: str = "embedding") -> PCAM
 
 
 def project(df: DataFrame, key: str, k: int = 2, vector: str = "embedding", fitted: PCAModel | None = None) -> DataFrame:
-    """(key, coordinates): principal components of the unit vectors; stands in for non-linear projections."""
+    """(key, coordinates): principal components of the unit vectors; stands in for non-linear projections.  No vectors, no rows."""
+    if fitted is None and df.where(F.col(vector).isNotNull()).isEmpty():
+        return df.where(F.lit(False)).select(key, F.array().cast("array<double>").alias("coordinates"))
     model = fitted or fit_projection(df, k, vector)
     return model.transform(_as_vectors(df, vector)).select(key, vector_to_array("_p").alias("coordinates"))
 
@@ -109,6 +111,8 @@ def fit_clusters(df: DataFrame, k: int = 50, vector: str = "embedding", seed: in
 
 
 def cluster(df: DataFrame, key: str, k: int = 50, vector: str = "embedding", seed: int = 42, fitted: KMeansModel | None = None) -> DataFrame:
-    """(key, topic): k-means of the unit vectors."""
+    """(key, topic): k-means of the unit vectors.  No vectors, no rows."""
+    if fitted is None and df.where(F.col(vector).isNotNull()).isEmpty():
+        return df.where(F.lit(False)).select(key, F.lit(0).alias("topic"))
     model = fitted or fit_clusters(df, k, vector, seed)
     return model.transform(_as_vectors(df, vector)).select(key, "topic")

@@ -66,3 +66,12 @@ def test_all_result_files_are_written(spark, tmp_path):
     sizes = read("topics_over_time_absolute").agg(F.sum(F.col("Frequency").cast("int"))).first()[0]
     assert sizes == catalogue.docs(spark, str(DATA)).where("topic is not null").count()
     assert read("topics_over_time_normalized").where("cast(Frequency as double) > 1").count() == 0
+
+
+@needs_data
+def test_every_query_on_empty_tables(spark, tmp_path):
+    for path in DATA.glob("*.parquet"):
+        spark.read.parquet(str(path)).where("false").write.parquet(str(tmp_path / path.name))
+    given = {"para_skip_counts": 8, "stop_words": 286, "corpus_stats": 1, "summary_report": 12}
+    for name, query in catalogue.queries().items():
+        assert len(query(spark, str(tmp_path)).collect()) == given.get(name, 0), name
