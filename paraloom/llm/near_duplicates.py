@@ -7,6 +7,14 @@ is cut into fragments, each fragment counts the overlaps of its own n-grams
 pair by pair, and the partial counts are summed per pair.  Pairs that reach the
 number that similar texts must reach are then compared on all their n-grams.
 
+An n-gram that is rare among few texts is held by many among more, so the pairs
+that meet in it grow with the square of the texts.  Every entry therefore has a
+sketch of its whole text: bit k tells whether an odd number of the text's
+n-grams fall to k.  Two sketches differ in no more bits than the two sets differ
+in n-grams, so a pair whose sketches differ in more than similar texts may is
+none, and only what is left is written and summed.  The heads are set down once
+and meet in passes, a share of the fragments at a time.
+
 No pair is lost: the order only has to be the same everywhere.  It is taken
 from a hashed table of the n-gram counts of the whole collection, whose size is
 fixed.  A match counts for a pair only within the heads that these two sizes
@@ -24,6 +32,7 @@ texts of any length are compared whole.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -37,21 +46,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paraloom.llm.words import WORD
-from paraloom.session import materialize
+from paraloom.session import discard, materialize
 
 COUNT_BITS = 22  # buckets of the n-gram counts: a fixed four megabytes of one-byte logarithms
 COUNT_PARTS = 64
 EXTRA = 4
-ENTRY = np.dtype([("gram", "<u4"), ("size", "<u2"), ("place", "<u2"), ("text", "<i8")])
+SKETCH_BITS = 256
+ENTRY = np.dtype([("gram", "<u4"), ("size", "<u2"), ("place", "<u2"), ("text", "<i8"), ("sketch", "<u8", (SKETCH_BITS // 64,))])
+ENTRIES_PER_PASS, MOST_PASSES = 2_500_000, 8  # of the fragments that are on disk at a time
 LONG = 65535  # sizes from here on are not told apart: such texts meet all partners
 HASH_BITS = 50  # of an n-gram in the global order; those that meet by chance are told apart when pairs are compared
-ENTRIES_PER_FRAGMENT = 200_000
-TASK_BYTES, MOST_TASKS = 8 << 20, 20_000  # of the fragments a task reads
+ENTRIES_PER_FRAGMENT = 100_000
+TASK_BYTES, MOST_TASKS = 4 << 20, 20_000  # of the fragments a task reads
 CROWD = 1 << 14  # texts of one n-gram from which they are cut into blocks
-FLUSH_ENTRIES = 1_500_000
+FLUSH_ENTRIES = 600_000
 FLUSH_GRAMS = 6_000_000
 FLUSH_PAIRS = 3_000_000
-BLOCK = 2048
+BLOCK = 1 << 19  # pairs looked at together
 FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 27  # for each id; beyond that a join does it
 CLASS_BLOCK, HOT_CLASSES = 20_000, 1_000  # rows of a class that are one block at least; at most so many classes are cut
 MOST_CLASHES = 10_000
@@ -185,26 +196,23 @@ def _in_blocks(entry: np.ndarray, gram: np.ndarray, blocks: np.ndarray) -> tuple
     return fragment, out
 
 
-def _heads(rarity: np.ndarray, width: int, least: float, min_words: int, bits: int, crowd: float):
-    """Entries of the texts' heads, packed by fragment of the global order, which is cut into 2^bits ranges of every band.
+def _sketches(text: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts, which of ``SKETCH_BITS`` an odd number of its n-grams fall to."""
+    bit = (key * _MIX[3] >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
+    odd = np.bincount(text * SKETCH_BITS + bit, minlength=n * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(n, SKETCH_BITS), axis=1)
 
-    ``crowd``: occurrences of a bucket of n-grams from which their texts are cut into blocks.
-    """
-    low_bits = HASH_BITS - bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _Words(), set()
-        held, held_fragments, n_held = [], [], 0
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
-        def pack():
-            fragment, entries = np.concatenate(held_fragments), np.concatenate(held)
-            order = np.argsort(fragment, kind="stable")
-            fragment, entries = fragment[order], entries[order]
-            cut = np.flatnonzero(np.diff(fragment)) + 1
-            start = np.concatenate([[0], cut])
-            blobs = [_packed(x) for x in np.split(entries, cut)]
-            return pa.RecordBatch.from_arrays([pa.array(fragment[start]), pa.array(blobs, pa.binary())], names=["fragment", "entries"])
 
+def _heads(rarity: np.ndarray, width: int, least: float, min_words: int):
+    """The texts' heads: size, sketch, and the n-grams of the head in the global order, as bands of rarity and hashes of seven bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = _Words(), set()
         for batch in batches:
             classes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, c in enumerate(classes):  # a copy adds nothing
@@ -220,28 +228,76 @@ def _heads(rarity: np.ndarray, width: int, least: float, min_words: int, bits: i
             text, key = ordered_grams(hashes, lengths, width, rarity)
             if not len(key):
                 continue
-            size = np.bincount(text, minlength=len(classes))
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            head = size - np.ceil(least * size - 1e-9).astype(np.int64) + EXTRA
-            place = np.arange(len(key)) - first[text]
-            keep = place < head[text]
-            text, key, place = text[keep], key[keep], place[keep]
-            gram = key & np.uint64((1 << HASH_BITS) - 1)
-            common = (key >> np.uint64(HASH_BITS)).astype(np.int64)
-            entry = np.empty(len(key), ENTRY)
-            entry["gram"] = (gram & np.uint64((1 << low_bits) - 1)) >> np.uint64(max(0, low_bits - 32))
-            entry["size"] = np.minimum(size, LONG)[text]
-            entry["place"] = np.minimum(place, LONG)
-            entry["text"] = np.array(classes, np.int64)[text]
+            full, text = np.unique(text, return_inverse=True)
+            size = np.bincount(text)
+            first = np.cumsum(size) - size
+            sketch = _sketches(text, key, len(full))
+            head = np.minimum(size - np.ceil(least * size - 1e-9).astype(np.int64) + EXTRA, size)
+            key = key[np.arange(len(key)) - first[text] < head[text]]
+            ends = np.cumsum(head)
+            gram = (key & np.uint64((1 << HASH_BITS) - 1)).view(np.uint8).reshape(-1, 8)[:, :7]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(classes, np.int64)[full]), pa.array(size.astype(np.int32)), _binary(sketch, np.arange(1, len(full) + 1) * sketch.shape[1]),
+                 _binary((key >> np.uint64(HASH_BITS)).astype(np.uint8), ends), _binary(gram, ends * 7)], names=["id", "size", "sketch", "bands", "grams"])
+
+    return run
+
+
+def _entries(turn: int, turns: int, bits: int, crowd: float):
+    """Entries of the heads, packed by fragment of the global order, which is cut into 2^bits ranges of every band; those fragments whose turn it is.
+
+    ``crowd``: occurrences of a bucket of n-grams from which their texts are cut into blocks.
+    """
+    low_bits = HASH_BITS - bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_fragments, n_held = [], [], 0
+
+        def pack():
+            fragment, entries = np.concatenate(held_fragments), np.concatenate(held)
+            order = np.argsort(fragment, kind="stable")
+            fragment, entries = fragment[order], entries[order]
+            cut = np.flatnonzero(np.diff(fragment)) + 1
+            start = np.concatenate([[0], cut])
+            blobs = [_packed(x) for x in np.split(entries, cut)]
+            return pa.RecordBatch.from_arrays([pa.array(fragment[start]), pa.array(blobs, pa.binary())], names=["fragment", "entries"])
+
+        def mine(fragment: np.ndarray) -> np.ndarray:
+            return (fragment.view(np.uint64) * _MIX[4] >> np.uint64(33)) % np.uint64(turns) == turn
+
+        for batch in batches:
+            ids, size = batch.column("id").to_numpy(), batch.column("size").to_numpy().astype(np.int64)
+            bands = batch.column("bands").to_pylist()
+            head = np.array([len(b) for b in bands], np.int64)
+            common = np.frombuffer(b"".join(bands), np.uint8).astype(np.int64)
+            gram = np.zeros((len(common), 8), np.uint8)
+            gram[:, :7] = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint8).reshape(-1, 7)
+            gram = gram.view(np.uint64).ravel()
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+            text = np.repeat(np.arange(len(ids)), head)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(head) - head, head)
             fragment = common // 16 << 32 | (gram >> np.uint64(low_bits)).astype(np.int64)
             blocks = np.ceil(2 ** (common / 8) / crowd).astype(np.int64)
-            crowded = blocks > 1
-            if crowded.any():
-                more, cut = _in_blocks(entry[crowded], gram[crowded], blocks[crowded])
-                fragment, entry = np.concatenate([fragment[~crowded], more]), np.concatenate([entry[~crowded], cut])
-            held.append(entry)
-            held_fragments.append(fragment)
-            n_held += len(entry)
+
+            def entries(at: np.ndarray) -> np.ndarray:
+                entry = np.empty(len(at), ENTRY)
+                entry["gram"] = (gram[at] & np.uint64((1 << low_bits) - 1)) >> np.uint64(max(0, low_bits - 32))
+                entry["size"] = np.minimum(size, LONG)[text[at]]
+                entry["place"] = np.minimum(place, LONG)[at]
+                entry["text"] = ids[text[at]]
+                entry["sketch"] = sketch[text[at]]
+                return entry
+
+            plain = np.flatnonzero((blocks <= 1) & mine(fragment))
+            held.append(entries(plain))
+            held_fragments.append(fragment[plain])
+            crowded = np.flatnonzero(blocks > 1)
+            if len(crowded):
+                more, cut = _in_blocks(entries(crowded), gram[crowded], blocks[crowded])
+                now = mine(more)
+                held.append(cut[now])
+                held_fragments.append(more[now])
+            n_held += sum(map(len, held[-2:] if len(crowded) else held[-1:]))
             if n_held >= FLUSH_ENTRIES:
                 yield pack()
                 held, held_fragments, n_held = [], [], 0
@@ -267,84 +323,55 @@ def _fragment_pairs(least: float):
     share = least / (1 + least)
 
     def near(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """How often a match counts: 0 outside the heads these two texts need.
+        """How often a match counts: 0 outside the heads these two texts need, and where the sketches differ too much.
 
         Two texts too short to share EXTRA n-grams count each shared one so often.
         """
         x, y = e["size"][i].astype(np.int64), e["size"][j].astype(np.int64)
-        need = np.ceil(share * (x + y) - 1e-9)
+        need = np.ceil(share * (x + y) - 1e-9).astype(np.int64)
+        often = np.where(need < EXTRA, EXTRA, 1)
         inside = (need <= np.minimum(x, y)) & (e["place"][i] < x - need + EXTRA) & (e["place"][j] < y - need + EXTRA)
-        return np.where(inside | (x == LONG) | (y == LONG), np.where(need < EXTRA, EXTRA, 1), 0)
+        at = np.flatnonzero(inside)
+        differ = np.bitwise_count(e["sketch"][i[at]] ^ e["sketch"][j[at]]).sum(axis=1, dtype=np.int64)
+        inside[at] = differ <= x[at] + y[at] - 2 * need[at]
+        return np.where(inside | (x == LONG) | (y == LONG), often, 0)
 
     def run(blobs: list[bytes], fragment: int) -> Iterator[pa.RecordBatch]:
         e = np.concatenate([_unpacked(b) for b in blobs])
-        sides = fragment < 0 and fragment % 2 == 1
         e = e[np.lexsort((e["text"], e["gram"]))]
         fresh = np.ones(len(e), bool)  # copies read by several tasks
         fresh[1:] = (e["gram"][1:] != e["gram"][:-1]) | (e["text"][1:] != e["text"][:-1])
         e = e[fresh]
-        if sides:
-            yield from across(e)
-            return
-        edge = np.flatnonzero(e["gram"][1:] != e["gram"][:-1]) + 1
-        start, end = np.concatenate([[0], edge]), np.append(edge, len(e))
-        width = end - start
-        left, right, n = [], [], 0
-        # short posting lists: all of the fragment at once, one distance at a time
-        run_end = np.repeat(end, width)
-        at = np.flatnonzero(np.repeat(width, width) <= BLOCK)
-        for step in range(1, BLOCK):
-            at = at[at + step < run_end[at]]
-            if not len(at):
-                break
-            found = np.repeat(at, near(e, at, at + step))
-            left.append(e["text"][found])
-            right.append(e["text"][found + step])
-            n += len(found)
-            if n > FLUSH_PAIRS:
-                yield _pair_batch(np.concatenate(left), np.concatenate(right))
-                left, right, n = [], [], 0
-        if n:
-            yield _pair_batch(np.concatenate(left), np.concatenate(right))
-        # long ones one text at a time, against those of the others that are of a like size
-        for s, t in zip(start[width > BLOCK], end[width > BLOCK]):
-            part = e[s:t][np.argsort(e["size"][s:t], kind="stable")]
-            yield from against(part, part, np.arange(1, len(part) + 1))
-
-    def against(few: np.ndarray, part: np.ndarray, after: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Each of ``few`` against those of ``part`` (both by size) from place ``after`` on and of a size that may be similar."""
-        left, right, n = [], [], 0
-        both = np.concatenate([few, part])
-        # the others are no smaller than this share of a text, no larger than its inverse; sizes of LONG are not told apart
-        low = np.maximum(np.searchsorted(part["size"], np.floor(few["size"] * least - 1)), after)
-        until = np.searchsorted(part["size"], few["size"] / least + 1, "right")
-        until = np.where(few["size"] / least + 1 >= LONG, len(part), until)
-        crowd = np.searchsorted(part["size"], LONG)
-        for i in range(len(few)):
-            if few["size"][i] == LONG:
-                partners = np.arange(after[i], len(part))
-            else:
-                partners = np.arange(low[i], until[i])
-                if until[i] < len(part) and crowd < len(part):
-                    partners = np.append(partners, np.arange(max(crowd, until[i], after[i]), len(part)))
-            found = np.repeat(partners, near(both, np.full(len(partners), i), len(few) + partners))
-            left.append(np.full(len(found), few["text"][i]))
-            right.append(part["text"][found])
-            n += len(found)
-            if n > FLUSH_PAIRS:
+        sides = fragment < 0 and fragment % 2 == 1
+        gram = (e["gram"] >> 1 if sides else e["gram"]).astype(np.int64)
+        order = np.lexsort((e["text"], e["size"], gram))
+        e, gram = e[order], gram[order]
+        # each entry against those of its n-gram that are no smaller, up to the size its place allows; sizes of LONG are not told apart
+        x = e["size"].astype(np.int64)
+        most = np.floor(np.minimum(x + EXTRA - 1 - e["place"].astype(np.int64), x) / share - x + 1e-6).astype(np.int64)
+        most = np.where(x == LONG, LONG, np.clip(most, 0, LONG))
+        own = np.arange(len(e))
+        n = np.maximum(np.searchsorted(gram << 16 | x, gram << 16 | most, "right") - own - 1, 0)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        left, right, held, begin = [], [], 0, 0
+        while begin < len(e):
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + BLOCK, "right")) - 1)
+            i = np.repeat(own[begin:end], n[begin:end])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[begin:end] - upto[begin], n[begin:end])
+            begin = end
+            if sides:  # those of one block meet elsewhere
+                other = e["gram"][i] != e["gram"][j]
+                i, j = i[other], j[other]
+            often = near(e, i, j)
+            left.append(np.repeat(e["text"][i], often))
+            right.append(np.repeat(e["text"][j], often))
+            held += len(left[-1])
+            if held > FLUSH_PAIRS:
                 yield _pair_batch(np.concatenate(left), np.concatenate(right))
-                left, right, n = [], [], 0
-        if n:
+                left, right, held = [], [], 0
+        if held:
             yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
-    def across(e: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The texts of two blocks of a crowded n-gram."""
-        for gram in np.unique(e["gram"] >> 1):
-            part = e[e["gram"] >> 1 == gram]
-            part = part[np.argsort(part["size"], kind="stable")]
-            second = (part["gram"] & 1).astype(bool)
-            yield from against(part[~second], part[second], np.zeros((~second).sum(), np.int64))
-
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, fragment = [], 0
         for batch in batches:
@@ -435,7 +462,7 @@ def _copies(df: DataFrame, text: str) -> tuple[DataFrame, tuple[int, ...]]:
     """(class, n) of the texts that occur more than once, and the hashes that different texts share."""
     def counted(clashing):
         rows = df.where(F.col(text).isNotNull()).select(class_of(F.col(text), clashing).alias("class"), F.xxhash64(F.col(text), F.lit(1)).alias("check"))
-        return materialize(rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), (F.min("check") != F.max("check")).alias("clash")).where("n > 1"), "copies")
+        return materialize(rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), (F.min("check") != F.max("check")).alias("clash")).where("n > 1"), "copies", drop_shuffles=True)
 
     copies = counted(())
     clashing = tuple(sorted(r["class"] for r in copies.where("clash").select("class").limit(MOST_CLASHES + 1).collect()))
@@ -453,23 +480,29 @@ def similar_classes(df: DataFrame, text: str = "text", width: int = 5, least: fl
     rarity, n_grams = gram_rarity(source, width)
     entries = n_grams * (1 - least)
     bits = max(3, min(HASH_BITS - 18, math.ceil(math.log2(max(entries / ENTRIES_PER_FRAGMENT, 1)))))
-    heads = source.mapInArrow(_heads(rarity, width, least, min_words, bits, CROWD + n_grams / (1 << COUNT_BITS)), "fragment bigint, entries binary")
-    tasks = max(1, min(MOST_TASKS, math.ceil(entries * ENTRY.itemsize / TASK_BYTES)))
-    partial = heads.repartition(tasks, "fragment").groupBy("fragment").applyInArrow(_fragment_pairs(least), "a bigint, b bigint, overlap int")
-    summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    candidates = materialize(summed.where(F.col("overlap") >= EXTRA).select("a", "b"), "candidate-pairs")
+    heads = materialize(source.mapInArrow(_heads(rarity, width, least, min_words), "id bigint, size int, sketch binary, bands binary, grams binary"), "heads")
+    turns = max(1, min(MOST_PASSES, math.ceil(entries / ENTRIES_PER_PASS)))
+    tasks = max(1, min(MOST_TASKS, math.ceil(entries * ENTRY.itemsize / turns / TASK_BYTES)))
+    met = []
+    for turn in range(turns):
+        packed = heads.mapInArrow(_entries(turn, turns, bits, CROWD + n_grams / (1 << COUNT_BITS)), "fragment bigint, entries binary")
+        partial = packed.repartition(tasks, "fragment").groupBy("fragment").applyInArrow(_fragment_pairs(least), "a bigint, b bigint, overlap int")
+        met.append(materialize(partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")), "partial-overlaps", drop_shuffles=True))
+    summed = functools.reduce(DataFrame.unionByName, met).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    candidates = materialize(summed.where(F.col("overlap") >= EXTRA).select("a", "b"), "candidate-pairs", drop_shuffles=True)
+    discard(heads, *met)
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(copies.select(F.col("class").alias("id")))
     n_ids = ids.count()
     if n_ids * FILTER_BITS <= MOST_FILTER_BITS:
         grams = source.mapInArrow(_full_grams(_filter(ids, n_ids), width), "id bigint, words int, grams binary")
     else:
         grams = source.join(ids.distinct(), F.col("class") == F.col("id"), "left_semi").mapInArrow(_full_grams(None, width), "id bigint, words int, grams binary")
-    once = materialize(grams.where(F.col("words") >= min_words).dropDuplicates(["id"]), "class-grams")
+    once = materialize(grams.where(F.col("words") >= min_words).dropDuplicates(["id"]), "class-grams", drop_shuffles=True)
     both = (
         candidates.join(once.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
         .join(once.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
     )
-    links = materialize(both.mapInArrow(_compare(least), "a bigint, b bigint, similarity double"), "links")
+    links = materialize(both.mapInArrow(_compare(least), "a bigint, b bigint, similarity double"), "links", drop_shuffles=True)
     return Similar(links, once.select("id"), copies, clashing)
 
 

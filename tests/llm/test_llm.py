@@ -442,6 +442,48 @@ def test_more_ids_than_a_filter_holds(spark, monkeypatch):
     assert got == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_texts_that_share_phrases_but_are_not_similar_leave_little_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "TASK_BYTES", 20_000)
+    rng = random.Random(5)
+    phrases = [" ".join(f"w{k}x{j}" for j in range(3)) for k in range(20)]
+    rows = [(i, " ".join(rng.sample(phrases, 15))) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + " again") for i in range(20)]
+    df = spark.createDataFrame(rows, "para_id bigint, text string")
+    written = lambda: sum(x.totalShuffleWrite() for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    near_duplicates.similar_classes(df, width=3, least=0.6).links.count()
+    assert written() - before < 2.5e6  # 5.5e6 where every pair that meets in an n-gram is written
+
+
+def test_passes_and_sketches_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "ENTRIES_PER_PASS", 10)
+    monkeypatch.setattr(near_duplicates, "CROWD", 9)
+    rng = random.Random(6)
+    base = [[rng.choice(WORDS) for _ in range(n)] for n in (12, 30, 60, 150, 400, 900) for _ in range(4)]
+    rows = []
+    for words in base:
+        for edits in range(0, len(words) // 7, max(1, len(words) // 40)):
+            new = list(words)
+            for k in rng.sample(range(len(new)), edits):
+                new[k] = "net" + str(rng.randrange(99))
+            rows.append((len(rows), " ".join(new)))
+    df = spark.createDataFrame(rows, "para_id bigint, text string")
+    got = [(r[0], r[1]) for r in near_duplicates.expand_pairs(df, near_duplicates.similar_classes(df, width=3, least=0.6, min_words=8)).collect()]
+    want = brute_pairs(rows, 3, 0.6, 8)
+    assert len(got) == len(set(got)) and set(got) == want and 50 < len(want) < len(rows) * (len(rows) - 1) / 2
+
+
+def test_sketches_differ_in_no_more_bits_than_their_sets():
+    rng = np.random.default_rng(7)
+    key = rng.integers(0, 1 << 58, 300, dtype=np.uint64)
+    sets = [np.sort(rng.choice(key, n, replace=False)) for n in (1, 5, 40, 150, 260, 300)]
+    text = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    sketch = near_duplicates._sketches(text, np.concatenate(sets), len(sets))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert np.bitwise_count(sketch[i] ^ sketch[j]).sum() <= len(np.setxor1d(x, y))
+
+
 def test_different_texts_of_one_hash_are_told_apart(spark):
     df = spark.createDataFrame([(1, SENTENCE), (2, "other")], "para_id bigint, text string")
     first = df.select(near_duplicates.class_of(F.col("text"))).collect()
